@@ -1,0 +1,18 @@
+"""Broadcast only what has been counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows.
+
+    Meant for tables of narrow rows. Above the limit the frame is returned as it is and
+    the join is a shuffle join, which adaptive execution splits when a key is hot.
+    """
+    rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
