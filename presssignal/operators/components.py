@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg import Vectors as OldVectors
@@ -60,9 +61,11 @@ def component_keywords(
     basis_sent = spark.sparkContext.broadcast(basis)
 
     @F.pandas_udf("array<double>")
-    def project(v):
+    def project(v: pd.DataFrame) -> pd.Series:
         b = basis_sent.value
-        return v.map(lambda x: b[np.asarray(x["indices"], dtype=int)].T @ np.asarray(x["values"]))
+        return pd.Series(
+            [b[np.asarray(i, dtype=int)].T @ np.asarray(x) for i, x in zip(v["indices"], v["values"])]
+        )
 
     from pyspark.ml.functions import array_to_vector
 

@@ -20,8 +20,6 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +32,7 @@ PENALTIES = ("l1", "l2", "none")
 _CELLS_PER_PASS = 8_000_000  # weights trained together, at most
 _ROWS_PER_BLOCK = 512
 _STEP = 1.0
+_PARTIAL_SCHEMA = "model int, grad binary"
 
 
 @dataclass(frozen=True)
@@ -124,12 +123,21 @@ def prepare(
     model = CountVectorizerModel.from_vocabulary(found["term"].tolist(), "terms", "counts")
     sparse = model.transform(docs).select("split", "y", F.unwrap_udt("counts").alias("v"))
     table = cut_lineage(sparse.select("split", "y", F.col("v.indices").alias("idx"), F.col("v.values").alias("x")))
+    table = _fewer_partitions(table, len(found))
     return Corpus(
         spark, table, found["term"].tolist(), found["df"].to_numpy(float), found["ngram"].to_numpy(int),
         found["idf"].to_numpy(float), int(counted.n), int(counted.k),
     )
 
 
+def _fewer_partitions(table: DataFrame, terms: int) -> DataFrame:
+    """Every partition sends one value per model and term; none should hold fewer entries
+    than terms. Only tables that are small for their vocabulary are affected."""
+    entries = table.agg(F.sum(F.size("idx"))).first()[0] or 0
+    wanted = max(1, int(entries // terms))
+    return table if table.rdd.getNumPartitions() <= wanted else table.coalesce(wanted)
+
+
 # --- inside the tasks ---------------------------------------------------------------
 
 
@@ -174,13 +182,26 @@ def _gradients(shared_var):
             bias += slope.sum(axis=0)
             seen = True
         if seen:
-            yield pd.DataFrame(
-                {"model": np.arange(models), "grad": [np.append(total[m], bias[m]) for m in range(models)]}
-            )
+            cells = np.column_stack([total, bias])
+            yield pd.DataFrame({"model": np.arange(models), "grad": [row.tobytes() for row in cells]})
 
     return run
 
 
+def _add_up(batches):
+    """Sum the partial gradients of the models that arrive in this task, one by one."""
+    sums: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        for model, cells in zip(pdf["model"], pdf["grad"]):
+            part = np.frombuffer(cells)
+            if model in sums:
+                sums[model] += part
+            else:
+                sums[model] = part.copy()
+    if sums:
+        yield pd.DataFrame({"model": list(sums), "grad": [s.tobytes() for s in sums.values()]})
+
+
 def _tallies(shared_var):
     def run(batches):
         shared = shared_var.value
@@ -246,20 +267,17 @@ def _train_group(corpus: Corpus, specs: list[ModelSpec]) -> tuple[np.ndarray, np
     squares, bias_squares = np.zeros_like(weights), np.zeros_like(intercepts)
     epochs = np.array([s.max_iter for s in specs])
     train = corpus.table.filter(F.col("split") == "train").select("y", "idx", "x")
+    train_parts = train.rdd.getNumPartitions()
     for epoch in range(int(epochs.max())):
         shared = _shared_for(corpus, specs, weights, intercepts)
         sent = spark.sparkContext.broadcast(shared)
-        sums = (
-            train.mapInPandas(_gradients(sent), "model int, grad array<double>")
-            .select("model", array_to_vector("grad").alias("grad"))
-            .groupBy("model")
-            .agg(Summarizer.sum(F.col("grad")).alias("grad"))
-            .collect()
-        )
-        sent.unpersist()
+        partials = train.mapInPandas(_gradients(sent), _PARTIAL_SCHEMA)
+        if train_parts > 1:
+            partials = partials.repartition(min(train_parts, len(specs)), "model").mapInPandas(_add_up, _PARTIAL_SCHEMA)
         gradient = np.zeros((len(specs), terms + 1))
-        for row in sums:
-            gradient[row["model"]] = row["grad"].toArray()
+        for model, cells in zip(*partials.toArrow().to_pydict().values()):
+            gradient[model] = np.frombuffer(cells)
+        sent.unpersist()
         # the order of summation may differ between runs; rounding hides it
         gradient = np.round(gradient, 12)
         live = (epochs > epoch)[:, None]
@@ -376,6 +394,12 @@ def confusion(predictions: DataFrame, label: str = "label", prediction: str = "p
     return predictions.groupBy(*by).agg(*cells) if by else predictions.agg(*cells)
 
 
+def compact(df: DataFrame, rows_per_partition: int = 5_000) -> DataFrame:
+    """Fewer partitions for a small training table: an iterative solver pays per task."""
+    wanted = max(1, df.count() // rows_per_partition)
+    return df if df.rdd.getNumPartitions() <= wanted else df.coalesce(wanted)
+
+
 def train_logistic(
     features: DataFrame, alpha: float, label: str = "label01", column: str = "features", max_iter: int = 100
 ):

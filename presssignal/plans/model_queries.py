@@ -9,6 +9,7 @@ from presssignal.operators import (
 )
 from presssignal.operators.linear import ModelSpec
 from presssignal.plans.registry import query
+from presssignal.session import cut_lineage
 from presssignal.sources import files, standins
 
 QUERY, SERIES = "en", "click.csv"
@@ -372,7 +373,10 @@ def logistic_keywords(spark, sf):
     """Word weights of a log-loss model with an l1 penalty, by the built-in solver."""
     stop = features.stop_words_for(QUERY)
     rows, terms = components.tfidf_vectors(split_core(spark, sf), "title", stop, 0.016, 0.5)
-    train = rows.filter(F.col("split") == "train").withColumn("label01", (F.col("trend") > 0).cast("double"))
+    train = rows.filter(F.col("split") == "train").select(
+        "features", (F.col("trend") > 0).cast("double").alias("label01")
+    )
+    train = linear.compact(cut_lineage(train))
     model = linear.train_logistic(train, 1e-3)
     pairs = [(t, float(w)) for t, w in zip(terms, model.coefficients.toArray())]
     return report.ordered_keywords(spark.createDataFrame(pairs, "term string, weight double"))
