@@ -401,7 +401,7 @@ def compact(df: DataFrame, rows_per_partition: int = 5_000) -> DataFrame:
 
 
 def train_logistic(
-    features: DataFrame, alpha: float, label: str = "label01", column: str = "features", max_iter: int = 100
+    features: DataFrame, alpha: float, label: str = "label01", column: str = "features", max_iter: int = 20
 ):
     """Log loss with an l1 penalty by the built-in solver (labels 0/1)."""
     from pyspark.ml.classification import LogisticRegression

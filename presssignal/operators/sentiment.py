@@ -38,7 +38,7 @@ def fit_sentiment(
     stages.append(
         LogisticRegression(
             featuresCol="_features", labelCol="label01", predictionCol="_said", elasticNetParam=1.0,
-            regParam=alpha, standardization=False, maxIter=50,
+            regParam=alpha, standardization=False, maxIter=20,
         )
     )
     return Pipeline(stages=stages).fit(rows)
