@@ -33,7 +33,7 @@ def first_date_text(col: Column) -> Column:
     return F.regexp_extract(col, _FIND_DATE, 0)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -49,9 +49,9 @@ def _full_year(year: Column, reference_year: Column) -> Column:
         )
 
     def widened(y: Column) -> Column:
-        return F.when(y < 100, _let(y + F.floor(reference_year / 100) * 100, nearest)).otherwise(y).cast("int")
+        return F.when(y < 100, let(y + F.floor(reference_year / 100) * 100, nearest)).otherwise(y).cast("int")
 
-    return _let(year, widened)
+    return let(year, widened)
 
 
 def parse_date(col: Column, reference_year: int | None = None) -> Column:
@@ -77,9 +77,9 @@ def parse_date(col: Column, reference_year: int | None = None) -> Column:
             usable = n["day"].between(1, 31) & n["year"].between(1, 9999)
             return F.when(usable, F.try_to_date(text, "yyyy-M-d"))
 
-        return _let(numbers, as_date)
+        return let(numbers, as_date)
 
-    return _let(F.split(first_date_text(col), ",? "), lambda p: F.when(F.size(p) == 3, from_parts(p)))
+    return let(F.split(first_date_text(col), ",? "), lambda p: F.when(F.size(p) == 3, from_parts(p)))
 
 
 def is_date_line(col: Column) -> Column:

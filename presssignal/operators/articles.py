@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presssignal.operators.sizing import broadcast_if_small
+from presssignal.session import cut_lineage
 
 KEY = ["query", "title"]
 _INSERT_COLUMNS = ["query", "title", "date", "url", "search_range", "page_num"]
@@ -112,11 +113,12 @@ def upsert_articles(
         chosen = first_per_key(new_or_earlier(incoming, existing, key), key)
         return _replace_rows(existing, chosen.drop("full_text", "sentiment"), key)
     if mode == "titles":
-        fresh = first_per_key(only_new(incoming, existing).select(*_INSERT_COLUMNS), key)
+        fresh = cut_lineage(first_per_key(only_new(incoming, existing).select(*_INSERT_COLUMNS), key))
         return _replace_rows(existing, fresh, key)
     if mode != "earliest":
         raise ValueError(f"unknown mode: {mode}")
-    fresh = first_per_key(incoming.select(*_INSERT_COLUMNS), key)
+    # used several times below; the pages behind it should be parsed once
+    fresh = cut_lineage(first_per_key(incoming.select(*_INSERT_COLUMNS), key))
     moved = ["date", "url", "search_range", "page_num"]
     new = broadcast_if_small(fresh.select(*[F.col(c).alias(f"_i_{c}") for c in fresh.columns]))
     order_new = F.struct(*[F.col(f"_i_{c}") for c in ("date", "search_range", "page_num", "url")])

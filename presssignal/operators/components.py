@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presssignal.operators.features import add_terms, fit_vocabulary
+from presssignal.operators.features import add_terms, fit_vocabulary, tfidf_vectors
 from presssignal.operators.linear import train_logistic
 from presssignal.session import cut_lineage
 
 COMPONENTS = 7  # fixed value
 
 
-def tfidf_vectors(
+def split_vectors(
     split_rows: DataFrame, text: str, stop_words: list[str], min_df: float, max_df: float,
     ngram_max: int = 2, norm: str = "l2",
 ) -> tuple[DataFrame, list[str]]:
@@ -30,12 +28,8 @@ def tfidf_vectors(
     )
     if found.empty:
         return docs.drop("terms").withColumn("features", F.lit(None)), []
-    counts = CountVectorizerModel.from_vocabulary(found["term"].tolist(), "terms", "_counts").transform(docs)
-    weighted = ElementwiseProduct(
-        scalingVec=Vectors.dense(found["idf"].to_numpy()), inputCol="_counts", outputCol="_weighted"
-    ).transform(counts)
-    scaled = Normalizer(p=1.0 if norm == "l1" else 2.0, inputCol="_weighted", outputCol="features").transform(weighted)
-    return scaled.drop("terms", "_counts", "_weighted"), found["term"].tolist()
+    words = found["term"].tolist()
+    return tfidf_vectors(docs, words, found["idf"].tolist(), norm).drop("terms"), words
 
 
 def component_keywords(
@@ -48,7 +42,7 @@ def component_keywords(
     vocabulary's length come back.
     """
     spark = split_rows.sparkSession
-    rows, terms = tfidf_vectors(split_rows, text, stop_words, min_df, max_df, ngram_max, norm)
+    rows, terms = split_vectors(split_rows, text, stop_words, min_df, max_df, ngram_max, norm)
     schema = "term string, weight double"
     if len(terms) <= k:
         return spark.createDataFrame([], schema)

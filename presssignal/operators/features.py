@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import NGram, StopWordsRemover
+import pandas as pd
+from pyspark.ml.feature import (
+    CountVectorizerModel,
+    ElementwiseProduct,
+    NGram,
+    Normalizer,
+    StopWordsRemover,
+)
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presssignal.functions.dates import let
 from presssignal.functions.text import WORD_CLASS
-from presssignal.operators.sizing import broadcast_if_small
+from presssignal.operators.sizing import BROADCAST_ROWS, broadcast_if_small
+from presssignal.session import cut_lineage
+
+PRUNE_ABOVE = 200_000  # documents
 
 
 def english_stop_words() -> list[str]:
@@ -39,24 +51,45 @@ def add_terms(
     return out.withColumn(name, F.concat(*grams)).select(*docs.columns, name)
 
 
+def counted(terms: Column) -> Column:
+    """Array of (term, tf) of one row: the sorted array, cut where the term changes."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(
+            F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        )
+
+        def lengths(at: Column) -> Column:
+            return F.transform(
+                at,
+                lambda i, k: F.struct(
+                    F.get(s, i).alias("term"),
+                    (F.coalesce(F.get(at, k + 1), n) - i).cast("bigint").alias("tf"),
+                ),
+            )
+
+        return let(starts, lengths)
+
+    return F.when(F.size(terms) > 0, let(F.sort_array(terms), runs))
+
+
 def term_counts(docs: DataFrame, doc_id: str, terms: str = "terms") -> DataFrame:
     """``doc_id, term, tf`` in long form.
 
-    Rows of one document start in one task, so the partial aggregation already yields the
-    final counts; only those move.
+    A document is one row, so its terms are counted where the row is: nothing moves.
     """
-    return (
-        docs.select(doc_id, F.explode(terms).alias("term"))
-        .groupBy(doc_id, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return docs.select(doc_id, F.inline(counted(F.col(terms))))
 
 
 def document_frequency(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """``term, df, ngram``: documents that hold the term. One shuffle, keyed by term."""
+    return _count_documents(docs.select(F.explode(F.array_distinct(terms)).alias("term")))
+
+
+def _count_documents(distinct_terms: DataFrame) -> DataFrame:
     return (
-        docs.select(F.explode(F.array_distinct(terms)).alias("term"))
-        .groupBy("term")
+        distinct_terms.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("ngram", F.size(F.split("term", " ")))
     )
@@ -74,19 +107,39 @@ def smooth_idf(df: Column, n_docs: Column) -> Column:
 
 
 def fit_vocabulary(
-    docs: DataFrame, min_df: float, max_df: float, terms: str = "terms"
+    docs: DataFrame, min_df: float, max_df: float, terms: str = "terms", prune_above: int = PRUNE_ABOVE
 ) -> DataFrame:
     """``term, df, ngram, idf`` of the documents given (train rows only, for a model).
 
     A vocabulary with ``min_df`` above 0 holds at most (mean distinct terms per document)
-    / min_df terms, whatever the number of documents.
+    / min_df terms, whatever the number of documents. For a large corpus the grams that
+    cannot pass ``min_df`` are kept out of the shuffle; the result is the same.
     """
-    n_docs = F.lit(docs.count())
-    return (
-        document_frequency(docs, terms)
-        .filter(within_bounds(F.col("df"), n_docs, min_df, max_df))
-        .withColumn("idf", smooth_idf(F.col("df"), n_docs))
+    n = docs.count()
+    counts = (
+        document_frequency(docs, terms) if n <= prune_above or min_df * n <= 1 else _frequent_terms(docs, min_df * n, terms)
     )
+    return counts.filter(within_bounds(F.col("df"), F.lit(n), min_df, max_df)).withColumn(
+        "idf", smooth_idf(F.col("df"), F.lit(n))
+    )
+
+
+def _frequent_terms(docs: DataFrame, least: float, terms: str) -> DataFrame:
+    """Terms of at least ``least`` documents, without counting most rare n-grams.
+
+    An n-gram occurs in no more documents than its words do. Words are counted first, and
+    longer grams only where their outer words are frequent.
+    """
+    single = F.filter(terms, lambda x: ~x.contains(" "))
+    longer = F.filter(terms, lambda x: x.contains(" "))
+    words = document_frequency(docs.select(single.alias("terms"))).filter(F.col("df") >= least)
+    words = cut_lineage(words)  # read three times
+    frequent = broadcast_if_small(words.select(F.col("term").alias("_word")))
+    grams = docs.select(F.explode(F.array_distinct(longer)).alias("term"))
+    for position in (1, -1):
+        outer = F.split_part("term", F.lit(" "), F.lit(position))
+        grams = grams.join(frequent, outer == F.col("_word"), "left_semi")
+    return words.unionByName(_count_documents(grams).filter(F.col("df") >= least))
 
 
 def row_normalised(weights: DataFrame, doc_id: str, norm: str | None, name: str = "tfidf") -> DataFrame:
@@ -105,8 +158,48 @@ def row_normalised(weights: DataFrame, doc_id: str, norm: str | None, name: str
     ).drop("_size")
 
 
-def tfidf(counts: DataFrame, vocabulary: DataFrame, doc_id: str, norm: str | None = "l2") -> DataFrame:
-    """``doc_id, term, tfidf`` of counts against a fitted vocabulary."""
-    words = broadcast_if_small(vocabulary.select("term", "idf"))
-    raw = counts.join(words, "term").select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
+def tfidf_joined(docs: DataFrame, vocabulary: DataFrame, doc_id: str, norm: str | None = "l2", terms: str = "terms") -> DataFrame:
+    """Weights by joins, for vocabularies of any size."""
+    raw = (
+        term_counts(docs, doc_id, terms)
+        .join(vocabulary.select("term", "idf"), "term")
+        .select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
+    )
     return row_normalised(raw, doc_id, norm)
+
+
+def tfidf_vectors(
+    docs: DataFrame, words: list[str], idf: list[float], norm: str | None = "l2", terms: str = "terms",
+    name: str = "features",
+) -> DataFrame:
+    """Adds sparse weight vectors over ``words``; every step is row by row."""
+    out = CountVectorizerModel.from_vocabulary(words, terms, "_counts").transform(docs)
+    out = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_counts", outputCol="_weighted").transform(out)
+    if norm is None:
+        return out.withColumnRenamed("_weighted", name).drop("_counts")
+    scale = Normalizer(p=1.0 if norm == "l1" else 2.0, inputCol="_weighted", outputCol=name)
+    return scale.transform(out).drop("_counts", "_weighted")
+
+
+def tfidf(
+    docs: DataFrame, vocabulary: DataFrame, doc_id: str, norm: str | None = "l2", terms: str = "terms"
+) -> DataFrame:
+    """``doc_id, term, tfidf`` of tokenised documents against a fitted vocabulary.
+
+    A vocabulary of at most ``BROADCAST_ROWS`` terms becomes the index of sparse vectors,
+    so that neither counts nor weights are shuffled; a larger one is joined.
+    """
+    if norm not in ("l1", "l2", None):
+        raise ValueError(f"unknown norm: {norm}")
+    found = vocabulary.select("term", "idf").limit(BROADCAST_ROWS + 1).toPandas().sort_values("term")
+    if found.empty or len(found) > BROADCAST_ROWS:
+        return tfidf_joined(docs, vocabulary, doc_id, norm, terms)
+    words = found["term"].tolist()
+    vectors = tfidf_vectors(docs, words, found["idf"].tolist(), norm, terms)
+    index = docs.sparkSession.createDataFrame(
+        pd.DataFrame({"_i": range(len(words)), "term": words}), "_i int, term string"
+    )
+    parts = vectors.select(doc_id, F.unwrap_udt("features").alias("v")).select(
+        doc_id, F.inline(F.arrays_zip(F.col("v.indices").alias("_i"), F.col("v.values").alias("tfidf")))
+    )
+    return parts.join(F.broadcast(index), "_i").select(doc_id, "term", "tfidf")

@@ -217,11 +217,11 @@ w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN v USING (term))
 SELECT doc_id, term, round(w / {size}, 8) AS tfidf FROM w"""
 
 
-def _tfidf(spark, sf, norm):
+def _tfidf(spark, sf, norm, weigh=features.tfidf):
     docs = dataset.random_split(_docs(spark, sf), ["doc_id"], 0.8, seed=5)
     terms = features.add_terms(docs, "text", STOP, 2)
     words = features.fit_vocabulary(terms.filter(F.col("split") == "train"), 0.01, 0.2)
-    return features.tfidf(features.term_counts(terms, "doc_id"), words, "doc_id", norm)
+    return weigh(terms, words, "doc_id", norm)
 
 
 @query(_tfidf_sql("l1"))
@@ -235,6 +235,12 @@ def tfidf_l2(spark, sf):
     return _tfidf(spark, sf, "l2").withColumn("tfidf", F.round("tfidf", 8))
 
 
+@query(_tfidf_sql("l2"))
+def tfidf_l2_joined(spark, sf):
+    """The same by joins, the way of vocabularies too large to send around."""
+    return _tfidf(spark, sf, "l2", features.tfidf_joined).withColumn("tfidf", F.round("tfidf", 8))
+
+
 @query(
     f"""WITH {_COUNTS}, df AS (SELECT term, count(*) AS df, len(string_split(term, ' ')) AS k FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
 g AS (SELECT i, 0.01 * pow(2.0::DOUBLE, i / 3.0::DOUBLE) AS lo FROM range(4) a(i)), h AS (SELECT j, 0.05 * pow(4.0::DOUBLE, j / 3.0::DOUBLE) AS hi FROM range(4) b(j)), m AS (SELECT unnest([1, 2]) AS ngram_max)
@@ -245,7 +251,9 @@ FROM g, h, m, df GROUP BY 1, 2, 3"""
 def grid_vocabulary_sizes(spark, sf):
     """Vocabulary size of every feature mask of the grid, from one pass of the terms."""
     docs = _terms(spark, sf)
-    sizes = grid.mask_sizes(features.document_frequency(docs), docs.count(), grid.grid_table(spark))
+    # the loosest bounds of the grid hold every mask
+    terms = features.fit_vocabulary(docs, grid.MIN_DF[0], grid.MAX_DF[1])
+    sizes = grid.mask_sizes(terms, docs.count(), grid.grid_table(spark))
     return sizes.withColumn("min_df", F.round("min_df", 9)).withColumn("max_df", F.round("max_df", 9))
 
 
@@ -372,7 +380,7 @@ def seed_stability(spark, sf):
 def logistic_keywords(spark, sf):
     """Word weights of a log-loss model with an l1 penalty, by the built-in solver."""
     stop = features.stop_words_for(QUERY)
-    rows, terms = components.tfidf_vectors(split_core(spark, sf), "title", stop, 0.016, 0.5)
+    rows, terms = components.split_vectors(split_core(spark, sf), "title", stop, 0.016, 0.5)
     train = rows.filter(F.col("split") == "train").select(
         "features", (F.col("trend") > 0).cast("double").alias("label01")
     )

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from presssignal.functions.markup import extract_hits
 from presssignal.operators.articles import first_per_key, upsert_articles
 from presssignal.operators.titles import MIN_WORDS, one_row_per_title, usable_hits
-from presssignal.sources.files import tag_pages
+from presssignal.sources.files import spread, tag_pages
 from presssignal.sources.tables import ARTICLE_SCHEMA, read_latest, write_next
 
 _HIT_SCHEMA = "query string, title string, date date, url string, search_range string, page_num int"
@@ -57,7 +57,7 @@ def ingest(
     """Start the stream; it stops when everything available has been read."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        titles = page_titles(batch, min_words, reference_year, **hit_options)
+        titles = page_titles(spread(batch), min_words, reference_year, **hit_options)
         first_per_key(titles).write.mode("overwrite").parquet(f"{out}/hits/batch={batch_id}")
 
     return (

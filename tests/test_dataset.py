@@ -66,3 +66,23 @@ def test_leakage_counts_pairs_without_making_them(spark):
     rows = spark.range(60).select(F.lit("2018-01-01").cast("date").alias("date"), F.lit("same").alias("title"), F.lit(1).alias("trend"), F.when(F.col("id") < 40, "train").otherwise("test").alias("split"))
     row = dataset.leakage(rows).first()
     assert (row.in_train, row.in_test, row.pairs) == (40, 20, 800)
+
+
+@pytest.mark.parametrize("min_df, max_df", [(0.01, 1.0), (0.1, 0.6), (0.3, 1.0)])
+def test_vocabulary_pruning_is_exact(spark, min_df, max_df):
+    docs = spark.range(40).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(F.lit("w"), F.pmod(F.hash("id", i), F.lit(9)).cast("string")))).alias("text"))
+    docs = features.add_terms(docs, "text", [], 2)
+    plain = features.document_frequency(docs).filter(features.within_bounds(F.col("df"), F.lit(40), min_df, max_df))
+    for prune_above in (0, 1000):
+        got = features.fit_vocabulary(docs, min_df, max_df, prune_above=prune_above).select("term", "df", "ngram")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_both_tfidf_ways_agree(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa cc"), (2, "bb cc"), (3, "zz"), (4, "")], "id int, text string")
+    docs = features.add_terms(docs, "text", [], 2)
+    words = features.fit_vocabulary(docs, 0.1, 0.9)
+    for norm in ("l1", "l2", None):
+        a = features.tfidf(docs, words, "id", norm).select("id", "term", F.round("tfidf", 9)).collect()
+        b = features.tfidf_joined(docs, words, "id", norm).select("id", "term", F.round("tfidf", 9)).collect()
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 10
