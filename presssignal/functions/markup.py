@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presssignal.functions.dates import let
 from presssignal.functions.text import strip_blanks
 from presssignal.functions.urls import resolve_url
 
@@ -205,16 +206,20 @@ def base_url(html: Column) -> Column:
     return F.regexp_extract(html, r"(?i)<base\b[^>]*\bhref=\"([^\"]*)\"", 1)
 
 
-def _cells(html: Column, cell: str, anchor: str) -> Column:
+def _pieces(html: Column, cell: str, anchor: str) -> Column:
     """Pieces starting at a cell's opening tag that hold a wanted anchor."""
-    return F.filter(
-        F.slice(F.split(html, rf"(?i)<{cell}\b"), 2, F.greatest(F.size(F.split(html, rf"(?i)<{cell}\b")), F.lit(1))),
-        lambda x: x.rlike(anchor),
+    return let(
+        F.split(html, rf"(?i)<{cell}\b"),
+        lambda s: F.filter(F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda x: x.rlike(anchor)),
     )
 
 
-def _cell_inner(piece: Column, cell: str) -> Column:
-    return F.regexp_extract(piece, rf"(?is)^[^>]*>(.*?)</{cell}\s*>", 1)
+def _cell(piece: Column, cell: str) -> Column:
+    """Inner markup of the cell and the text right behind it."""
+    return F.struct(
+        F.regexp_extract(piece, rf"(?is)^[^>]*>(.*?)</{cell}\s*>", 1).alias("inner"),
+        F.regexp_extract(piece, rf"(?is)</{cell}\s*>([^<]*)", 1).alias("tail"),
+    )
 
 
 def _flat(inner: Column) -> Column:
@@ -238,38 +243,29 @@ def extract_hits(
     None accepts every anchor.
     """
     anchor = r"(?i)<a\b" if target is None else rf"(?i)<a\b[^>]*\btarget=\"{target}\""
-    source = F.col(html)
-    pieces = _cells(source, cell_tag, anchor)
-    inners = F.transform(pieces, lambda p: _cell_inner(p, cell_tag))
-    in_cells = F.aggregate(
-        F.transform(inners, lambda x: F.regexp_count(x, F.lit(anchor))), F.lit(0), lambda a, b: a + b
-    )
     # other spellings of the attribute are left to the parser
     loose = anchor if target is None else rf"(?i)<a\b[^>]*\btarget\s*=\s*[\"']?{target}\b"
+    source, cells = F.col(html), F.col("_cells")
+    in_cells = F.aggregate(cells, F.lit(0), lambda n, c: n + F.regexp_count(c["inner"], F.lit(anchor)))
+    readable = F.forall(
+        cells,
+        lambda c: _flat(c["inner"])
+        & c["inner"].rlike(r"(?i)<a\b[^>]*\bhref=\"")
+        & ~has_other_entities(F.concat(c["inner"], c["tail"])),
+    )
     regular = (
-        (in_cells == F.regexp_count(source, F.lit(loose)))
-        & F.forall(pieces, lambda p: p.rlike(r"(?i)<a\b[^>]*\bhref=\""))
-        & F.forall(inners, _flat)
-        & ~has_other_entities(F.array_join(pieces, " "))
-        & ~source.contains("<!--<")
+        (in_cells == F.regexp_count(source, F.lit(loose))) & readable & ~source.contains("<!--<")
     )
     if force_tree:
         regular = F.lit(False)
     native = F.transform(
-        pieces,
-        lambda p: F.struct(
-            unescape_simple(
-                F.regexp_extract(_cell_inner(p, cell_tag), r"(?is)<a\b[^>]*>([^<]*)", 1)
-            ).alias("title"),
+        cells,
+        lambda c: F.struct(
+            unescape_simple(F.regexp_extract(c["inner"], r"(?is)<a\b[^>]*>([^<]*)", 1)).alias("title"),
             unescape_simple(
-                F.concat(
-                    F.regexp_replace(_cell_inner(p, cell_tag), r"<[^>]*>", ""),
-                    F.regexp_extract(p, rf"(?is)</{cell_tag}\s*>([^<]*)", 1),
-                )
+                F.concat(F.regexp_replace(c["inner"], r"<[^>]*>", ""), c["tail"])
             ).alias("content"),
-            unescape_simple(
-                F.regexp_extract(p, r"(?is)<a\b[^>]*?\bhref=\"([^\"]*)\"", 1)
-            ).alias("href"),
+            unescape_simple(F.regexp_extract(c["inner"], r"(?is)<a\b[^>]*?\bhref=\"([^\"]*)\"", 1)).alias("href"),
         ),
     )
     native = F.filter(native, lambda h: h["title"] != "")
@@ -278,7 +274,8 @@ def extract_hits(
     base = F.coalesce(base, F.col(page_url)) if page_url else F.coalesce(base, F.lit(""))
     parsed = _hits_by_tree(target)(F.when(~F.col("_regular"), source))
     return (
-        pages.withColumn("_regular", F.coalesce(regular, F.lit(True)))
+        pages.withColumn("_cells", F.transform(_pieces(source, cell_tag, anchor), lambda p: _cell(p, cell_tag)))
+        .withColumn("_regular", F.coalesce(regular, F.lit(True)))
         .withColumn("_parsed", parsed)
         .withColumn("_hit", F.explode(F.when(F.col("_regular"), native).otherwise(F.col("_parsed"))))
         .select(

@@ -109,11 +109,14 @@ def upsert_articles(
     ``titles``: rows that pass ``only_new`` replace a stored row of the same key, with
     bodies empty; a later date may thus replace an earlier one, and order matters.
     """
+    # copies of one title and day shrink to one row before they meet the stored table
+    day_key = [*key, *(["date"] if "date" not in key else [])]
     if mode == "fetch":
-        chosen = first_per_key(new_or_earlier(incoming, existing, key), key)
+        chosen = first_per_key(new_or_earlier(first_per_key(incoming, day_key), existing, key), key)
         return _replace_rows(existing, chosen.drop("full_text", "sentiment"), key)
     if mode == "titles":
-        fresh = cut_lineage(first_per_key(only_new(incoming, existing).select(*_INSERT_COLUMNS), key))
+        rows = first_per_key(incoming.select(*_INSERT_COLUMNS), day_key)
+        fresh = cut_lineage(first_per_key(only_new(rows, existing), key))
         return _replace_rows(existing, fresh, key)
     if mode != "earliest":
         raise ValueError(f"unknown mode: {mode}")

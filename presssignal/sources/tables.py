@@ -32,21 +32,26 @@ def _folder(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions under ``root`` (those with a success marker)."""
+def numbered_folders(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers N of the folders ``name=N`` that hold a success marker."""
     fs, folder = _folder(spark, root)
     if not fs.exists(folder):
         return []
     found = []
     for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(
+        entry = status.getPath().getName()
+        if entry.startswith(f"{name}=") and fs.exists(
             spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
         ):
-            found.append(int(name.split("=", 1)[1]))
+            found.append(int(entry.split("=", 1)[1]))
     return sorted(found)
 
 
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Complete versions under ``root``."""
+    return numbered_folders(spark, root, "version")
+
+
 def read_latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """The newest complete version, or an empty table."""
     known = versions(spark, root)
@@ -55,10 +60,15 @@ def read_latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).parquet(f"{root}/version={known[-1]}")
 
 
-def write_next(df: DataFrame, root: str, partition_by: list[str] | None = None) -> int:
+def write_next(
+    df: DataFrame, root: str, partition_by: list[str] | None = None, number: int | None = None
+) -> int:
     """Write a new version beside the one that ``df`` may be reading."""
     known = versions(df.sparkSession, root)
-    number = known[-1] + 1 if known else 0
+    if number is None:
+        number = known[-1] + 1 if known else 0
+    elif known and number <= known[-1]:
+        raise ValueError(f"version {number} is not newer than {known[-1]}")
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -17,7 +17,7 @@ from presssignal.functions.markup import extract_hits
 from presssignal.operators.articles import first_per_key, upsert_articles
 from presssignal.operators.titles import MIN_WORDS, one_row_per_title, usable_hits
 from presssignal.sources.files import spread, tag_pages
-from presssignal.sources.tables import ARTICLE_SCHEMA, read_latest, write_next
+from presssignal.sources.tables import ARTICLE_SCHEMA, numbered_folders, read_latest, versions, write_next
 
 _HIT_SCHEMA = "query string, title string, date date, url string, search_range string, page_num int"
 _PAGE_KEY = ["query", "search_range", "page_num"]
@@ -72,17 +72,28 @@ def ingest_stream(spark: SparkSession, root: str, out: str, max_files: int | Non
     return ingest(page_stream(spark, root, max_files), out, **options)
 
 
-def ingested_hits(spark: SparkSession, out: str) -> DataFrame:
-    """All batch folders."""
-    return spark.read.schema(_HIT_SCHEMA).option("recursiveFileLookup", True).parquet(f"{out}/hits")
+def ingested_hits(spark: SparkSession, out: str, after: int = -1) -> DataFrame:
+    """Batch folders with a number above ``after``; older ones are not even opened."""
+    hits = spark.read.schema(_HIT_SCHEMA + ", batch long").parquet(f"{out}/hits")
+    return hits.filter(F.col("batch") > after)
 
 
 def current_articles(spark: SparkSession, out: str) -> DataFrame:
-    """The article table as of now: the folded version merged with all batches."""
+    """The article table as of now: the last folded version merged with later batches."""
+    folded = versions(spark, f"{out}/articles")
     stored = read_latest(spark, f"{out}/articles", ARTICLE_SCHEMA)
-    return upsert_articles(stored, ingested_hits(spark, out))
+    later = ingested_hits(spark, out, folded[-1] if folded else -1)
+    return upsert_articles(stored, later.drop("batch"))
 
 
 def fold_batches(spark: SparkSession, out: str) -> int:
-    """Write the merged table as a new version; folding a batch twice changes nothing."""
-    return write_next(current_articles(spark, out), f"{out}/articles")
+    """Write the merged table as the version numbered like its last batch.
+
+    Merging is idempotent, so a fold that is repeated, or one that meets a batch twice,
+    gives the same table.
+    """
+    done = numbered_folders(spark, f"{out}/hits", "batch")
+    folded = versions(spark, f"{out}/articles")
+    if not done or (folded and folded[-1] >= done[-1]):
+        return folded[-1] if folded else -1
+    return write_next(current_articles(spark, out), f"{out}/articles", number=done[-1])
