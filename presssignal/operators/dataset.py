@@ -75,48 +75,65 @@ def hash_order(key: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
-def random_split(
-    rows: DataFrame,
-    key: list[str],
-    share: float = TRAIN_SHARE,
-    seed: int = 0,
-    sentiment_filter: bool = False,
+def _mark_first(
+    rows: DataFrame, key: list[str], seed: int, share: float | None = None, quota: str | None = None
 ) -> DataFrame:
-    """Adds ``split``: the first ``int(n * share)`` rows in seeded hash order are 'train'.
+    """Adds ``_first``: true for the first rows in seeded hash order.
 
-    Exact without ranking all rows: keys are counted per hash prefix, running totals over
-    the at most 65536 prefixes find the one that holds the cut, and only that prefix is
-    ranked, on its keys alone. The rows themselves are never shuffled. ``key`` must
-    identify a row. With ``sentiment_filter`` the train rows are thinned after the cut.
+    How many: ``int(n * share)``, or the number in the column ``quota`` (the same in every
+    row). Keys are counted per hash prefix, running totals over the at most 65536 prefixes
+    find the one that holds the cut, and only the distinct keys of that prefix are ranked.
+    The rows themselves are never shuffled. Copies of one key stay on one side, that of
+    the first of them, and count as one row with a weight: a hot key is not ranked row by row.
     """
-    keys = rows.select(*key).withColumn("_h", hash_order(key, seed)).withColumn(
-        "_bucket", F.substring("_h", 1, _HEX_DIGITS)
+    keys = rows.withColumn("_h", hash_order(key, seed)).select(
+        "_h", F.substring("_h", 1, _HEX_DIGITS).alias("_bucket"), *key, *([quota] if quota else [])
     )
-    counts = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    most = F.max(quota) if quota else F.lit(None).cast("bigint")
+    counts = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), most.alias("_most"))
+    everything = Window.partitionBy()
+    running = everything.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.max("_most").over(everything) if quota else (F.sum("_n").over(everything) * F.lit(share)).cast("bigint")
     # one row per prefix, at most 65536
-    bounds = (
-        counts.withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
-        .withColumn("_cut", (F.sum("_n").over(Window.partitionBy()) * F.lit(share)).cast("bigint"))
-        .select(F.col("_bucket").alias("_b"), "_n", "_before", "_cut")
+    bounds = counts.select(
+        F.col("_bucket").alias("_b"), "_n", (F.sum("_n").over(running) - F.col("_n")).alias("_before"), cut.alias("_cut")
     )
     straddling = bounds.filter((F.col("_before") < F.col("_cut")) & (F.col("_before") + F.col("_n") > F.col("_cut")))
-    in_bucket = Window.partitionBy("_bucket").orderBy("_h", *key)
-    last_train = (
+    in_bucket = Window.partitionBy("_b").orderBy("_h", *key).rowsBetween(Window.unboundedPreceding, 0)
+    last = (
         keys.join(F.broadcast(straddling), F.col("_bucket") == F.col("_b"))
-        .withColumn("_rank", F.row_number().over(in_bucket))
-        .filter(F.col("_rank") == F.col("_cut") - F.col("_before"))
-        .select(F.col("_b").alias("_lb"), F.struct("_h", *key).alias("_last"))
+        .groupBy("_b", "_before", "_cut", "_h", *key)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .withColumn("_start", F.col("_before") + F.sum("_copies").over(in_bucket) - F.col("_copies"))
+        .filter(F.col("_start") < F.col("_cut"))
+        .groupBy(F.col("_b").alias("_lb"))
+        .agg(F.max(F.struct("_h", *key)).alias("_last"))
     )
-    marks = bounds.join(last_train, F.col("_b") == F.col("_lb"), "left").select("_b", "_n", "_before", "_cut", "_last")
-    mine = F.struct("_h", *key)
-    in_train = F.when(F.col("_before") + F.col("_n") <= F.col("_cut"), F.lit(True)).otherwise(
-        F.coalesce(mine <= F.col("_last"), F.lit(False))
+    marks = bounds.join(last, F.col("_b") == F.col("_lb"), "left").select("_b", "_n", "_before", "_cut", "_last")
+    first = F.when(F.col("_before") + F.col("_n") <= F.col("_cut"), F.lit(True)).otherwise(
+        F.coalesce(F.struct("_h", *key) <= F.col("_last"), F.lit(False))
     )
-    out = (
+    return (
         rows.withColumn("_h", hash_order(key, seed))
         .join(F.broadcast(marks), F.substring("_h", 1, _HEX_DIGITS) == F.col("_b"))
-        .select(*rows.columns, F.when(in_train, "train").otherwise("test").alias("split"))
+        .select(*rows.columns, first.alias("_first"))
+    )
+
+
+def random_split(
+    rows: DataFrame,
+    key: list[str],
+    share: float = TRAIN_SHARE,
+    seed: int = 0,
+    sentiment_filter: bool = False,
+) -> DataFrame:
+    """Adds ``split``: the first ``int(n * share)`` rows in seeded hash order are 'train'.
+
+    ``key`` should identify a row; copies of a key stay together. With
+    ``sentiment_filter`` the train rows are thinned after the cut.
+    """
+    out = _mark_first(rows, key, seed, share=share).select(
+        *rows.columns, F.when(F.col("_first"), "train").otherwise("test").alias("split")
     )
     if sentiment_filter:
         out = out.filter((F.col("split") == "test") | (F.col("trend") == F.col("sentiment")))
@@ -167,25 +184,11 @@ def head_tail_split(rows: DataFrame, key: list[str], share: float = TRAIN_SHARE)
         *rows.columns, F.when(F.col("_upto") <= F.col("_cut"), "train").otherwise("test").alias("split")
     )
     border = marked.filter((F.col("_upto") > F.col("_cut")) & (F.col("_before") < F.col("_cut")))
-    quota = F.col("_cut") - F.col("_before")
-    ordered = _ranked_by_prefix(border, key).withColumn(
-        "split", F.when(F.col("_rank") <= quota, "train").otherwise("test")
-    )
-    return whole.unionByName(ordered.select(*rows.columns, "split"))
-
-
-def _ranked_by_prefix(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Adds ``_rank`` in hash order, ranking each of 65536 prefixes on its own."""
-    hashed = rows.withColumn("_h", hash_order(key, 0)).withColumn("_bucket", F.substring("_h", 1, _HEX_DIGITS))
-    counts = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_k"))
-    running = Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = counts.select(
-        F.col("_bucket").alias("_b"), (F.sum("_k").over(running) - F.col("_k")).alias("_offset")
-    )
-    return hashed.join(F.broadcast(offsets), F.col("_bucket") == F.col("_b")).withColumn(
-        "_rank",
-        F.col("_offset") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", *key)),
+    border = border.select(*rows.columns, (F.col("_cut") - F.col("_before")).alias("_quota"))
+    parted = _mark_first(border, key, 0, quota="_quota").select(
+        *rows.columns, F.when(F.col("_first"), "train").otherwise("test").alias("split")
     )
+    return whole.unionByName(parted)
 
 
 def bernoulli_split(rows: DataFrame, key: list[str], share: float = TRAIN_SHARE, seed: int = 0) -> DataFrame:

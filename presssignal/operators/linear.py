@@ -147,9 +147,10 @@ def _fewer_partitions(table: DataFrame, terms: int) -> DataFrame:
 
 def _blocks(batches, shared):
     """Dense blocks over the columns that occur, with the row norms of every model."""
+    rows = max(1, min(_ROWS_PER_BLOCK, _CELLS_PER_PASS // max(1, len(shared.idf))))
     for pdf in batches:
-        for start in range(0, len(pdf), _ROWS_PER_BLOCK):
-            part = pdf.iloc[start : start + _ROWS_PER_BLOCK]
+        for start in range(0, len(pdf), rows):
+            part = pdf.iloc[start : start + rows]
             lengths = part["idx"].map(len).to_numpy()
             if lengths.sum():
                 flat = np.concatenate(part["idx"].to_numpy()).astype(int)

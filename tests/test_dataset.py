@@ -86,3 +86,11 @@ def test_both_tfidf_ways_agree(spark):
         a = features.tfidf(docs, words, "id", norm).select("id", "term", F.round("tfidf", 9)).collect()
         b = features.tfidf_joined(docs, words, "id", norm).select("id", "term", F.round("tfidf", 9)).collect()
         assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 10
+
+
+def test_copies_of_a_key_stay_together(spark):
+    rows = spark.range(900).select(F.when(F.col("id") < 300, F.lit(-1)).otherwise(F.col("id")).alias("id"))
+    out = dataset.random_split(rows, ["id"], 0.8, 4)
+    assert out.filter("id = -1").select("split").distinct().count() == 1
+    train = out.filter("split = 'train'").count()
+    assert 720 <= train < 720 + 300 and out.count() == 900
