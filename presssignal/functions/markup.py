@@ -47,6 +47,14 @@ def has_other_entities(col: Column) -> Column:
     return F.regexp_replace(col, _KNOWN_ENTITY, "").rlike(r"&(?:#\d|#[xX][0-9a-fA-F]|[A-Za-z])")
 
 
+def _live(html: Column) -> Column:
+    """Markup without comments and scripts, whose content is not part of the page."""
+    return F.when(
+        html.contains("<!--") | html.rlike(r"(?i)<script\b"),
+        F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>", ""),
+    ).otherwise(html)
+
+
 # --- a small element tree for irregular markup -------------------------------------
 
 _VOID = {"br", "img", "hr", "input", "meta", "link", "base", "col", "area", "wbr", "source"}
@@ -245,7 +253,7 @@ def extract_hits(
     anchor = r"(?i)<a\b" if target is None else rf"(?i)<a\b[^>]*\btarget=\"{target}\""
     # other spellings of the attribute are left to the parser
     loose = anchor if target is None else rf"(?i)<a\b[^>]*\btarget\s*=\s*[\"']?{target}\b"
-    source, cells = F.col(html), F.col("_cells")
+    source, live, cells = F.col(html), F.col("_live"), F.col("_cells")
     in_cells = F.aggregate(cells, F.lit(0), lambda n, c: n + F.regexp_count(c["inner"], F.lit(anchor)))
     readable = F.forall(
         cells,
@@ -254,7 +262,9 @@ def extract_hits(
         & ~has_other_entities(F.concat(c["inner"], c["tail"])),
     )
     regular = (
-        (in_cells == F.regexp_count(source, F.lit(loose))) & readable & ~source.contains("<!--<")
+        (in_cells == F.regexp_count(live, F.lit(loose))) & readable & ~live.contains("<!--")
+        # a comment inside an anchor ends its first text
+        & ~source.rlike(r"(?i)<a\b[^>]*>[^<]*<!--")
     )
     if force_tree:
         regular = F.lit(False)
@@ -274,7 +284,8 @@ def extract_hits(
     base = F.coalesce(base, F.col(page_url)) if page_url else F.coalesce(base, F.lit(""))
     parsed = _hits_by_tree(target)(F.when(~F.col("_regular"), source))
     return (
-        pages.withColumn("_cells", F.transform(_pieces(source, cell_tag, anchor), lambda p: _cell(p, cell_tag)))
+        pages.withColumn("_live", _live(source))
+        .withColumn("_cells", F.transform(_pieces(live, cell_tag, anchor), lambda p: _cell(p, cell_tag)))
         .withColumn("_regular", F.coalesce(regular, F.lit(True)))
         .withColumn("_parsed", parsed)
         .withColumn("_hit", F.explode(F.when(F.col("_regular"), native).otherwise(F.col("_parsed"))))
@@ -343,37 +354,40 @@ def extract_body(
     force_tree: bool = False,
 ) -> DataFrame:
     """Adds ``n_bodies`` and ``body_text`` (NULL unless exactly one body was found)."""
-    source = F.col(html)
+    source, live = F.col(html), F.col("_live")
     opening = rf"(?i)<{tag}\b[^>]*\bclass=\"{css}\"[^>]*>" if css else rf"(?i)<{tag}\b[^>]*>"
-    raw = F.regexp_extract(source, rf"(?s){opening}(.*?)(?i:</{tag}\s*>)", 1)
-    no_tables = F.regexp_replace(raw, r"(?is)<table\b.*?</table\s*>[^<]*", "")
-    n_open = F.regexp_count(source, F.lit(opening))
+    raw = F.regexp_extract(live, rf"(?s){opening}(.*?)(?i:</{tag}\s*>)", 1)
+    no_tables = F.regexp_replace(F.col("_raw"), r"(?is)<table\b.*?</table\s*>[^<]*", "")
+    n_open = F.regexp_count(live, F.lit(opening))
     loose = rf"(?i)<{tag}\b[^>]*\bclass\s*=\s*[\"']?{css}\b" if css else opening
     regular = (
         (n_open <= 1)
-        & (n_open == F.regexp_count(source, F.lit(loose)))
-        & ~source.contains(RELATED_ID)
-        & ~source.contains("<!--<")
-        & ~raw.rlike(rf"(?i)<{tag}\b")
-        & ~no_tables.rlike(r"(?i)</?table\b")
-        & ((n_open == 0) | source.rlike(rf"(?is){opening}.*</{tag}\s*>"))
-        & ~has_other_entities(no_tables)
+        & (n_open == F.regexp_count(live, F.lit(loose)))
+        & ~live.contains(RELATED_ID)
+        & ~live.contains("<!--")
+        & ~F.col("_raw").rlike(rf"(?i)<{tag}\b")
+        & ~F.col("_markup").rlike(r"(?i)</?table\b")
+        & ((n_open == 0) | live.rlike(rf"(?is){opening}.*</{tag}\s*>"))
+        & ~has_other_entities(F.col("_markup"))
     )
     if force_tree:
         regular = F.lit(False)
     parsed = _bodies_by_tree(tag, css)(F.when(~F.col("_regular"), source))
     return (
-        articles.withColumn("_regular", F.coalesce(regular, F.lit(True)))
+        articles.withColumn("_live", _live(source))
+        .withColumn("_raw", raw)
+        .withColumn("_markup", no_tables)
+        .withColumn("_regular", F.coalesce(regular, F.lit(True)))
         .withColumn("_parsed", parsed)
         .withColumn("n_bodies", F.when(F.col("_regular"), n_open).otherwise(F.col("_parsed.n_bodies")))
         .withColumn(
             "body_text",
             F.when(
                 F.col("n_bodies") == 1,
-                flatten_markup(F.when(F.col("_regular"), no_tables).otherwise(F.col("_parsed.markup"))),
+                flatten_markup(F.when(F.col("_regular"), F.col("_markup")).otherwise(F.col("_parsed.markup"))),
             ),
         )
-        .drop("_regular", "_parsed")
+        .drop("_live", "_raw", "_markup", "_regular", "_parsed")
     )
 
 

@@ -37,7 +37,7 @@ _PARTIAL_SCHEMA = "model int, grad binary"
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """Parameters of one model; ``max_iter`` counts epochs."""
+    """Parameters of one model; ``max_iter`` counts epochs. The defaults are fixed values."""
 
     model_id: int = 0
     alpha: float = 1e-3

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from presssignal.functions.dates import first_date_text, parse_date
 from presssignal.functions.text import filter_text, trend_title, word_count
 
-MIN_WORDS = 5
+MIN_WORDS = 5  # fixed value: shorter titles are not used
 
 
 def clean_hits(

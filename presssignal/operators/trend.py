@@ -16,6 +16,7 @@ from presssignal.operators.medians import exact_median
 SERIES = "input_filename"
 START_DATE = "2008-07-01"  # fixed value: days up to this one are not used
 POLL_GROUP = "Voters"  # fixed value: the default poll subgroup
+MIN_PERC_POINTS = 0.2  # fixed value: smaller moves of the daily median get no label
 
 # Time layouts seen in poll files, tried after the ISO form.
 POLL_TIME_FORMATS = ["H:mm:ss d MMM yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "MMM d, yyyy"]
@@ -164,7 +165,7 @@ def poll_diff(daily: DataFrame) -> DataFrame:
 def poll_labels(
     polls: DataFrame,
     subgroup: str | None = POLL_GROUP,
-    min_perc_points: float = 0.2,
+    min_perc_points: float = MIN_PERC_POINTS,
     normalize: bool = True,
     keep_diff: bool = False,
 ) -> DataFrame:

@@ -68,7 +68,7 @@ def label_prices(
 
 def label_polls(
     spark: SparkSession, polls_path, titles_path, out: str, subgroup: str = trend.POLL_GROUP,
-    min_perc_points: float = 0.2, normalize: bool = True,
+    min_perc_points: float = trend.MIN_PERC_POINTS, normalize: bool = True,
 ) -> DataFrame:
     """Poll file to labels, joined with the title list and written; returns the rows."""
     labels = trend.poll_labels(files.read_polls(spark, polls_path), subgroup, min_perc_points, normalize)

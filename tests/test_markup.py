@@ -29,10 +29,18 @@ NESTED = HEAD + (
     "<tr><td><a target='_parent' href='/s'>Single quotes</a>&nbsp;June 2, 2017 &eacute;</td></tr></table></body></html>"
 )
 ERROR = "<html><head><title>Application Error</title></head><body><table><tr><td>none</td></tr></table></body></html>"
+COMMENTED = HEAD + (
+    '<!-- <tr><td><a href="/c" target="_parent">Commented out</a></td></tr> -->'
+    "<script>var x = '<td><a href=\"/j\" target=\"_parent\">From a script</a></td>';</script>"
+    + cell("Kept <!-- note -->title", "/k", f",{NB}May 17, 2017")
+    + "</table>"
+)
 
 
 def pages(spark):
-    return spark.createDataFrame([(1, REGULAR), (2, NESTED), (3, ERROR)], "page int, html string")
+    return spark.createDataFrame(
+        [(1, REGULAR), (2, NESTED), (3, ERROR), (4, COMMENTED), (5, None)], "page int, html string"
+    )
 
 
 def hits(spark, **options):
@@ -46,6 +54,7 @@ def test_hits(spark):
         (1, "Rates rise again as banks wait", "May 14, 2017 Sunday, 907 words", "http://site.example:80/app/doc?a=1&b=2"),
         (2, "Deep ", "", "http://site.example:80/n"),
         (2, "Single quotes", "June 2, 2017 é", "http://site.example:80/s"),
+        (4, "Kept ", "May 17, 2017", "http://site.example:80/k"),
     ]
 
 
