@@ -6,11 +6,24 @@ fix the results. ``tests/llm`` holds each of them against a brute-force version.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from presssignal.llm import near_dedup
+from presssignal.llm import fingerprints, near_dedup, packing
 from presssignal.llm.registry import query
 from presssignal.llm.support import table
+from presssignal.llm.tokens import read_tokenizer
+
+
+@query
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)
 
 
 @query
