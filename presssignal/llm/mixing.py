@@ -248,11 +248,11 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
         return pd.Series([take_words(t, n, s) for t, n, s in zip(text, size, spans)], dtype=object)
 
     whole = F.expr("size = 0 OR aggregate(spans, 0L, (n, s) -> n + s.until - s.first) = size")
-    text = F.when(whole, F.col(at["text"])).otherwise(cut("text", "size", "spans"))
+    text = F.when(whole, F.col(at["text"])).otherwise(cut("text", "size", F.when(~whole, F.col("spans"))))
     done = kept.withColumn("text", text)
     out = {at["text"]: F.col("text")}
     if "n_chars" in at:
-        out[at["n_chars"]] = F.length(F.col("text")).cast("long")
+        out[at["n_chars"]] = F.length(plain_text()).cast("long")
     return done.withColumns(out).select(*(F.col(at[c]).alias(c) for c in docs.columns))
 
 
