@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from presssignal.llm import fingerprints, mixing, near_dedup, packing, quality_crf
+from presssignal.llm import bitsliced, fingerprints, mixing, near_dedup, packing, quality_crf
 from presssignal.llm.registry import query
 from presssignal.llm.support import table
 from presssignal.llm.tokens import read_tokenizer
@@ -20,6 +20,11 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
