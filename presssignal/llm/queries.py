@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from presssignal.llm import bitsliced, fingerprints, mixing, near_dedup, packing, quality_crf
+from presssignal.llm import bitsliced, fingerprints, licenses, mixing, near_dedup, packing, quality_crf
 from presssignal.llm.registry import query
 from presssignal.llm.support import table
 from presssignal.llm.tokens import read_tokenizer
@@ -30,6 +30,11 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
