@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presssignal.llm.support import plain_text, stored
-from presssignal.llm.tokens import Memory, word_stretches
+from presssignal.llm.tokens import word_memory
 
 WINDOW = 4096
 #: Pieces that one task packs together.
@@ -91,7 +91,7 @@ def cut_documents(
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(tokenizer_json, word_stretches)
+        memory = word_memory(tokenizer_json)
         for batch in batches:
             columns: list[list] = [[] for _ in schema.split(",")]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -8,8 +8,11 @@ each distinct stretch is given to the library once and its ids are kept for the
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -34,36 +37,113 @@ def byte_stretches(text: str) -> list[str]:
     return _BYTE_STRETCHES.findall(text)
 
 
-class Memory:
-    """Encodes texts to little-endian unsigned 32-bit ids; ``limit`` bounds what is remembered."""
+#: Marks that may close a word; a run of them after letters is a piece of its own to both tokenizers.
+_CLOSING = ".,;:!?)"
+#: Letters below this point are told alike by Python and the library; the two left out change when lowered.
+_LATIN_END, _UNLIKE = "\u0250", frozenset("\u0130\u03a3")
 
-    def __init__(self, tokenizer_json: str, cut: Callable[[str], list[str]], limit: int = 250_000):
-        self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._cut, self._limit = cut, limit
-        self._known: dict[str, bytes] = {}
 
-    def _learn(self, stretches: Iterable[str]) -> None:
-        new = list(set(stretches).difference(self._known))
-        if not new:
-            return
+def _byte_characters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Memory:
+    """Encodes texts to little-endian unsigned 32-bit ids; ``limit`` bounds what is remembered.
+
+    A new stretch that is a Latin word, perhaps with closing marks, is taken apart here and its
+    pieces go straight to the library's byte-pair merges; any other stretch goes through the
+    library's whole course. Both ways a special token, which ends every piece, parts the answers.
+    """
+
+    def __init__(self, tokenizer_json: str, cut: Callable[[str], list[str]], lower: bool, limit: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+        made = json.loads(tokenizer_json)
+        self._end = made["added_tokens"][-1]
+        self._whole = Tokenizer.from_str(tokenizer_json)
+        self._merges = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": None, "post_processor": None}))
+        self._cut, self._lower, self._limit = cut, lower, limit
+        self._bytes = _byte_characters()
+        self._blank = self._bytes[32]
+        self._known: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+
+    def _ask(self, tokenizer: Tokenizer, new: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(new), 256):
+            joined = self._end["content"].join(new[at : at + 256])
+            ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self._end["id"])).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)])]
+        return out
+
+    def _parts(self, stretch: str) -> tuple[str, str] | None:
+        """(word, closing marks) if the stretch is no more than that."""
+        word = stretch.rstrip(_CLOSING)
+        letters = word[1:] if word[:1] == " " else word
+        if not letters.isalpha():
+            return None
+        marks = stretch[len(word) :]
+        if self._lower:
+            word = word.lower()
+        if stretch.isascii():
+            return (self._blank + letters if word[0] == " " else word), marks
+        if max(letters) >= _LATIN_END or not _UNLIKE.isdisjoint(letters):
+            return None
+        return word.encode().decode("latin-1").translate(self._bytes), marks
+
+    def _learn(self, new: set[str]) -> None:
         if len(self._known) + len(new) > self._limit:
             self._known.clear()
-            new = list(set(stretches))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for stretch, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self._known[stretch] = np.array(e.ids, "<u4").tobytes()
+        if len(self._pieces) + len(new) > self._limit:
+            self._pieces.clear()
+        simple, other = {}, []
+        for stretch in new:
+            parts = self._parts(stretch)
+            if parts is not None:
+                simple[stretch] = parts
+            elif self._end["content"][:2] in stretch:
+                self._whole.encode_special_tokens = True  # their strings in a text are ordinary text
+                ids = self._whole.encode(stretch, add_special_tokens=False).ids
+                self._whole.encode_special_tokens = False
+                self._known[stretch] = np.array(ids, "<u4").tobytes()
+            else:
+                other.append(stretch)
+        pieces = list({piece for parts in simple.values() for piece in parts if piece}.difference(self._pieces))
+        self._pieces.update(zip(pieces, self._ask(self._merges, pieces)))
+        known = self._pieces
+        for stretch, (word, marks) in simple.items():
+            self._known[stretch] = known[word] + known[marks] if marks else known[word]
+        self._known.update(zip(other, self._ask(self._whole, other)))
 
     def encode(self, text: str) -> bytes:
         out, stretches = [], self._cut(text)
-        for at in range(0, len(stretches), self._limit // 2):  # bounded for very long texts
-            part = stretches[at : at + self._limit // 2]
-            self._learn(part)
-            out.append(b"".join(map(self._known.__getitem__, part)))
+        step = max(1, self._limit // 4)
+        for at in range(0, len(stretches), step):  # bounded for very long texts
+            part = stretches[at : at + step]
+            found = list(map(self._known.get, part))
+            if None in found:
+                self._learn({s for s, ids in zip(part, found) if ids is None})
+                found = [ids if ids is not None else self._known.get(s) for s, ids in zip(part, found)]
+            out.append(b"".join(found))
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def word_memory(tokenizer_json: str) -> Memory:
+    """For tokenizers that drop white space and case; a Python worker keeps it for its next tasks."""
+    return Memory(tokenizer_json, word_stretches, lower=True)
+
+
+@lru_cache(maxsize=1)
+def byte_memory(tokenizer_json: str) -> Memory:
+    """For byte-level tokenizers; a Python worker keeps it for its next tasks."""
+    return Memory(tokenizer_json, byte_stretches, lower=False)
+
+
 def read_tokenizer(path: str) -> str:
     """The tokenizer's JSON, read where the job is started; tasks get its text, not the path."""
     with open(path, encoding="utf-8") as f:

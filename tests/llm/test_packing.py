@@ -19,14 +19,15 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("path,cut", [(WORDS, tokens.word_stretches), (BYTES, tokens.byte_stretches)])
-def test_ids_are_the_library_s(path, cut):
+@pytest.mark.parametrize("path,cut,lower", [(WORDS, tokens.word_stretches, True), (BYTES, tokens.byte_stretches, False)])
+def test_ids_are_the_library_s(path, cut, lower):
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
     draw = random.Random(1)
     alphabet = "ab'sT1é漢 \n\t\r\x0b\x0c\x1c\x85\xa0 ́_-!?."
     texts = ODD + ["".join(draw.choices(alphabet, k=draw.randrange(40))) for _ in range(3000)]
-    memory = tokens.Memory(tokens.read_tokenizer(path), cut, limit=500)
+    texts += ["".join(draw.choices("abEÉ\u00e9\u0301ßıİſ.,!' ", k=draw.randrange(20))) for _ in range(3000)]
+    memory = tokens.Memory(tokens.read_tokenizer(path), cut, lower, limit=500)
     for text in texts:
         want = plain.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(memory.encode(text), "<u4").tolist() == want, repr(text)
