@@ -1,7 +1,7 @@
 """One query per operator, each over its whole table.
 
-None has an SQL form: DuckDB has neither the hashes and tokenizers nor the trained models that
-fix the results. ``tests/llm`` holds each of them against a brute-force version.
+Most have no SQL form: DuckDB has neither the hashes and tokenizers nor the trained models that
+fix the results. ``tests/llm`` holds each of those against a brute-force version.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from presssignal.llm import bitsliced, fingerprints, licenses, mixing, near_dedup, packing, quality_crf
-from presssignal.llm.registry import query
+from presssignal.llm import bitsliced, fingerprints, licenses, mixing, near_dedup, packing, quality_crf, warc
+from presssignal.llm.registry import ORACLES, query
 from presssignal.llm.support import table
 from presssignal.llm.tokens import read_tokenizer
 
@@ -41,6 +41,22 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)
 
 
+@query
+def op7_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op7_chunked_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+    max(page_id) OVER (PARTITION BY html) AS owner FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN owner END AS refers_to
+FROM d
+"""
+
+
 @query
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
