@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presssignal.llm.components import components
-from presssignal.llm.support import plain_text, stored
+from presssignal.llm.support import plain_text, stored, unused
 
 SEGMENT_BITS = 32
 RADIUS = 2
@@ -64,23 +64,23 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
     return np.packbits(2 * votes > size[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint long) of every row; NULL and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keys`` (longs) and fingerprint of every row; NULL and empty texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, held, n = [], [], 0
-            for raw in batch.column(1):
+            for raw in batch.column(len(keys)):
                 held.append(shingle_hashes(raw.as_py(), shingle))
                 n += len(held[-1])
                 if n >= _AT_ONCE:
                     done.append(majority(held))
                     held, n = [], 0
             done.append(majority(held))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(done))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(np.concatenate(done))], [*keys, "fingerprint"])
 
-    return docs.select("doc_id", plain_text().cast("binary").alias("raw")).mapInArrow(
-        run, "doc_id long, fingerprint long"
+    return docs.select(*keys, plain_text().cast("binary").alias("raw")).mapInArrow(
+        run, ", ".join(f"{k} long" for k in (*keys, "fingerprint"))
     )
 
 
@@ -101,16 +101,11 @@ def links(distinct: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, salts: int = 8) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits) and component_id.
+def grouped(rows: DataFrame, salts: int = 8) -> DataFrame:
+    """``rows`` (doc_id, fingerprint, perhaps more; a written table) with root and component_id.
 
-    component_id is the smallest doc_id that the document reaches over links between fingerprints
-    at most two bits apart, its own included. NULL and empty texts have fingerprint zero and are
-    linked like any other. Repeated rows come out as often as they came in; a NULL doc_id takes
-    part in its group but never names it (a group of NULL ids alone has component NULL). Other
-    columns are ignored; an empty table gives no rows. Words are cut at ASCII white space.
+    root is the smallest fingerprint, as a signed long, of the row's component.
     """
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct)).withColumnRenamed("node", "fingerprint")
     rooted = stored(
@@ -120,11 +115,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, salts: int = 8) -> DataFr
     # only texts with company need a lookup; one text may own a third of the rows, so it is salted
     shared = (
         rooted.join(whole.filter("members > 1"), "root")
-        .select("fingerprint", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .select("fingerprint", "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     return salted.join(shared, ["fingerprint", "salt"], "left").select(
-        "doc_id",
-        F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        *rows.columns, F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits) and component_id.
+
+    component_id is the smallest doc_id that the document reaches over links between fingerprints
+    at most two bits apart, its own included. NULL and empty texts have fingerprint zero and are
+    linked like any other. Repeated rows come out as often as they came in; a NULL doc_id takes
+    part in its group but never names it (a group of NULL ids alone has component NULL). Other
+    columns are ignored; an empty table gives no rows. Words are cut at ASCII white space.
+    """
+    return grouped(stored(fingerprints(docs, shingle), "fingerprints")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of near duplicates, all columns kept.
+
+    The row with the smallest doc_id stays, the first of the table among repeated rows; a row without
+    an id stays only where its group has no id.
+    """
+    row = unused(docs, "row")
+    numbered = stored(docs.withColumns({row: F.monotonically_increasing_id()}), "numbered")
+    prints = stored(fingerprints(numbered.select("doc_id", "text", F.col(row).alias("row")), shingle, ("doc_id", "row")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
+    kept = grouped(prints).groupBy("root").agg(first).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)

@@ -15,6 +15,7 @@ from itertools import islice
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -283,3 +284,15 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "lines",
     )
+
+
+def accepted(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, as they are."""
+
+    @F.pandas_udf("double")
+    def quality(texts: pd.Series) -> pd.Series:
+        kinds, held = _kinds(), pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        found = [chain.quality(line_features(part, kinds)) for _, part in _texts(held, 0)]
+        return pd.Series(np.concatenate([np.zeros(0), *found]))
+
+    return docs.filter(quality(plain_text()) >= THRESHOLD)

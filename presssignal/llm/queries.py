@@ -9,7 +9,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from presssignal.llm import bitsliced, fingerprints, licenses, mixing, near_dedup, packing, quality_crf, warc
+from presssignal.llm import (
+    bitsliced,
+    fingerprints,
+    hmm,
+    idcoder,
+    licenses,
+    mixing,
+    near_dedup,
+    packing,
+    quality_crf,
+    warc,
+)
 from presssignal.llm.registry import ORACLES, query
 from presssignal.llm.support import table
 from presssignal.llm.tokens import read_tokenizer
@@ -41,6 +52,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)
 
 
+@query
+def op6_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
@@ -57,6 +73,12 @@ FROM d
 """
 
 
+@query
+def op8_context_mixing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    return idcoder.code_documents(table(spark, sf_dir, "documents"), tokenizer)
+
+
 @query
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))

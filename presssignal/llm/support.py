@@ -38,3 +38,11 @@ def remainder(doc_id: Column, n: int) -> Column:
 def plain_text(column: str = "text") -> Column:
     """The text, empty where it is NULL."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
