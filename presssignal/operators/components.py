@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +49,8 @@ def component_keywords(
     train = cut_lineage(
         rows.filter(F.col("split") == "train").select("features", (F.col("trend") > 0).cast("double").alias("label01"))
     )
-    matrix = RowMatrix(train.select("features").rdd.map(lambda r: OldVectors.fromML(r[0])), numCols=len(terms))
+    rows_of = MLUtils.convertVectorColumnsFromML(train.select("features"), "features")
+    matrix = RowMatrix(rows_of, numCols=len(terms))
     basis = np.asarray(matrix.computeSVD(k).V.toArray())
     # projection of sparse rows: one row of the basis per term
     basis_sent = spark.sparkContext.broadcast(basis)

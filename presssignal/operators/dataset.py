@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from presssignal.functions.text import to_class
 from presssignal.operators.relevance import MAX_PAGE_NUM, RANGE_FACTOR, range_cuts
-from presssignal.operators.sizing import broadcast_if_small
 
 TRAIN_SHARE = 0.80  # fixed value
 TRAIN_SHARE_SENTIMENT = 0.90  # fixed value: with the sentiment filter
@@ -29,8 +28,8 @@ def labelled_articles(
     """Articles of one query with the label of their day, inside the relevance cuts.
 
     The labels of one series are bounded by the calendar (one per day), hence the
-    broadcast. The cut per range is aggregated from (query, range, page) alone and broadcast
-    when counted small, so that texts do not move for it. The date is joined first, so the text of articles without a label is
+    broadcast. The cut per range is aggregated from (query, range, page) alone; ranges
+    of one query are spans of the calendar, one row each, and are broadcast too. The date is joined first, so the text of articles without a label is
     dropped before anything else moves. Adds ``title`` = the text column.
     """
     labels = (
@@ -48,7 +47,7 @@ def labelled_articles(
     if require_sentiment:
         joined = joined.filter(F.col("sentiment") == F.col("trend"))
     return (
-        joined.join(broadcast_if_small(range_cuts(articles, query, factor)), "search_range")
+        joined.join(F.broadcast(range_cuts(articles, query, factor)), "search_range")
         .filter(F.col("page_num") < F.col("last_page"))
         .select("date", "title", "trend", "sentiment", *keep)
     )
@@ -206,15 +205,21 @@ def leakage(split_rows: DataFrame) -> DataFrame:
     """Rows that occur in train and in test, with every pairing counted.
 
     ``pairs`` is the number of rows the inner join of the two sides would have; both sides
-    are counted per row first, so copies never multiply.
+    are counted per row first, so copies never multiply. Texts may be whole bodies, so rows are
+    counted by a 256-bit hash of theirs; only the texts of rows found on both sides are fetched.
     """
-    key = ["date", "title", "trend"]
-    sides = split_rows.groupBy(*key).agg(
+    key = ["date", "_text", "trend"]
+    hashed = split_rows.withColumn("_text", F.coalesce(F.sha2("title", 256), F.lit("")))
+    sides = hashed.groupBy(*key).agg(
         F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("in_train"),
         F.sum(F.when(F.col("split") == "test", 1).otherwise(0)).alias("in_test"),
     )
-    return sides.filter((F.col("in_train") > 0) & (F.col("in_test") > 0)).withColumn(
-        "pairs", F.col("in_train") * F.col("in_test")
+    both = sides.filter((F.col("in_train") > 0) & (F.col("in_test") > 0))
+    wanted = both.select(F.col("_text").alias("_wanted")).distinct()
+    texts = hashed.select("_text", "title").join(wanted, F.col("_text") == F.col("_wanted"), "left_semi")
+    titles = texts.groupBy("_text").agg(F.any_value("title").alias("title"))
+    return both.join(titles, "_text").select(
+        "date", "title", "trend", "in_train", "in_test", (F.col("in_train") * F.col("in_test")).alias("pairs")
     )
 
 

@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from presssignal.functions.dates import let
 from presssignal.functions.text import WORD_CLASS
-from presssignal.operators.sizing import BROADCAST_ROWS, broadcast_if_small
-from presssignal.session import cut_lineage
-
-PRUNE_ABOVE = 200_000  # documents
 
 
 def english_stop_words() -> list[str]:
@@ -107,41 +103,22 @@ def smooth_idf(df: Column, n_docs: Column) -> Column:
 
 
 def fit_vocabulary(
-    docs: DataFrame, min_df: float, max_df: float, terms: str = "terms", prune_above: int = PRUNE_ABOVE
+    docs: DataFrame, min_df: float, max_df: float, terms: str = "terms"
 ) -> DataFrame:
     """``term, df, ngram, idf`` of the documents given (train rows only, for a model).
 
     A vocabulary with ``min_df`` above 0 holds at most (mean distinct terms per document)
-    / min_df terms, whatever the number of documents. For a large corpus the grams that
-    cannot pass ``min_df`` are kept out of the shuffle; the result is the same.
+    / min_df terms, whatever the number of documents. The number of documents is a one-row
+    aggregate inside the plan; nothing runs while it is built.
     """
-    n = docs.count()
-    counts = (
-        document_frequency(docs, terms) if n <= prune_above or min_df * n <= 1 else _frequent_terms(docs, min_df * n, terms)
-    )
-    return counts.filter(within_bounds(F.col("df"), F.lit(n), min_df, max_df)).withColumn(
-        "idf", smooth_idf(F.col("df"), F.lit(n))
+    n = docs.agg(F.count(F.lit(1)).alias("_n"))
+    counts = document_frequency(docs, terms).join(F.broadcast(n))
+    return (
+        counts.filter(within_bounds(F.col("df"), F.col("_n"), min_df, max_df))
+        .withColumn("idf", smooth_idf(F.col("df"), F.col("_n"))).drop("_n")
     )
 
 
-def _frequent_terms(docs: DataFrame, least: float, terms: str) -> DataFrame:
-    """Terms of at least ``least`` documents, without counting most rare n-grams.
-
-    An n-gram occurs in no more documents than its words do. Words are counted first, and
-    longer grams only where their outer words are frequent.
-    """
-    single = F.filter(terms, lambda x: ~x.contains(" "))
-    longer = F.filter(terms, lambda x: x.contains(" "))
-    words = document_frequency(docs.select(single.alias("terms"))).filter(F.col("df") >= least)
-    words = cut_lineage(words)  # read three times
-    frequent = broadcast_if_small(words.select(F.col("term").alias("_word")))
-    grams = docs.select(F.explode(F.array_distinct(longer)).alias("term"))
-    for position in (1, -1):
-        outer = F.split_part("term", F.lit(" "), F.lit(position))
-        grams = grams.join(frequent, outer == F.col("_word"), "left_semi")
-    return words.unionByName(_count_documents(grams).filter(F.col("df") >= least))
-
-
 def row_normalised(weights: DataFrame, doc_id: str, norm: str | None, name: str = "tfidf") -> DataFrame:
     """Divide each document's weights by their l1 or l2 norm."""
     per_doc = Window.partitionBy(doc_id)
@@ -186,14 +163,15 @@ def tfidf(
 ) -> DataFrame:
     """``doc_id, term, tfidf`` of tokenised documents against a fitted vocabulary.
 
-    A vocabulary of at most ``BROADCAST_ROWS`` terms becomes the index of sparse vectors,
-    so that neither counts nor weights are shuffled; a larger one is joined.
+    The vocabulary becomes the index of sparse vectors, so that neither counts nor weights are
+    shuffled. It is gathered on the driver: fit it with ``min_df`` above 0, which bounds it by
+    (mean distinct terms per document) / min_df. ``tfidf_joined`` takes any vocabulary.
     """
     if norm not in ("l1", "l2", None):
         raise ValueError(f"unknown norm: {norm}")
-    found = vocabulary.select("term", "idf").limit(BROADCAST_ROWS + 1).toPandas().sort_values("term")
-    if found.empty or len(found) > BROADCAST_ROWS:
-        return tfidf_joined(docs, vocabulary, doc_id, norm, terms)
+    found = vocabulary.select("term", "idf").toPandas().sort_values("term")
+    if found.empty:
+        return docs.select(doc_id, F.lit("").alias("term"), F.lit(0.0).alias("tfidf")).limit(0)
     words = found["term"].tolist()
     vectors = tfidf_vectors(docs, words, found["idf"].tolist(), norm, terms)
     index = docs.sparkSession.createDataFrame(

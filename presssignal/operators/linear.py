@@ -19,6 +19,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ PENALTIES = ("l1", "l2", "none")
 _CELLS_PER_PASS = 8_000_000  # weights trained together, at most
 _ROWS_PER_BLOCK = 512
 _STEP = 1.0
-_PARTIAL_SCHEMA = "model int, grad binary"
+_PARTIAL_SCHEMA = "model int, part int, grad binary"
 
 
 @dataclass(frozen=True)
@@ -123,21 +124,12 @@ def prepare(
     model = CountVectorizerModel.from_vocabulary(found["term"].tolist(), "terms", "counts")
     sparse = model.transform(docs).select("split", "y", F.unwrap_udt("counts").alias("v"))
     table = cut_lineage(sparse.select("split", "y", F.col("v.indices").alias("idx"), F.col("v.values").alias("x")))
-    table = _fewer_partitions(table, len(found))
     return Corpus(
         spark, table, found["term"].tolist(), found["df"].to_numpy(float), found["ngram"].to_numpy(int),
         found["idf"].to_numpy(float), int(counted.n), int(counted.k),
     )
 
 
-def _fewer_partitions(table: DataFrame, terms: int) -> DataFrame:
-    """Every partition sends one value per model and term; none should hold fewer entries
-    than terms. Only tables that are small for their vocabulary are affected."""
-    entries = table.agg(F.sum(F.size("idx"))).first()[0] or 0
-    wanted = max(1, int(entries // terms))
-    return table if table.rdd.getNumPartitions() <= wanted else table.coalesce(wanted)
-
-
 # --- inside the tasks ---------------------------------------------------------------
 
 
@@ -184,13 +176,17 @@ def _gradients(shared_var):
             seen = True
         if seen:
             cells = np.column_stack([total, bias])
-            yield pd.DataFrame({"model": np.arange(models), "grad": [row.tobytes() for row in cells]})
+            part = TaskContext.get().partitionId()
+            yield pd.DataFrame({"model": np.arange(models), "part": part, "grad": [row.tobytes() for row in cells]})
 
     return run
 
 
 def _add_up(batches):
-    """Sum the partial gradients of the models that arrive in this task, one by one."""
+    """Sum the partial gradients of the models that arrive in this task, in the order of their parts.
+
+    The order is fixed, so equal runs give equal weights to the last bit.
+    """
     sums: dict[int, np.ndarray] = {}
     for pdf in batches:
         for model, cells in zip(pdf["model"], pdf["grad"]):
@@ -200,7 +196,7 @@ def _add_up(batches):
             else:
                 sums[model] = part.copy()
     if sums:
-        yield pd.DataFrame({"model": list(sums), "grad": [s.tobytes() for s in sums.values()]})
+        yield pd.DataFrame({"model": list(sums), "part": 0, "grad": [s.tobytes() for s in sums.values()]})
 
 
 def _tallies(shared_var):
@@ -273,14 +269,14 @@ def _train_group(corpus: Corpus, specs: list[ModelSpec]) -> tuple[np.ndarray, np
         shared = _shared_for(corpus, specs, weights, intercepts)
         sent = spark.sparkContext.broadcast(shared)
         partials = train.mapInPandas(_gradients(sent), _PARTIAL_SCHEMA)
-        if train_parts > 1:
-            partials = partials.repartition(min(train_parts, len(specs)), "model").mapInPandas(_add_up, _PARTIAL_SCHEMA)
+        summed = (
+            partials.repartition(min(train_parts, len(specs)), "model").sortWithinPartitions("model", "part")
+            .mapInPandas(_add_up, _PARTIAL_SCHEMA).select("model", "grad")
+        )
         gradient = np.zeros((len(specs), terms + 1))
-        for model, cells in zip(*partials.toArrow().to_pydict().values()):
+        for model, cells in zip(*summed.toArrow().to_pydict().values()):
             gradient[model] = np.frombuffer(cells)
         sent.unpersist()
-        # the order of summation may differ between runs; rounding hides it
-        gradient = np.round(gradient, 12)
         live = (epochs > epoch)[:, None]
         slope = gradient[:, :-1] * shared.masks[shared.mask_of] * live
         squares += slope * slope
@@ -367,9 +363,7 @@ def predict_terms(weights_long: DataFrame, model: DataFrame, doc_id: str, interc
 
     ``model`` is ``term, weight``. Documents without any model term score the intercept.
     """
-    from presssignal.operators.sizing import broadcast_if_small
-
-    words = broadcast_if_small(model.filter(F.col("weight") != 0).select("term", "weight"))
+    words = model.filter(F.col("weight") != 0).select("term", "weight")
     total = F.coalesce(F.sum(F.col("tfidf") * F.col("weight")), F.lit(0.0)) + F.lit(intercept)
     return (
         weights_long.join(words, "term", "left")
@@ -395,12 +389,6 @@ def confusion(predictions: DataFrame, label: str = "label", prediction: str = "p
     return predictions.groupBy(*by).agg(*cells) if by else predictions.agg(*cells)
 
 
-def compact(df: DataFrame, rows_per_partition: int = 5_000) -> DataFrame:
-    """Fewer partitions for a small training table: an iterative solver pays per task."""
-    wanted = max(1, df.count() // rows_per_partition)
-    return df if df.rdd.getNumPartitions() <= wanted else df.coalesce(wanted)
-
-
 def train_logistic(
     features: DataFrame, alpha: float, label: str = "label01", column: str = "features", max_iter: int = 20
 ):

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presssignal.operators.sizing import broadcast_if_small
-
 PAGE_RATIO = 0.8  # fixed value: share of a folder's pages that is kept
 RANGE_FACTOR = 0.7  # fixed value: share of a range's pages used for training
 MAX_PAGE_NUM = 10  # fixed value: pages from this one on are not used
@@ -33,7 +31,7 @@ def keep_first_pages(
     if page_limit is not None:
         limit = F.least(limit, F.lit(float(page_limit)))
     cuts = last_pages(pages.select(*keys, "page_num"), keys).select(*keys, limit.alias("_limit"))
-    return pages.join(broadcast_if_small(cuts), keys).filter(F.col("page_num") <= F.col("_limit")).select(*pages.columns)
+    return pages.join(cuts, keys).filter(F.col("page_num") <= F.col("_limit")).select(*pages.columns)
 
 
 def range_cuts(articles: DataFrame, query: str | None = None, factor: float = RANGE_FACTOR) -> DataFrame:
@@ -47,10 +45,10 @@ def range_cuts(articles: DataFrame, query: str | None = None, factor: float = RA
 
 
 def strict_page_cut(articles: DataFrame, query: str, factor: float = RANGE_FACTOR) -> DataFrame:
-    """Articles of one query on pages before their range's cut."""
+    """Articles of one query on pages before their range's cut; ranges of one query are bounded by the calendar."""
     rows = articles.filter(F.col("query") == query)
     return (
-        rows.join(broadcast_if_small(range_cuts(articles, query, factor)), "search_range")
+        rows.join(F.broadcast(range_cuts(articles, query, factor)), "search_range")
         .filter(F.col("page_num") < F.col("last_page"))
     )
 

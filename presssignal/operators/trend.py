@@ -36,7 +36,8 @@ def daily_prices(prices: DataFrame, start: str | None = START_DATE) -> DataFrame
     known = {c.lower(): c for c in prices.columns}
     complete = F.lit(True)
     for column in prices.columns:
-        complete = complete & F.col(column).isNotNull()
+        # a reader tells of the file's other columns in one of this name
+        complete = complete & (F.col(column) if column == "complete" else F.col(column).isNotNull())
     rows = prices.select(
         F.col(SERIES),
         F.col(known["date"]).alias("date"),
@@ -132,8 +133,10 @@ def poll_time(col: Column) -> Column:
 
 
 def one_subgroup(polls: DataFrame, subgroup: str | None = POLL_GROUP) -> DataFrame:
-    """Complete rows of one subgroup (None keeps all)."""
+    """Complete rows of one subgroup (None keeps all); a reader's ``complete`` counts the file's other columns."""
     rows = polls if subgroup is None else polls.filter(F.col("subgroup") == subgroup)
+    if "complete" in rows.columns:
+        rows = rows.filter("complete").drop("complete")
     return rows.dropna("any")
 
 

@@ -25,7 +25,9 @@ incoming AS (
 
 def stored(spark, sf):
     rows = standins.articles(spark, sf).filter(F.col("sentiment").isNotNull()).drop("doc_id")
-    first = articles.first_per_key(rows)
+    # chosen on narrow columns; an address belongs to one document
+    places = articles.first_per_key(rows.drop("html", "full_text", "sentiment")).select("url")
+    first = rows.join(places, "url", "left_semi").select(*rows.columns)
     return first.withColumn("html", F.when(F.col("page_num") < 30, F.col("html")))
 
 
@@ -136,20 +138,22 @@ def upsert_new_titles(spark, sf):
     f"""WITH {V_STATE},
 f AS (SELECT query, title, date, url, search_range, page_num FROM {_FIRST.format('incoming')}),
 j AS (SELECT s.*, f.date AS d, f.url AS u, f.search_range AS r, f.page_num AS p,
-  f.query IS NOT NULL AND (f.date, f.search_range, f.page_num, f.url) < (s.date, s.search_range, s.page_num, s.url) AS wins
+  f.query IS NOT NULL AND (f.date, f.search_range, f.page_num, f.url) < (s.date, s.search_range, s.page_num, s.url) AS wins,
+  wins AND f.url IS DISTINCT FROM s.url AS elsewhere
   FROM stored_state s LEFT JOIN f ON f.query = s.query AND f.title = s.title)
 SELECT query, title, CASE WHEN wins THEN d ELSE date END AS date, CASE WHEN wins THEN u ELSE url END AS url,
-  CASE WHEN wins THEN r ELSE search_range END AS search_range, CASE WHEN wins THEN p ELSE page_num END AS page_num, html, full_text, sentiment FROM j
+  CASE WHEN wins THEN r ELSE search_range END AS search_range, CASE WHEN wins THEN p ELSE page_num END AS page_num,
+  CASE WHEN NOT elsewhere THEN html END AS html, CASE WHEN NOT elsewhere THEN full_text END AS full_text, CASE WHEN NOT elsewhere THEN sentiment END AS sentiment FROM j
 UNION ALL SELECT query, title, date, url, search_range, page_num, NULL, NULL, NULL FROM f
 WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.query = f.query AND s.title = f.title)"""
 )
 def upsert_earliest_articles(spark, sf):
-    """The earliest date of each title wins; stored bodies stay."""
+    """The earliest date of each title wins; a row that moves loses the bodies of its old address."""
     return articles.upsert_articles(stored(spark, sf), incoming(spark, sf))
 
 
 @query(
-    f"""WITH {V_STATE}, t AS (SELECT query, title, date, max(concat('new ', full_text)) AS x FROM v_article WHERE page_num >= 20 GROUP BY 1, 2, 3)
+    f"""WITH {V_STATE}, t AS (SELECT query, title, date, min_by(concat('new ', full_text), sha256(concat('new ', full_text))) AS x FROM v_article WHERE page_num >= 20 GROUP BY 1, 2, 3)
 SELECT s.query, s.title, s.date, url, search_range, page_num, html, coalesce(t.x, s.full_text) AS full_text, sentiment
 FROM stored_state s LEFT JOIN t ON s.query = t.query AND s.title = t.title AND s.date = t.date"""
 )

@@ -384,7 +384,7 @@ def logistic_keywords(spark, sf):
     train = rows.filter(F.col("split") == "train").select(
         "features", (F.col("trend") > 0).cast("double").alias("label01")
     )
-    train = linear.compact(cut_lineage(train))
+    train = cut_lineage(train)
     model = linear.train_logistic(train, 1e-3)
     pairs = [(t, float(w)) for t, w in zip(terms, model.coefficients.toArray())]
     return report.ordered_keywords(spark.createDataFrame(pairs, "term string, weight double"))

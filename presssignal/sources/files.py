@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,16 +41,6 @@ POLARITY_SCHEMA = T.StructType(
 _PAGE_PATH = r"/([^/]+)/(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})_html/(\d+)\.html$"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with far fewer splits than cores, dealt out over the cores.
-
-    Text work is heavy per row, so a single small file would keep one core busy. A table
-    with enough splits - any large one - is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
-
-
 def tag_pages(files: DataFrame) -> DataFrame:
     """``(path, html)`` to result pages: query, range and page number come from the path."""
     path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
@@ -80,31 +73,71 @@ def read_result_pages(spark: SparkSession, root: str) -> DataFrame:
     return tag_pages(files)
 
 
+# Cells that stand for a missing number.
+_MISSING = ["", "null", "nan"]
+
+
+def _plain(name: str) -> str:
+    return name.strip().strip('"').lower().replace(" ", "")
+
+
+def _by_header(spark: SparkSession, paths, columns: list[str]) -> dict[str, list[str]]:
+    """Files by their header line: the line that names all needed columns."""
+    needed = [_plain(c) for c in columns]
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"))
+    names = F.transform(F.split("header", ","), lambda c: F.regexp_replace(F.lower(F.trim(c)), '[ "]', ""))
+    found = lines.filter(F.forall(F.array(*map(F.lit, needed)), lambda c: F.array_contains(names, c))).distinct().collect()
+    groups: dict[str, list[str]] = {}
+    for row in sorted(found):
+        groups.setdefault(row.header, []).append(row.file)
+    known = {f for files in groups.values() for f in files}
+    for file in lines.select("file").distinct().collect():
+        if file[0] not in known:
+            raise ValueError(f"one of the columns {columns} is missing in {file[0]}")
+    return groups
+
+
+def _cell(name: str, kind: T.DataType) -> Column:
+    """A cell as its type; one that is not missing but cannot be read fails the job."""
+    text = F.col(f"`{name}`")
+    value = text.try_cast(kind)
+    if isinstance(kind, T.DoubleType):
+        value = F.when(~F.isnan(value), value)
+    missing = text.isNull() | F.lower(F.trim(text)).isin(_MISSING)
+    failed = F.raise_error(F.concat(F.lit(f"Unreadable {name}: "), text)).cast(kind)
+    return F.when(missing, F.lit(None).cast(kind)).when(value.isNull(), failed).otherwise(value)
+
+
 def _csv_by_name(spark: SparkSession, paths, schema: T.StructType, optional: list[str] = ()) -> DataFrame:
-    """Read CSV files, columns matched by header name; absent optional ones are left out.
+    """Read CSV files, columns matched by each file's own header; absent optional ones are NULL.
 
-    Files read in one call share one header.
+    ``complete`` tells whether no column of the file, known here or not, is missing in the row.
     """
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(paths)
-    present = {c.lower().replace(" ", ""): c for c in raw.columns}
-    out: list[Column] = [F.col("_metadata.file_name").alias("input_filename")]
-    for field in schema.fields:
-        name = present.get(field.name.lower())
-        if name is None:
-            if field.name in optional:
-                continue
-            raise ValueError(f"column {field.name} is missing in {paths}")
-        value = F.col(f"`{name}`").try_cast(field.dataType)
-        if isinstance(field.dataType, T.DoubleType):
-            value = F.when(~F.isnan(value), value)
-        out.append(value.alias(field.name))
-    return raw.select(*out)
+    needed = [f.name for f in schema.fields if f.name not in optional]
+    out = None
+    for header, files in _by_header(spark, paths, needed).items():
+        raw = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(files)
+        present = {_plain(c): c for c in raw.columns}
+        there = [F.col(f"`{c}`").isNotNull() & ~F.lower(F.trim(f"`{c}`")).isin(_MISSING) for c in raw.columns]
+        part = raw.select(
+            F.col("_metadata.file_name").alias("input_filename"),
+            *[
+                _cell(present[_plain(f.name)], f.dataType).alias(f.name)
+                for f in schema.fields if _plain(f.name) in present
+            ],
+            reduce(and_, there).alias("complete"),
+        )
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], T.StructType([T.StructField("input_filename", T.StringType()), *schema.fields, T.StructField("complete", T.BooleanType())]))
+    return out
 
 
 def read_prices(spark: SparkSession, paths) -> DataFrame:
     """Price files with a header; every row carries its file's base name.
 
-    'null', blank and NaN cells become NULL. Only Date, Open and Close must be present.
+    'null', blank and NaN cells become NULL, other unreadable ones fail. Only Date, Open and Close
+    must be present. Files may order their columns differently.
     """
     return _csv_by_name(spark, paths, PRICE_SCHEMA, ["High", "Low", "AdjClose", "Volume"])
 
@@ -128,11 +161,22 @@ def recode_polarity(headlines: DataFrame, title: str = "Headline", polarity: str
     return headlines.select(*keep, F.col(title).alias("title"), value.alias("trend"))
 
 
+#: How the reader hands over a quoted empty field.
+_EMPTY = "\ue000empty\ue000"
+
+
 def _tsv(spark: SparkSession, path, schema: T.StructType, mode: str) -> DataFrame:
-    return (
+    rows = (
         spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", '"')
-        .option("escape", '"').option("enforceSchema", True).option("mode", mode).csv(path)
+        .option("escape", '"').option("enforceSchema", True).option("mode", mode)
+        .option("multiLine", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .option("emptyValue", _EMPTY).csv(path)
     )
+    # a quoted empty field is an empty text, one without quotes is missing
+    return rows.select(*[
+        F.when(F.col(f.name) != _EMPTY, F.col(f.name)).when(F.col(f.name) == _EMPTY, "").alias(f.name)
+        if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in schema.fields
+    ])
 
 
 def read_polarity(spark: SparkSession, path) -> DataFrame:
@@ -141,13 +185,17 @@ def read_polarity(spark: SparkSession, path) -> DataFrame:
 
 
 def read_titles(spark: SparkSession, path) -> DataFrame:
-    """Titles per day: three columns by position, header skipped."""
-    return _tsv(spark, path, TITLES_SCHEMA, "PERMISSIVE")
+    """Titles per day: three columns by position, header skipped; a damaged row fails the job."""
+    return _tsv(spark, path, TITLES_SCHEMA, "FAILFAST")
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
-    """Tab separated text; quotes inside a field are doubled. One file per partition."""
+    """Tab separated text; quotes inside a field are doubled. One file per partition.
+
+    Outer blanks, line ends and empty texts come back as they were; line ends inside a field are quoted.
+    """
     (
         df.write.mode("overwrite").option("sep", "\t").option("header", header)
-        .option("quote", '"').option("escape", '"').csv(path)
+        .option("quote", '"').option("escape", '"').option("emptyValue", '""')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from presssignal.functions.markup import extract_hits
 from presssignal.operators.articles import first_per_key, upsert_articles
 from presssignal.operators.titles import MIN_WORDS, one_row_per_title, usable_hits
-from presssignal.sources.files import spread, tag_pages
+from presssignal.sources.files import tag_pages
 from presssignal.sources.tables import ARTICLE_SCHEMA, numbered_folders, read_latest, versions, write_next
 
 _HIT_SCHEMA = "query string, title string, date date, url string, search_range string, page_num int"
@@ -57,7 +57,7 @@ def ingest(
     """Start the stream; it stops when everything available has been read."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        titles = page_titles(spread(batch), min_words, reference_year, **hit_options)
+        titles = page_titles(batch, min_words, reference_year, **hit_options)
         first_per_key(titles).write.mode("overwrite").parquet(f"{out}/hits/batch={batch_id}")
 
     return (
@@ -73,9 +73,15 @@ def ingest_stream(spark: SparkSession, root: str, out: str, max_files: int | Non
 
 
 def ingested_hits(spark: SparkSession, out: str, after: int = -1) -> DataFrame:
-    """Batch folders with a number above ``after``; older ones are not even opened."""
-    hits = spark.read.schema(_HIT_SCHEMA + ", batch long").parquet(f"{out}/hits")
-    return hits.filter(F.col("batch") > after)
+    """Finished batch folders with a number above ``after``; no others are opened.
+
+    A batch that is still being written has no success marker and is left out, as in ``fold_batches``.
+    """
+    done = [n for n in numbered_folders(spark, f"{out}/hits", "batch") if n > after]
+    if not done:
+        return spark.createDataFrame([], _HIT_SCHEMA + ", batch long")
+    folders = [f"{out}/hits/batch={n}" for n in done]
+    return spark.read.schema(_HIT_SCHEMA + ", batch long").option("basePath", f"{out}/hits").parquet(*folders)
 
 
 def current_articles(spark: SparkSession, out: str) -> DataFrame:

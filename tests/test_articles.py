@@ -33,12 +33,15 @@ def test_only_new(spark):
     assert [r.date for r in articles.only_new(new, have).collect()] == [D(2017, 1, 3)]
 
 
-def test_earliest_upsert_keeps_bodies_and_is_idempotent(spark):
+def test_earliest_upsert_moves_rows_and_is_idempotent(spark):
     have = stored(spark, ("a", D(2017, 1, 2), "<p>", "text"))
     new = incoming(spark, ("a", D(2017, 1, 1), "v", None), ("a", D(2017, 1, 5), "w", None), ("b", D(2017, 1, 1), "x", None))
     once = articles.upsert_articles(have, new)
     got = {r.title: r for r in once.collect()}
-    assert (got["a"].date, got["a"].url, got["a"].full_text) == (D(2017, 1, 1), "v", "text")
+    # the bodies were those of the old address: the row is on the worklist again
+    assert (got["a"].date, got["a"].url, got["a"].html, got["a"].full_text) == (D(2017, 1, 1), "v", None, None)
+    again = articles.new_or_earlier(incoming(spark, ("a", D(2017, 1, 1), "v", None)), once)
+    assert again.count() == 1
     assert got["b"].html is None
     assert rows(articles.upsert_articles(once, new)) == rows(once)
 
@@ -65,13 +68,25 @@ def test_titles_upsert_may_replace_an_earlier_row(spark):
     assert [(r.date, r.html, r.full_text) for r in got] == [(D(2017, 1, 9), None, None)]
 
 
-def test_large_incoming_side_takes_the_shuffle_path(spark, monkeypatch):
-    have = stored(spark, *[(str(i), D(2017, 1, 2), "<p>", "t") for i in range(50)])
-    new = incoming(spark, *[(str(i), D(2017, 1, 1), "v", "<n>") for i in range(25, 75)])
-    expected = {m: rows(articles.upsert_articles(have, new, m)) for m in ("earliest", "fetch", "titles")}
-    monkeypatch.setattr(articles, "broadcast_if_small", lambda df: df)
-    for mode, want in expected.items():
-        assert rows(articles.upsert_articles(have, new, mode)) == want
+def test_same_address_keeps_its_bodies(spark):
+    have = stored(spark, ("a", D(2017, 1, 2), "<p>", "text"))
+    got = articles.upsert_articles(have, incoming(spark, ("a", D(2017, 1, 1), "u", None))).first()
+    assert (got.date, got.html, got.full_text) == (D(2017, 1, 1), "<p>", "text")
+
+
+def test_conflicting_bodies_give_one_row(spark):
+    have = stored(spark, ("a", D(2017, 1, 2), None, None))
+    texts = spark.createDataFrame([("q", "a", D(2017, 1, 2), t) for t in ("x", "y", "y", None)], "query string, title string, date date, full_text string")
+    got = articles.update_full_text(have, texts).collect()
+    assert len(got) == 1 and got[0].full_text in ("x", "y")
+
+
+def test_bodies_are_in_no_aggregate(spark):
+    have = stored(spark, ("a", D(2017, 1, 2), None, None))
+    new = incoming(spark, ("a", D(2017, 1, 1), "v", "<n>"))
+    for df in (articles.upsert_articles(have, new, "fetch"), articles.upsert_articles(have, new), articles.attach_html(have, new)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Aggregate" in line and "html" in line for line in plan.splitlines())
 
 
 def test_update_and_attach(spark):

@@ -74,6 +74,35 @@ def test_read_prices_needs_close(spark, tmp_path):
         files.read_prices(spark, str(tmp_path / "A.csv"))
 
 
+def test_prices_of_two_layouts_and_other_columns(spark, tmp_path):
+    (tmp_path / "A.csv").write_text("Date,Open,Close\n2018-01-01,1,2\n")
+    (tmp_path / "B.csv").write_text("Date,Close,Open,Note\n2018-01-01,2,1,x\n2018-01-02,5,6,\n")
+    rows = files.read_prices(spark, [str(tmp_path / "A.csv"), str(tmp_path / "B.csv")]).orderBy("input_filename", "Date").collect()
+    assert [(r.Open, r.Close, r.complete) for r in rows] == [(1, 2, True), (1, 2, True), (6, 5, False)]
+
+
+def test_unreadable_cell_fails(spark, tmp_path):
+    (tmp_path / "A.csv").write_text("Date,Open,Close\n2018-01-01,abc,2\n")
+    with pytest.raises(Exception, match="Unreadable Open: abc"):
+        files.read_prices(spark, str(tmp_path / "A.csv")).collect()
+
+
+def test_poll_rows_with_a_gap_in_any_column_are_dropped(spark, tmp_path):
+    from presssignal.operators import trend
+
+    (tmp_path / "p.csv").write_text("modeldate,subgroup,timestamp,approve_estimate\n1,Voters,2018-08-01,40\n,Voters,2018-08-01,99\n")
+    polls = files.read_polls(spark, str(tmp_path / "p.csv"))
+    assert [r.approve_estimate for r in trend.one_subgroup(polls, "Voters").collect()] == [40.0]
+
+
+def test_titles_round_trip(spark, tmp_path):
+    odd = ["two\nlines", "  outer blanks  ", "", 'a "quoted" one', "tab\there", "crlf\r\nend", "\\ back"]
+    day = dt.date(2018, 1, 1)
+    rows = spark.createDataFrame([(day, "u", t) for t in odd], files.TITLES_SCHEMA)
+    files.write_tsv(rows, str(tmp_path / "t"))
+    assert sorted(r.title for r in files.read_titles(spark, str(tmp_path / "t")).collect()) == sorted(odd)
+
+
 def test_polarity(spark, tmp_path):
     good = tmp_path / "good.tsv"
     good.write_text('Headline\tPolarity\n"a ""quoted"" one"\tpos\nb\tneg\n')
