@@ -33,6 +33,9 @@ PENALTIES = ("l1", "l2", "none")
 _CELLS_PER_PASS = 8_000_000  # weights trained together, at most
 _ROWS_PER_BLOCK = 512
 _STEP = 1.0
+#: Scores are compared with the threshold to so many digits, so that ties do not hang on rounding.
+_TIE_DIGITS = 9
+_CANCELLED = 1e-12
 _PARTIAL_SCHEMA = "model int, part int, grad binary"
 
 
@@ -166,7 +169,7 @@ def _gradients(shared_var):
         models, terms = shared.weights.shape
         total, bias, seen = np.zeros((models, terms)), np.zeros(models), False
         for y, block, columns, inverse, scores in _blocks(batches, shared):
-            margin = y * scores
+            margin = np.round(y * scores, _TIE_DIGITS)
             pull = np.where(
                 shared.log_loss, 1.0 / (1.0 + np.exp(np.clip(margin, -500, 500))), (margin < 1).astype(float)
             )
@@ -205,7 +208,7 @@ def _tallies(shared_var):
         models = shared.weights.shape[0]
         counts = np.zeros((4, models), dtype=int)
         for y, _, _, _, scores in _blocks(batches, shared):
-            positive, actual = scores > 0, y > 0
+            positive, actual = np.round(scores, _TIE_DIGITS) > 0, y > 0
             counts += np.stack(
                 [
                     (positive & actual).sum(axis=0),
@@ -277,6 +280,8 @@ def _train_group(corpus: Corpus, specs: list[ModelSpec]) -> tuple[np.ndarray, np
         for model, cells in zip(*summed.toArrow().to_pydict().values()):
             gradient[model] = np.frombuffer(cells)
         sent.unpersist()
+        # contributions that cancel leave a rest of rounding, which the step size would blow up
+        gradient[np.abs(gradient) < _CANCELLED] = 0.0
         live = (epochs > epoch)[:, None]
         slope = gradient[:, :-1] * shared.masks[shared.mask_of] * live
         squares += slope * slope

@@ -344,7 +344,73 @@ def weighted_word_counts(spark, sf):
     return report.keyword_counts(_fixed_weights(_labelled_terms(spark, sf)))
 
 
-# --- trained models (no SQL form) ----------------------------------------------------------
+# --- trained models ------------------------------------------------------------------------
+
+def _trainer_sql(models: str, seed: int = 0, epochs: int = 5) -> str:
+    """CTEs that train every row of ``models`` on the core join's train rows, epoch by epoch.
+
+    Leaves ``weights(model_id, term, w)``, ``bias(model_id, b)``, ``outcome(model_id, tp, fp, tn, fn)``
+    and ``m``, the models with the size of their vocabulary.
+    """
+    steps = [f"""w0 AS (SELECT NULL::INT AS model_id, NULL::VARCHAR AS term, 0.0::DOUBLE AS w, 0.0::DOUBLE AS sq WHERE false),
+b0 AS (SELECT model_id, 0.0::DOUBLE AS b, 0.0::DOUBLE AS sq FROM m)"""]
+
+    def scores(e: int, name: str, split: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT d.model_id, d.doc, d.y, coalesce(s.s, 0) + b.b AS score
+  FROM (SELECT m.model_id, r.doc, r.y FROM m, texts r WHERE r.split = '{split}' AND m.terms > 0) d JOIN b{e} b ON b.model_id = d.model_id
+  LEFT JOIN (SELECT x.model_id, x.doc, sum(x.x * w.w) AS s FROM xn x JOIN w{e} w ON w.model_id = x.model_id AND w.term = x.term GROUP BY 1, 2) s
+  ON s.model_id = d.model_id AND s.doc = d.doc)"""
+
+    for e in range(epochs):
+        steps.append(scores(e, f"s{e}", "train"))
+        steps.append(f"""p{e} AS MATERIALIZED (SELECT s.model_id, s.doc, -s.y / (SELECT n FROM n) * CASE WHEN m.loss = 'log'
+  THEN 1 / (1 + exp(greatest(least(round(s.y * s.score, 9), 500), -500))) ELSE CASE WHEN round(s.y * s.score, 9) < 1 THEN 1 ELSE 0 END END AS slope
+  FROM s{e} s JOIN m ON m.model_id = s.model_id)""")
+        steps.append(f"""g{e} AS (SELECT model_id, term, CASE WHEN abs(g) < 1e-12 THEN 0 ELSE g END AS g FROM (
+  SELECT x.model_id, x.term, sum(p.slope * x.x) AS g FROM xn x JOIN p{e} p ON p.model_id = x.model_id AND p.doc = x.doc GROUP BY 1, 2))""")
+        steps.append(f"""w{e + 1} AS MATERIALIZED (SELECT model_id, term, CASE penalty WHEN 'l1' THEN sign(w) * greatest(abs(w) - step * alpha, 0)
+  WHEN 'l2' THEN w / (1 + step * alpha) ELSE w END AS w, sq FROM (
+  SELECT g.model_id, g.term, m.penalty, m.alpha, coalesce(o.sq, 0) + g.g * g.g AS sq,
+    CASE WHEN coalesce(o.sq, 0) + g.g * g.g > 0 THEN 1 / sqrt(coalesce(o.sq, 0) + g.g * g.g) ELSE 0 END AS step, coalesce(o.w, 0) - step * g.g AS w
+  FROM g{e} g JOIN m ON m.model_id = g.model_id LEFT JOIN w{e} o ON o.model_id = g.model_id AND o.term = g.term))""")
+        steps.append(f"""b{e + 1} AS MATERIALIZED (SELECT model_id, CASE WHEN sq + g * g > 0 THEN b - g / sqrt(sq + g * g) ELSE b END AS b, sq + g * g AS sq FROM (
+  SELECT b.model_id, b.b, b.sq, CASE WHEN abs(coalesce(p.g, 0)) < 1e-12 THEN 0 ELSE p.g END AS g FROM b{e} b
+  LEFT JOIN (SELECT model_id, sum(slope) AS g FROM p{e} GROUP BY 1) p ON p.model_id = b.model_id))""")
+    unrolled = ",\n".join(steps)
+    return f"""{_CORE}, {_ranked(seed, dataset.TRAIN_SHARE, 'v_core')},
+texts AS MATERIALIZED (SELECT url AS doc, title AS text, split, CASE WHEN trend = 0 THEN -1 ELSE 1 END AS y FROM split WHERE title IS NOT NULL AND trim(title) <> ''),
+n AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT y) AS classes FROM texts WHERE split = 'train'),
+k AS (SELECT doc, split, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP_SQL})) AS t FROM texts),
+tf AS MATERIALIZED (SELECT doc, split, term, count(*) AS tf FROM (SELECT doc, split, unnest(list_concat(t, {_BIGRAMS})) AS term FROM k) GROUP BY 1, 2, 3),
+models AS ({models}),
+v AS MATERIALIZED (SELECT term, df, len(string_split(term, ' ')) AS grams, ln((1 + (SELECT n FROM n)) / (1 + df)) + 1 AS idf FROM (
+  SELECT term, count(*) AS df FROM tf WHERE split = 'train' GROUP BY 1)),
+mv AS MATERIALIZED (SELECT model_id, term, idf FROM v, models WHERE df >= min_df * (SELECT n FROM n) AND df <= max_df * (SELECT n FROM n) AND grams <= ngram_max),
+m AS MATERIALIZED (SELECT models.*, CASE WHEN (SELECT classes FROM n) < 2 THEN 0 ELSE coalesce(c, 0) END AS terms FROM models LEFT JOIN (SELECT model_id, count(*) AS c FROM mv GROUP BY 1) USING (model_id)),
+xn AS MATERIALIZED (SELECT model_id, doc, term, x / CASE norm WHEN 'l1' THEN sum(abs(x)) OVER (PARTITION BY model_id, doc) ELSE sqrt(sum(x * x) OVER (PARTITION BY model_id, doc)) END AS x
+  FROM (SELECT mv.model_id, tf.doc, tf.term, tf.tf * mv.idf AS x, models.norm FROM tf JOIN mv ON mv.term = tf.term JOIN models ON models.model_id = mv.model_id)),
+{unrolled},
+{scores(epochs, 'tested', 'test')},
+weights AS (SELECT model_id, term, w FROM w{epochs}), bias AS (SELECT model_id, b FROM b{epochs}),
+outcome AS (SELECT model_id, count(*) FILTER (WHERE round(score, 9) > 0 AND y > 0) AS tp, count(*) FILTER (WHERE round(score, 9) > 0 AND y < 0) AS fp,
+  count(*) FILTER (WHERE round(score, 9) <= 0 AND y < 0) AS tn, count(*) FILTER (WHERE round(score, 9) <= 0 AND y > 0) AS fn FROM tested GROUP BY 1)"""
+
+
+_MEASURES = """coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
+  coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1"""
+_NINE = "round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1"
+_GRID_MODELS = """SELECT CAST(((a * 4 + b) * 4 + c) * 4 + d * 2 + e AS INT) AS model_id, 0.0001::DOUBLE * pow(10.0::DOUBLE, a / 5.0::DOUBLE) AS alpha,
+  0.05::DOUBLE * pow(4.0::DOUBLE, b / 3.0::DOUBLE) AS max_df, 0.01::DOUBLE * pow(2.0::DOUBLE, c / 3.0::DOUBLE) AS min_df, 2 - d AS ngram_max,
+  CASE e WHEN 0 THEN 'l1' ELSE 'l2' END AS norm, 'hinge' AS loss, 'l1' AS penalty
+  FROM range(6) ra(a), range(4) rb(b), range(4) rc(c), range(2) rd(d), range(2) re(e)"""
+
+
+def _one_model(model_id: int = 0, loss: str = "hinge", norm: str = "l1", min_df: float = 0.016, max_df: float = 0.5) -> str:
+    return f"""SELECT {model_id} AS model_id, 0.001::DOUBLE AS alpha, {max_df}::DOUBLE AS max_df, {min_df}::DOUBLE AS min_df,
+  2 AS ngram_max, '{norm}' AS norm, '{loss}' AS loss, 'l1' AS penalty"""
+
+
+_KEYWORDS = "SELECT term, round(w, 6) AS weight FROM weights WHERE w <> 0"
 
 
 def split_core(spark, sf, seed=0):
@@ -352,28 +418,65 @@ def split_core(spark, sf, seed=0):
     return dataset.classes(rows)
 
 
-@query()
+def _rounded(df, columns, digits):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+_SCORES = ["accuracy", "precision", "recall", "f1"]
+
+
+@query(
+    f"""WITH {_trainer_sql(_GRID_MODELS)}, o AS (SELECT m.model_id, round(alpha, 9) AS alpha, round(max_df, 9) AS max_df, round(min_df, 9) AS min_df,
+  ngram_max, norm, loss, penalty, 5 AS max_iter, tp, fp, tn, fn, {_MEASURES} FROM m LEFT JOIN outcome USING (model_id))
+SELECT * REPLACE ({_NINE}) FROM o"""
+)
 def grid_search(spark, sf):
     """All 384 models on the core join, scored on the test rows."""
-    stop = features.stop_words_for(QUERY)
-    return grid.grid_search(split_core(spark, sf), "title", stop).table
+    return _rounded(grid.grid_search(split_core(spark, sf), "title", STOP).table, ["alpha", "max_df", "min_df", *_SCORES], 9)
 
 
-@query()
+def _keywords(spark, sf, spec):
+    corpus = grid.corpus_for(split_core(spark, sf), "title", STOP, [spec])
+    return _rounded(report.ordered_keywords(linear.train(corpus, [spec])[0].keyword_table(spark)), ["weight"], 6)
+
+
+@query(f"WITH {_trainer_sql(_one_model())} {_KEYWORDS}")
 def model_keywords(spark, sf):
     """Word weights of one hinge model."""
-    stop = features.stop_words_for(QUERY)
-    spec = ModelSpec(alpha=1e-3, min_df=0.016, max_df=0.5)
-    corpus = grid.corpus_for(split_core(spark, sf), "title", stop, [spec])
-    return report.ordered_keywords(linear.train(corpus, [spec])[0].keyword_table(spark))
+    return _keywords(spark, sf, ModelSpec(alpha=1e-3, min_df=0.016, max_df=0.5))
 
 
-@query()
+@query(f"WITH {_trainer_sql(_one_model(loss='log', norm='l2'))} {_KEYWORDS}")
+def log_model_keywords(spark, sf):
+    """Word weights of a log-loss model by the same trainer."""
+    return _keywords(spark, sf, ModelSpec(alpha=1e-3, min_df=0.016, max_df=0.5, loss="log", norm="l2"))
+
+
+def _stability_sql(seed: int) -> str:
+    return f"""(WITH {_trainer_sql(_one_model(seed), seed)}, o AS (SELECT model_id AS seed, tp, fp, tn, fn, {_MEASURES} FROM outcome)
+SELECT * REPLACE ({_NINE}) FROM o)"""
+
+
+@query(f"{_stability_sql(42)} UNION ALL {_stability_sql(41)}")
 def seed_stability(spark, sf):
     """Scores of one parameter set under two more split seeds."""
-    stop = features.stop_words_for(QUERY)
     spec = ModelSpec(alpha=1e-3, min_df=0.016, max_df=0.5)
-    return grid.seed_stability(lambda seed: split_core(spark, sf, seed), "title", stop, spec)
+    return _rounded(grid.seed_stability(lambda seed: split_core(spark, sf, seed), "title", STOP, spec), _SCORES, 9)
+
+
+@query(
+    f"""WITH {_trainer_sql(_one_model(1, min_df=0.9, max_df=0.1))}
+SELECT m.model_id, CAST(NULL AS BIGINT) AS tp, CAST(NULL AS BIGINT) AS fp, CAST(NULL AS BIGINT) AS tn, CAST(NULL AS BIGINT) AS fn,
+  CASE WHEN terms = 0 THEN 0.0::DOUBLE END AS accuracy, 0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, 0.0::DOUBLE AS f1 FROM m"""
+)
+def degenerate_models(spark, sf):
+    """A model whose bounds leave no vocabulary scores an accuracy of 0."""
+    spec = ModelSpec(model_id=1, min_df=0.9, max_df=0.1)
+    corpus = grid.corpus_for(split_core(spark, sf), "title", STOP, [spec])
+    return linear.scores(linear.evaluate(corpus, linear.train(corpus, [spec])))
+
+
+# --- models of the built-in solvers (no SQL form) -------------------------------------------
 
 
 @query()
