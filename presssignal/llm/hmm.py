@@ -130,7 +130,8 @@ def encode(docs: DataFrame, known: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, base_of, log_rest = known.frequent, known.log_base, known.log_rest
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
+            rest_words, rest_times, ends = [], [], [0]
             for raw in batch.column(3):
                 words = tokens(raw.as_py())
                 found = list(map(index.get, words))
@@ -140,13 +141,15 @@ def encode(docs: DataFrame, known: Vocabulary) -> DataFrame:
                 own = classes[classes < first_ending]
                 base = float(base_of[own].sum()) - known.log_total * (len(words) - len(own))
                 inside = -sum(n * log_rest[last[w]] for w, n in rest.items())
-                row = (classes.tobytes(), len(words), len(own), base, float(inside), [{"word": w, "n": n} for w, n in rest.items()])
-                for column, cell in zip(out, row):
+                for column, cell in zip(out, (classes.tobytes(), len(words), len(own), base, float(inside))):
                     column.append(cell)
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(),
-                     pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
-            names = ["doc_id", "row", "held_out", "classes", "n_tokens", "known", "base", "inside", "rest"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(out, types))], names)
+                rest_words += rest
+                rest_times += rest.values()
+                ends.append(len(rest_words))
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            pairs = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_times, pa.int32())], ["word", "n"])
+            columns = [*batch.columns[:3], *(pa.array(c, t) for c, t in zip(out, types)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "held_out", "classes", "n_tokens", "known", "base", "inside", "rest"])
 
     rows = docs.select(
         "doc_id", F.monotonically_increasing_id().alias("row"),
@@ -183,36 +186,44 @@ def expected_counts(windows: np.ndarray, lengths: np.ndarray, opening: np.ndarra
     """
     n, longest = windows.shape
     states = len(model.first)
+    # single precision is enough for one window; the sums over windows are in double
+    move, emitting = model.move.astype(np.float32), model.emit.astype(np.float32)
     active = [int(np.searchsorted(-lengths, -t, "left")) for t in range(longest)]
-    before = np.where(opening[:, None], model.first, model.within)
-    forward, scale = np.zeros((longest, n, states)), np.ones((longest, n))
-    seen = [model.emit[windows[:k, t]] for t, k in enumerate(active)]
+    before = np.where(opening[:, None], model.first, model.within).astype(np.float32)
+    forward, scale = np.zeros((longest, n, states), np.float32), np.ones((longest, n), np.float32)
+    seen = [emitting.take(windows[:k, t], axis=0) for t, k in enumerate(active)]
     last = before
     for t, k in enumerate(active):
-        a = (last[:k] @ model.move) * seen[t]
-        scale[t, :k] = a.sum(axis=1)
+        a = (last[:k] @ move) * seen[t]
+        scale[t, :k] = a @ np.ones(states, np.float32)
         forward[t, :k] = last = a / scale[t, :k, None]
-    moves, backward = np.zeros((states, states)), np.ones((n, states))
+    moves, backward = np.zeros((states, states)), np.ones((n, states), np.float32)
     for t in range(longest - 1, -1, -1):
         k = active[t]
         ahead = seen[t] * backward[:k] / scale[t, :k, None]
         moves += (forward[t - 1, :k] if t else before[:k]).T @ ahead
         forward[t, :k] *= backward[:k]  # from here on P(state) at t; cells beyond a window's end stay 0
-        backward[:k] = ahead @ model.move.T
+        backward[:k] = ahead @ move.T
     places = windows.T.ravel()
     emit = np.column_stack([np.bincount(places, forward[:, :, s].ravel(), len(model.emit)) for s in range(states)])
     begun = before * backward
     return emit, moves * model.move, begun[opening].sum(axis=0), begun[~opening].sum(axis=0)
 
 
-def cut_windows(documents: list[np.ndarray], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, lengths, opening) of the documents, longest windows first."""
-    parts = [(d[at : at + size], at == 0) for d in documents for at in range(0, len(d), size)]
-    parts.sort(key=lambda p: -len(p[0]))
-    wide = np.zeros((len(parts), size), np.int64)
-    for i, (p, _) in enumerate(parts):
-        wide[i, : len(p)] = p
-    return wide, np.array([len(p) for p, _ in parts], np.int64), np.array([o for _, o in parts], bool)
+def cut_windows(documents: list[np.ndarray], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, lengths, opening, order) of the documents, longest windows first.
+
+    ``order`` has, for each window, its place among the windows in text order.
+    """
+    lengths = np.array([len(d) for d in documents], np.int64)
+    pieces = -(-lengths // size)
+    flat = np.concatenate([*documents, np.zeros(size, np.int64)])
+    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(np.cumsum(lengths) - lengths, pieces) + number * size
+    length = np.minimum(size, np.repeat(lengths, pieces) - number * size)
+    order = np.argsort(-length, kind="stable")
+    wide = flat[np.minimum(start[order, None] + np.arange(size), len(flat) - 1)]
+    return wide * (np.arange(size) < length[order, None]), length[order], number[order] == 0, order
 
 
 def _stretches(column) -> Iterator[list[np.ndarray]]:
@@ -236,7 +247,7 @@ def baum_welch_round(encoded: DataFrame, model: Model, share: np.ndarray) -> Mod
         sums = [np.zeros((classes, states)), np.zeros((states, states)), np.zeros(states), np.zeros(states)]
         for batch in batches:
             for documents in _stretches(batch.column(0)):
-                windows, lengths, opening = cut_windows(documents)
+                windows, lengths, opening, _ = cut_windows(documents)
                 step = max(1, _TOKENS_AT_ONCE // WINDOW)
                 for at in range(0, len(windows), step):
                     part = slice(at, at + step)
@@ -266,12 +277,9 @@ def train(encoded: DataFrame, known: Vocabulary, states: int = STATES, rounds: i
 
 def log_likelihoods(documents: list[np.ndarray], model: Model, size: int = WINDOW) -> np.ndarray:
     """Natural logarithm of each class sequence's probability, by the scaled forward recursion."""
-    windows, lengths, _ = cut_windows(documents, size)
+    windows, lengths, _, order = cut_windows(documents, size)
     states = len(model.first)
     pieces = np.array([-(-len(d) // size) for d in documents], np.int64)
-    owner = np.repeat(np.arange(len(documents)), pieces)
-    length = np.concatenate([np.minimum(size, len(d) - np.arange(0, len(d), size)) for d in documents] or [np.zeros(0, np.int64)])
-    order = np.argsort(-length, kind="stable")  # as cut_windows orders them
     product, log_scale = np.broadcast_to(np.eye(states), (len(windows), states, states)).copy(), np.zeros(len(windows))
     for t in range(windows.shape[1] if len(windows) else 0):
         k = int(np.searchsorted(-lengths, -t, "left"))
