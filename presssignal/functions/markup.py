@@ -211,7 +211,9 @@ def hit_date_str(content: Column) -> Column:
 
 
 def base_url(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?i)<base\b[^>]*\bhref=\"([^\"]*)\"", 1)
+    """The first base address, in either quotes or in none; empty if there is none."""
+    pattern = r"(?i)<base\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*(F.regexp_extract(_live(html), pattern, group) for group in (1, 2, 3)))
 
 
 def _pieces(html: Column, cell: str, anchor: str) -> Column:

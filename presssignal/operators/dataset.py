@@ -142,9 +142,11 @@ def random_split(
 def date_split(rows: DataFrame, share: float = TRAIN_SHARE_DATES, date: str = "date") -> DataFrame:
     """Adds ``split``: days up to the one at position ``int(n * share)`` are 'train'.
 
-    Counts per day and their running total: one row per calendar day.
+    Counts per day and their running total: one row per calendar day. Rows without a date are
+    not counted and are 'test'.
     """
-    per_day = rows.groupBy(F.col(date).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    dated = rows.filter(F.col(date).isNotNull())
+    per_day = dated.groupBy(F.col(date).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy().orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy()
     located = per_day.withColumn("_upto", F.sum("_n").over(running)).withColumn(
@@ -154,7 +156,8 @@ def date_split(rows: DataFrame, share: float = TRAIN_SHARE_DATES, date: str = "d
     days = located.withColumn("_last", last_train).select(
         "_d", F.when(F.col("_d") <= F.col("_last"), "train").otherwise("test").alias("split")
     )
-    return rows.join(F.broadcast(days), F.col(date) == F.col("_d")).drop("_d")
+    joined = rows.join(F.broadcast(days), F.col(date) == F.col("_d"), "left").drop("_d")
+    return joined.withColumn("split", F.coalesce("split", F.lit("test")))
 
 
 def fixed_date_split(rows: DataFrame, day: str, date: str = "date") -> DataFrame:
@@ -169,8 +172,11 @@ def head_tail_split(rows: DataFrame, key: list[str], share: float = TRAIN_SHARE)
     """First ``floor(n * share)`` rows by date (ties by key) are 'train'.
 
     Running totals per day place whole days; only the day that holds the cut is split,
-    by hash order inside it, so that a hot day is not ranked in one task.
+    by hash order inside it, so that a hot day is not ranked in one task. Rows without a date are
+    not counted and are 'test'.
     """
+    undated = rows.filter(F.col("date").isNull()).withColumn("split", F.lit("test"))
+    rows = rows.filter(F.col("date").isNotNull())
     per_day = rows.groupBy(F.col("date").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy().orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
     located = (
@@ -187,7 +193,7 @@ def head_tail_split(rows: DataFrame, key: list[str], share: float = TRAIN_SHARE)
     parted = _mark_first(border, key, 0, quota="_quota").select(
         *rows.columns, F.when(F.col("_first"), "train").otherwise("test").alias("split")
     )
-    return whole.unionByName(parted)
+    return whole.unionByName(parted).unionByName(undated)
 
 
 def bernoulli_split(rows: DataFrame, key: list[str], share: float = TRAIN_SHARE, seed: int = 0) -> DataFrame:

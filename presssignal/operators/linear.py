@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presssignal.operators.dataset import drop_blank_texts
-from presssignal.operators.features import add_terms, fit_vocabulary
+from presssignal.operators.features import add_terms, fit_vocabulary, tfidf_vectors
 from presssignal.session import cut_lineage
 
 LOSSES = ("hinge", "log")
@@ -36,7 +36,7 @@ _STEP = 1.0
 #: Scores are compared with the threshold to so many digits, so that ties do not hang on rounding.
 _TIE_DIGITS = 9
 _CANCELLED = 1e-12
-_PARTIAL_SCHEMA = "model int, part int, grad binary"
+_PARTIAL_SCHEMA = "model int, part int, places binary, grad binary"
 
 
 @dataclass(frozen=True)
@@ -174,32 +174,50 @@ def _gradients(shared_var):
                 shared.log_loss, 1.0 / (1.0 + np.exp(np.clip(margin, -500, 500))), (margin < 1).astype(float)
             )
             slope = -y * pull / shared.n_train
-            total[:, columns] += (slope * inverse).T @ block
+            total[:, columns] += ((slope * inverse).T @ block) * shared.masks[shared.mask_of][:, columns]
             bias += slope.sum(axis=0)
             seen = True
         if seen:
             cells = np.column_stack([total, bias])
             part = TaskContext.get().partitionId()
-            yield pd.DataFrame({"model": np.arange(models), "part": part, "grad": [row.tobytes() for row in cells]})
+            yield _sparse(np.arange(models), part, cells)
 
     return run
 
 
-def _add_up(batches):
+def _sparse(models, part: int, cells) -> pd.DataFrame:
+    """One row per model: where its partial gradient is not zero, and the values there."""
+    places = [np.flatnonzero(row) for row in cells]
+    return pd.DataFrame(
+        {
+            "model": models,
+            "part": part,
+            "places": [p.astype("<i4").tobytes() for p in places],
+            "grad": [row[p].tobytes() for row, p in zip(cells, places)],
+        }
+    )
+
+
+def _add_up(size: int):
     """Sum the partial gradients of the models that arrive in this task, in the order of their parts.
 
-    The order is fixed, so equal runs give equal weights to the last bit.
+    The order is fixed, so equal runs give equal weights to the last bit. Rows come model by
+    model, so one sum is held at a time.
     """
-    sums: dict[int, np.ndarray] = {}
-    for pdf in batches:
-        for model, cells in zip(pdf["model"], pdf["grad"]):
-            part = np.frombuffer(cells)
-            if model in sums:
-                sums[model] += part
-            else:
-                sums[model] = part.copy()
-    if sums:
-        yield pd.DataFrame({"model": list(sums), "part": 0, "grad": [s.tobytes() for s in sums.values()]})
+
+    def run(batches):
+        current, total = None, np.zeros(size)
+        for pdf in batches:
+            for model, places, cells in zip(pdf["model"], pdf["places"], pdf["grad"]):
+                if model != current:
+                    if current is not None:
+                        yield _sparse([current], 0, total[None])
+                    current, total = model, np.zeros(size)
+                total[np.frombuffer(places, "<i4")] += np.frombuffer(cells)
+        if current is not None:
+            yield _sparse([current], 0, total[None])
+
+    return run
 
 
 def _tallies(shared_var):
@@ -274,11 +292,11 @@ def _train_group(corpus: Corpus, specs: list[ModelSpec]) -> tuple[np.ndarray, np
         partials = train.mapInPandas(_gradients(sent), _PARTIAL_SCHEMA)
         summed = (
             partials.repartition(min(train_parts, len(specs)), "model").sortWithinPartitions("model", "part")
-            .mapInPandas(_add_up, _PARTIAL_SCHEMA).select("model", "grad")
+            .mapInPandas(_add_up(terms + 1), _PARTIAL_SCHEMA).select("model", "places", "grad")
         )
         gradient = np.zeros((len(specs), terms + 1))
-        for model, cells in zip(*summed.toArrow().to_pydict().values()):
-            gradient[model] = np.frombuffer(cells)
+        for model, places, cells in zip(*summed.toArrow().to_pydict().values()):
+            gradient[model, np.frombuffer(places, "<i4")] = np.frombuffer(cells)
         sent.unpersist()
         # contributions that cancel leave a rest of rounding, which the step size would blow up
         gradient[np.abs(gradient) < _CANCELLED] = 0.0
@@ -378,6 +396,24 @@ def predict_terms(weights_long: DataFrame, model: DataFrame, doc_id: str, interc
     )
 
 
+def predict_rows(
+    docs: DataFrame, model: DataFrame, doc_id: str, intercept: float = 0.0, terms: str = "terms"
+) -> DataFrame:
+    """``doc_id, score, prediction`` by term counts: every document is scored in its own row.
+
+    The model's words become the index of sparse vectors, so it must be bounded (fitted with a
+    ``min_df`` above 0); nothing is shuffled. ``predict_terms`` takes any model.
+    """
+    found = model.filter(F.col("weight") != 0).select("term", "weight").toPandas().sort_values("term")
+    score = F.lit(float(intercept))
+    if not found.empty:
+        docs = tfidf_vectors(docs, found["term"].tolist(), found["weight"].tolist(), None, terms, "_parts")
+        score = score + F.aggregate(F.unwrap_udt("_parts")["values"], F.lit(0.0), lambda total, x: total + x)
+    return docs.select(doc_id, score.alias("score")).withColumn(
+        "prediction", F.when(F.col("score") > 0, 1).otherwise(-1)
+    )
+
+
 def confusion(predictions: DataFrame, label: str = "label", prediction: str = "prediction", by: list[str] | None = None) -> DataFrame:
     """Counts of the four outcomes; the positive class is 1."""
     actual, said = F.col(label) == 1, F.col(prediction) == 1

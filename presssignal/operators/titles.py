@@ -78,12 +78,16 @@ def title_trend(
     """Titles with the label of their day; days without a label drop out.
 
     ``one_per_day`` keeps the first title of each day before labels are looked up.
-    ``labels`` holds one row per day of one series, so it is bounded by the calendar.
+    ``labels`` holds one row per day of one series, so it is bounded by the calendar; days that
+    several series label fail the job.
     """
     if one_per_day:
         titles = titles.groupBy("date").agg(F.min("title").alias("title"))
     rows = titles.select("date", trend_title(F.col("title")).alias("title"))
     if contains is not None:
         rows = rows.filter(F.col("title").contains(contains))
-    per_day = labels.groupBy("date").agg(F.max("trend").alias("trend"))
+    series = [c for c in ("input_filename", "subgroup") if c in labels.columns]
+    mixed = F.count_distinct(*series) > 1 if series else F.lit(False)
+    failed = F.raise_error(F.concat(F.lit("Labels of several series on "), F.col("date").cast("string"))).cast("int")
+    per_day = labels.groupBy("date").agg(F.when(mixed, failed).otherwise(F.max("trend")).alias("trend"))
     return rows.join(F.broadcast(per_day), "date").select("date", "title", "trend")

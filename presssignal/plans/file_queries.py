@@ -81,6 +81,37 @@ def polls_file(spark, sf):
     return daily.withColumn("approval", F.round("approval", 9))
 
 
+@query(
+    f"""WITH {standins.V_PRICE} SELECT date AS "Date", open AS "Open", close AS "Close", true AS complete FROM v_price"""
+)
+def prices_file(spark, sf):
+    """Series written as files of two layouts, read back in one call by their headers."""
+    out = _folder(spark)
+    prices = standins.prices(spark, sf)
+    for folder, test, columns in (("a", "=", ["Date", "Open", "Close"]), ("b", "<>", ["Close", "Date", "Open"])):
+        prices.filter(f"input_filename {test} 'click.csv'").select(*columns).write.option("header", True).csv(f"{out}/{folder}")
+    return files.read_prices(spark, [f"{out}/a", f"{out}/b"]).select("Date", "Open", "Close", "complete")
+
+
+_PAGE_FROM = "CAST(DATE '2017-03-01' + CAST(page_id % 20 AS INT) AS DATE)"
+
+
+@query(
+    f"""SELECT regexp_extract(html, 'lang="([a-z]+)"', 1) AS query, {_PAGE_FROM} AS range_from, CAST({_PAGE_FROM} + 30 AS DATE) AS range_to,
+  CAST(page_id % 60 AS INT) AS page_num, concat({_PAGE_FROM}, ' to ', CAST({_PAGE_FROM} + 30 AS DATE)) AS search_range, md5(html) AS page
+FROM pages WHERE regexp_extract(html, 'lang="([a-z]+)"', 1) <> ''"""
+)
+def tagged_pages(spark, sf):
+    """Query, range and page number of saved pages, from their paths."""
+    day = F.date_add(F.lit("2017-03-01").cast("date"), (F.col("page_id") % 20).cast("int"))
+    path = F.concat(
+        F.lit("file:/saved/"), F.regexp_extract("html", 'lang="([a-z]+)"', 1), F.lit("/"), day.cast("string"), F.lit("_"),
+        F.date_add(day, 30).cast("string"), F.lit("_html/"), (F.col("page_id") % 60).cast("string"), F.lit(".html"),
+    )
+    pages = files.tag_pages(standins.table(spark, sf, "pages").select(path.alias("path"), "html"))
+    return pages.select("query", "range_from", "range_to", "page_num", "search_range", F.md5("html").alias("page"))
+
+
 # Pages with a dated line behind every anchor, so that their anchors read like hits.
 
 

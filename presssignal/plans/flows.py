@@ -77,6 +77,20 @@ def label_polls(
     return rows
 
 
+def store_poll_labels(
+    spark: SparkSession, polls_path, table_root: str, series: str, subgroup: str = trend.POLL_GROUP,
+    min_perc_points: float = trend.MIN_PERC_POINTS, normalize: bool = True,
+) -> DataFrame:
+    """Poll file to labels, merged into the stored label table as ``series``; returns the summary."""
+    polls = files.read_polls(spark, polls_path)
+    name = F.lit(series).alias(trend.SERIES)
+    found = trend.poll_labels(polls, subgroup, min_perc_points, normalize)
+    labels = cut_lineage(found.select(name, "date", "trend"))
+    stored = tables.read_latest(spark, table_root, tables.TREND_SCHEMA)
+    tables.write_next(trend.upsert_trend(stored, labels), table_root)
+    return trend.label_summary(trend.daily_median(polls, subgroup).select(name, "date"), labels)
+
+
 @dataclass
 class ModelReport:
     summary: DataFrame

@@ -218,8 +218,9 @@ SELECT doc_id, term, round(w / {size}, 8) AS tfidf FROM w"""
 
 
 def _tfidf(spark, sf, norm, weigh=features.tfidf):
+    # split and tokenised once: read again for the vocabulary and for the weights
     docs = dataset.random_split(_docs(spark, sf), ["doc_id"], 0.8, seed=5)
-    terms = features.add_terms(docs, "text", STOP, 2)
+    terms = cut_lineage(features.add_terms(docs, "text", STOP, 2).select("doc_id", "split", "terms"))
     words = features.fit_vocabulary(terms.filter(F.col("split") == "train"), 0.01, 0.2)
     return weigh(terms, words, "doc_id", norm)
 
@@ -272,18 +273,19 @@ def _labelled_terms(spark, sf):
         "doc_id", F.when(F.col("quality") == 0, -1).otherwise(1).alias("label")
     )
     docs = features.add_terms(_docs(spark, sf).join(labels, "doc_id"), "text", STOP, 1)
-    return docs
+    return cut_lineage(docs.select("doc_id", "label", "terms"))  # tokenised once, read for weights and scores
 
 
 def _fixed_weights(docs):
     """One row per word of the vocabulary with its mean class."""
-    n = F.lit(docs.count())
+    n = docs.agg(F.count(F.lit(1)).alias("_n"))
     per_term = (
         docs.select("label", F.explode(F.array_distinct("terms")).alias("term"))
         .groupBy("term")
         .agg(F.avg("label").alias("m"), F.count(F.lit(1)).alias("df"))
+        .join(F.broadcast(n))
     )
-    return per_term.filter(features.within_bounds(F.col("df"), n, 0.02, 0.4)).select(
+    return per_term.filter(features.within_bounds(F.col("df"), F.col("_n"), 0.02, 0.4)).select(
         "term", (F.floor(F.col("m") * 1000) / 1000).alias("weight")
     )
 
@@ -294,15 +296,14 @@ pred AS (SELECT doc_id, round(score, 6) AS score, CASE WHEN round(score, 6) > 0
 
 def _predictions(spark, sf):
     docs = _labelled_terms(spark, sf)
-    counts = features.term_counts(docs, "doc_id").withColumn("tfidf", F.col("tf").cast("double"))
-    said = linear.predict_terms(counts, _fixed_weights(docs), "doc_id")
+    said = linear.predict_rows(docs, _fixed_weights(docs), "doc_id")
     rounded = F.round("score", 6)
     return said.select("doc_id", rounded.alias("score"), F.when(rounded > 0, 1).otherwise(-1).alias("prediction"))
 
 
 @query(f"WITH {_SCORED} SELECT doc_id, score, prediction FROM pred")
 def predict_with_weights(spark, sf):
-    """Weights joined on the word, summed per document."""
+    """Every document scored in its row by the weights of its words."""
     return _predictions(spark, sf)
 
 

@@ -165,6 +165,18 @@ def poll_labels(spark, sf):
     return trend.poll_labels(standins.polls(spark, sf), "view")
 
 
+@query(
+    f"""WITH {_POLL_LABELS}, a AS (SELECT subgroup, count(*) AS total_dates FROM d GROUP BY 1),
+s AS (SELECT subgroup, count(*) AS n, avg(trend) AS m FROM poll_labels GROUP BY 1)
+SELECT a.subgroup, total_dates, coalesce(n, 0) AS dates_of_interest, round(m, 9) AS mean_trend FROM a LEFT JOIN s USING (subgroup)"""
+)
+def poll_label_summary(spark, sf):
+    """Days of the poll, days with a label, mean label."""
+    polls = standins.polls(spark, sf)
+    out = trend.label_summary(trend.daily_median(polls, "view"), trend.poll_labels(polls, "view"), by="subgroup")
+    return out.withColumn("mean_trend", F.round("mean_trend", 9))
+
+
 @query(
     f"""WITH {standins.V_ARTICLE}, {_POLL_LABELS}
 SELECT a.date, lower(replace(a.title, ',', '')) AS title, p.trend FROM v_article a JOIN poll_labels p ON a.date = p.date"""

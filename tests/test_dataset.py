@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from presssignal.operators import dataset, features
+from presssignal.operators import dataset, titles, features
 
 
 @pytest.mark.parametrize("n, share", [(0, 0.8), (1, 0.8), (5, 0.8), (1000, 0.8), (997, 0.9), (10, 1.0), (10, 0.0)])
@@ -93,3 +93,18 @@ def test_copies_of_a_key_stay_together(spark):
     assert out.filter("id = -1").select("split").distinct().count() == 1
     train = out.filter("split = 'train'").count()
     assert 720 <= train < 720 + 300 and out.count() == 900
+
+
+def test_rows_without_a_date_stay(spark):
+    rows = spark.range(20).select("id", F.when(F.col("id") < 15, F.date_add(F.lit("2018-01-01").cast("date"), F.col("id").cast("int"))).alias("date"))
+    for out in (dataset.date_split(rows), dataset.head_tail_split(rows, ["id"])):
+        assert out.count() == 20 and {r.split for r in out.filter("date IS NULL").collect()} == {"test"}
+
+
+def test_labels_of_several_series_fail(spark):
+    titles_of = spark.createDataFrame([("2018-01-01", "a")], "date string, title string").withColumn("date", F.col("date").cast("date"))
+    labels = titles_of.select("date", F.lit("A").alias("input_filename"), F.lit(1).alias("trend"))
+    both = labels.unionByName(labels.withColumn("input_filename", F.lit("B")))
+    assert titles.title_trend(titles_of, labels).count() == 1
+    with pytest.raises(Exception, match="several series"):
+        titles.title_trend(titles_of, both).collect()

@@ -142,6 +142,16 @@ def test_label_polls_flow(spark, tmp_path):
     ]
 
 
+def test_poll_labels_reach_the_report(spark, tmp_path):
+    polls = tmp_path / "polls.csv"
+    lines = ["subgroup,timestamp,approve_estimate"] + [f"Voters,10:00:00 {d} Aug 2018,{v}" for d, v in enumerate((41, 43, 41, 45), start=1)]
+    polls.write_text("\n".join(lines) + "\n")
+    row = flows.store_poll_labels(spark, str(polls), str(tmp_path / "trend"), "approval").first()
+    assert (row.input_filename, row.total_dates, row.dates_of_interest) == ("approval", 4, 3)
+    stored = tables.read_latest(spark, str(tmp_path / "trend"), tables.TREND_SCHEMA).orderBy("date").collect()
+    assert [(r.input_filename, r.trend) for r in stored] == [("approval", 1), ("approval", 0), ("approval", 1)]
+
+
 def test_unreadable_poll_time_fails(spark):
     from presssignal.operators import trend
 

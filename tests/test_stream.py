@@ -40,6 +40,22 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path):
     assert results[0] == results[1] and len(results[0]) == 2
 
 
+def test_an_empty_stream_gives_an_empty_table(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    ingest_stream(spark, str(root), out).awaitTermination()
+    assert current_articles(spark, out).collect() == []
+
+
+def test_unfinished_batches_are_not_read(spark, tmp_path):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    fill(root, PAGES)
+    ingest_stream(spark, root, out).awaitTermination()
+    have = rows(current_articles(spark, out))
+    (pathlib.Path(out, "hits", "batch=0") / "_SUCCESS").unlink()
+    assert len(have) == 2 and current_articles(spark, out).collect() == []
+
+
 def test_files_are_read_once_and_folding_is_idempotent(spark, tmp_path):
     root, out = str(tmp_path / "in"), str(tmp_path / "out")
     fill(root, PAGES)
