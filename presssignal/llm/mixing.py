@@ -90,9 +90,9 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with ``row``, a number of their own, and ``size``, their words; write it before use."""
-    return docs.withColumn("size", F.regexp_count(plain_text(), F.lit(WORD)).cast("long")).withColumn(
+    return docs.withColumn("size", F.regexp_count(plain_text(text), F.lit(WORD)).cast("long")).withColumn(
         "row", F.monotonically_increasing_id()
     )
 
@@ -142,7 +142,8 @@ def slot_table(spark: SparkSession, sources: pd.DataFrame, seed: int) -> DataFra
                 ["shard", "number", "turn", "block"],
             )
 
-    return slots.mapInArrow(run, "shard long, number long, turn long, block long")
+    # the planner takes what was spelled out from few rows for small, and would send it to every task
+    return slots.mapInArrow(run, "shard long, number long, turn long, block long").hint("merge")
 
 
 def places(sizes: DataFrame) -> DataFrame:
@@ -214,7 +215,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """
     rows = stored(_narrow(numbered(docs.select("doc_id", "source", "text"))), "sizes")
     named, pieces, slots = draw(rows, seed)
-    times = slots.groupBy("number", "block").agg(F.count("*").alias("times"))
+    times = slots.groupBy("number", "block").agg(F.count("*").alias("times")).hint("merge")
     taken = (
         pieces.join(times, ["number", "block"])
         .groupBy("row").agg(F.sum((F.col("until") - F.col("first")) * F.col("times")).alias("taken"))
@@ -233,9 +234,8 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """
     inner = [f"c{i}" for i in range(len(docs.columns))]
     at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
-    wide = docs.toDF(*inner).withColumns({"text": F.col(at["text"])})
-    table = stored(numbered(wide), "numbered")
-    rows = _narrow(table.withColumns({"doc_id": F.col(at["doc_id"]), "source": F.col(at["source"])}))
+    table = stored(numbered(docs.toDF(*inner), at["text"]), "numbered")
+    rows = _narrow(table.select("row", "size", *(F.col(at[c]).alias(c) for c in ("doc_id", "source", "text"))))
     _, pieces, slots = draw(rows, seed)
     spans = (
         pieces.join(slots, ["number", "block"])
@@ -248,7 +248,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
         return pd.Series([take_words(t, n, s) for t, n, s in zip(text, size, spans)], dtype=object)
 
     whole = F.expr("size = 0 OR aggregate(spans, 0L, (n, s) -> n + s.until - s.first) = size")
-    text = F.when(whole, F.col(at["text"])).otherwise(cut("text", "size", F.when(~whole, F.col("spans"))))
+    text = F.when(whole, F.col(at["text"])).otherwise(cut(at["text"], "size", F.when(~whole, F.col("spans"))))
     done = kept.withColumn("text", text)
     out = {at["text"]: F.col("text")}
     if "n_chars" in at:
