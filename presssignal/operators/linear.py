@@ -179,7 +179,8 @@ def _gradients(shared_var):
             seen = True
         if seen:
             cells = np.column_stack([total, bias])
-            part = TaskContext.get().partitionId()
+            task = TaskContext.get()
+            part = task.partitionId() if task else 0
             yield _sparse(np.arange(models), part, cells)
 
     return run
