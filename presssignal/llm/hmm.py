@@ -99,9 +99,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return stored(found.groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
 
 
+def most_frequent(counts: DataFrame, size: int) -> list:
+    """The ``size`` rows with the largest n, ties to the smaller word.
+
+    Words are first counted in narrow bins of n, of which there are 4096 at most. The bins that fit
+    wholly are fetched as they are and only the next one is ranked, so what comes to the driver is
+    bounded by ``size`` and not by the number of partitions.
+    """
+    binned = counts.withColumn("bin", F.floor(F.log2("n") * 64))
+    whole, left, ranked = None, size, None
+    for bin_, words in sorted(binned.groupBy("bin").count().collect(), reverse=True):
+        if words > left:
+            ranked = bin_
+            break
+        whole, left = bin_, left - words
+    rows = binned.filter(F.col("bin") >= whole).collect() if whole is not None else []
+    if ranked is not None and left:
+        rows += binned.filter(F.col("bin") == ranked).orderBy(F.desc("n"), "word").limit(left).collect()
+    return sorted(rows, key=lambda r: (-r.n, bytes(r.word)))
+
+
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     """Bounded summaries of the counts: the ``frequent`` most frequent words and the endings' totals."""
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
+    top = most_frequent(counts, frequent)
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     words = {bytes(r.word): i for i, r in enumerate(top)}
     tokens_of, words_of = np.zeros(ENDINGS), np.zeros(ENDINGS)

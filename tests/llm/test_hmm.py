@@ -119,6 +119,15 @@ def test_words_of_a_class_share_its_probability(documents):
     assert known.rest_words.sum() + 5 == known.distinct
 
 
+@pytest.mark.parametrize("size", [0, 1, 7, 50, 299, 300, 1000])
+def test_most_frequent_words(spark, size):
+    draw = random.Random(size)
+    rows = [(f"w{i}".encode(), draw.choice([1, 1, 2, 3, 64, 65, 1000, 10**9 + i]), 0) for i in range(300)]
+    counts = spark.createDataFrame(rows, "word binary, n long, ending int")
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[:size]
+    assert [(bytes(r.word), r.n) for r in hmm.most_frequent(counts, size)] == [r[:2] for r in want]
+
+
 def test_beats_the_base_on_real_documents(spark):
     got = hmm.score(table(spark, "/root/testdata/sf0.01", "documents")).toPandas()
     held = got[got.held_out]
