@@ -265,6 +265,7 @@ def write_frames(docs: DataFrame, tokenizer_json: str, frame_ids: int = FRAME_ID
                 if size >= frame_ids:
                     yield frame()
                     doc_ids, lengths, held, size, number = [], [], [], 0, number + 1
+        memory.forget()
         if doc_ids:
             yield frame()
 

@@ -58,7 +58,7 @@ class Memory:
     library's whole course. Both ways a special token, which ends every piece, parts the answers.
     """
 
-    def __init__(self, tokenizer_json: str, cut: Callable[[str], list[str]], lower: bool, limit: int = 400_000):
+    def __init__(self, tokenizer_json: str, cut: Callable[[str], list[str]], lower: bool, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         made = json.loads(tokenizer_json)
         self._end = made["added_tokens"][-1]
@@ -119,6 +119,10 @@ class Memory:
             self._known[stretch] = known[word] + known[marks] if marks else known[word]
         self._known.update(zip(other, self._ask(self._whole, other)))
 
+    def forget(self) -> None:
+        """Give back what a task has learnt; the tokenizers stay ready for the worker's next task."""
+        self._known, self._pieces = {}, {}
+
     def encode(self, text: str) -> bytes:
         out, stretches = [], self._cut(text)
         step = max(1, self._limit // 4)
