@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-One pass of an automaton over the lower-cased text finds which keywords stand in it; only rules all
-of whose keywords do are tried. A detection whose interval lies within that of a rule of higher
+One pass of an automaton over the lower-cased text, each run of blanks and comment marks made one
+blank, finds which keywords stand in it; only rules all of whose keywords do are tried, on the text as it is. A detection whose interval lies within that of a rule of higher
 priority is suppressed, so one passage is reported by its most telling rule. Base phrases are counted
 apart and always keep their label.
 """
@@ -23,7 +23,9 @@ from presssignal.llm.support import plain_text
 
 PHRASES = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general public license", "gpl"))
 _BASE_WEIGHT = 0.5
-_GAP = r"[\s*#/>;-]"
+_MARKS = "*#/>;-"
+_GAP = rf"[\s{_MARKS}]"
+_BLANKS = str.maketrans(_MARKS, " " * len(_MARKS))
 #: Lower case for A-Z, a blank for every ASCII character that is no word character.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -35,25 +37,31 @@ def spaced(pattern: str) -> str:
     return pattern.replace(" ?", f"{_GAP}*").replace(" ", f"{_GAP}+")
 
 
+def flat(text: str) -> str:
+    """Every run of what a blank of a pattern takes as one blank, none at the ends."""
+    return " ".join(text.translate(_BLANKS).split())
+
+
 class Scanner:
     """The rules made ready in a task; patterns are compiled when first needed."""
 
     def __init__(self, ordered: list[Rule] | None = None):
         self._rules = rules() if ordered is None else ordered
-        self._needs = [frozenset(r.keywords) for r in self._rules]
+        self._needs = [[frozenset(map(flat, k.split("|"))) for k in r.keywords] for r in self._rules]
         self._by_keyword: dict[str, list[int]] = {}
         self._automaton = ahocorasick.Automaton()
-        for i, rule in enumerate(self._rules):
-            for k in rule.keywords:
+        for i, needs in enumerate(self._needs):
+            for k in frozenset().union(*needs):
                 self._automaton.add_word(k, k)
-            self._by_keyword.setdefault(rule.keywords[0], []).append(i)
+            for k in needs[0]:
+                self._by_keyword.setdefault(k, []).append(i)
         self._automaton.make_automaton()
         self._pattern = cache(lambda i: re.compile(spaced(self._rules[i].pattern), re.DOTALL))
 
     def detections(self, low: str) -> list[tuple[int, int, int]]:
         """(start, end, rule) of what survives, in text order; ``low`` is lower-cased."""
-        there = {k for _, k in self._automaton.iter(low)}
-        tried = [i for k in there for i in self._by_keyword.get(k, ()) if self._needs[i] <= there]
+        there = {k for _, k in self._automaton.iter(flat(low))}
+        tried = {i for k in there for i in self._by_keyword.get(k, ()) if not any(map(there.isdisjoint, self._needs[i]))}
         return suppressed([(m.start(), m.end(), i) for i in tried for m in self._pattern(i).finditer(low)])
 
     def __getitem__(self, i: int) -> Rule:

@@ -76,5 +76,56 @@ def test_labels_and_priority():
     assert labels("wir gehen mit dem Hund") == [] and labels("") == []
 
 
+def written(nodes, draw):
+    """A text that the parsed pattern ``nodes`` matches, alternatives and repeats drawn."""
+    out = ""
+    for op, arg in nodes:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "NOT_LITERAL" | "ANY":
+                out += "x"
+            case "IN":
+                kind, value = draw.choice(arg)
+                out += {"LITERAL": lambda: chr(value), "RANGE": lambda: chr(draw.randint(*value)), "CATEGORY": lambda: "x" if "NOT" in str(value) else draw.choice(" \n\t")}[str(kind)]()
+            case "BRANCH":
+                out += written(draw.choice(arg[1]), draw)
+            case "SUBPATTERN":
+                out += written(arg[3], draw)
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                least, most, inner = arg
+                out += "".join(written(inner, draw) for _ in range(draw.randint(least, min(most, least + 2))))
+            case "AT" | "ASSERT_NOT":
+                pass
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def test_gate_lets_every_form_of_every_rule():
+    every, scanner, draw = rules(), licenses.Scanner(), random.Random(5)
+    patterns = [re.compile(licenses.spaced(r.pattern), re.DOTALL) for r in every]
+    matched = 0
+    for i, p in enumerate(patterns):
+        for _ in range(12):
+            text = f"e {written(re._parser.parse(p.pattern, re.DOTALL), draw)} e"
+            want = licenses.suppressed([(m.start(), m.end(), k) for k, q in enumerate(patterns) for m in q.finditer(text)])
+            assert sorted(scanner.detections(text)) == sorted(want), (every[i], text)
+            matched += bool(p.search(text))
+    assert matched > 11 * len(every)
+
+
+def test_wrapped_headers():
+    scanner = licenses.Scanner()
+    for text, label in (
+        ("// Redistribution\n// and use in source and binary forms, with or without modification, are permitted", "bsd"),
+        ("# Permission is\n# hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+        ("licensed under the GNU General\n# Public License version 2", "gpl-2.0"),
+        ("see https://opensource.org/license/mit", "mit"),
+        ("This work is licensed under CC Zero License", "cc0-1.0"),
+    ):
+        assert label in {scanner[r].label for _, _, r in scanner.detections(text.lower())}, text
+
+
 def test_empty_table(documents):
     assert licenses.scan(documents([])).collect() == []
