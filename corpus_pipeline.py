@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from presssignal.llm import mixing, packing, quality_crf, similar
+from presssignal.llm import mixing, near_dedup, packing, quality_crf
 from presssignal.llm.support import stored, table
 from presssignal.llm.tokens import read_tokenizer
 
@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, by five-word shingles, the document with the smallest id stays."""
-    return similar.representatives(docs)
+    """Of each group of SimHash near duplicates, three words and two bits, the document with the smallest id stays."""
+    return near_dedup.representatives(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
