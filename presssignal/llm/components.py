@@ -1,4 +1,4 @@
-"""Connected components of a graph given as pairs, by alternating star contractions."""
+"""Connected components of a graph given as pairs, by alternating star contractions, and the rows they group."""
 
 from __future__ import annotations
 
@@ -43,3 +43,24 @@ def components(pairs: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = sums
         now = stored(_small_star(_large_star(now)), "pairs")
+
+
+def grouped(rows: DataFrame, key: str, links: DataFrame, salts: int = 8) -> DataFrame:
+    """``rows`` (doc_id, the long ``key``, perhaps more; a written table) with root and component_id.
+
+    root is the smallest key of the row's component by ``links`` (a, b) between keys; component_id the
+    component's smallest doc_id.
+    """
+    distinct = stored(rows.groupBy(key).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
+    roots = components(links).withColumnRenamed("node", key)
+    rooted = stored(distinct.join(roots, key, "left").withColumn("root", F.coalesce("root", key)), "rooted")
+    whole = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("members"))
+    # only texts with company need a lookup; one text may own a third of the rows, so it is salted
+    shared = (
+        rooted.join(whole.filter("members > 1"), "root")
+        .select(key, "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    )
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    return salted.join(shared, [key, "salt"], "left").select(
+        *rows.columns, F.coalesce("root", key).alias("root"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
