@@ -111,10 +111,10 @@ common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
 ), link AS MATERIALIZED (
   SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
-), both AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+), ends AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (
   SELECT doc_id, doc_id AS other FROM documents
-  UNION SELECT r.doc_id, both.b FROM reach r JOIN both ON both.a = r.other
+  UNION SELECT r.doc_id, ends.b FROM reach r JOIN ends ON ends.a = r.other
 )
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
 FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
