@@ -15,7 +15,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 # The characters that the Unicode property White_Space has.
 WHITE = "".join(
@@ -51,24 +51,30 @@ def _byte_characters() -> dict[int, str]:
 
 
 class Memory:
-    """Encodes texts to little-endian unsigned 32-bit ids; ``limit`` bounds what is remembered.
+    """Encodes texts to little-endian unsigned 32-bit ids; twice ``limit`` bounds what is remembered.
+
+    What is remembered is kept in two generations: when the younger is full it becomes the older, and what
+    is met again moves to the younger, so frequent stretches stay.
 
     A new stretch that is a Latin word, perhaps with closing marks, is taken apart here and its
     pieces go straight to the library's byte-pair merges; any other stretch goes through the
     library's whole course. Both ways a special token, which ends every piece, parts the answers.
     """
 
-    def __init__(self, tokenizer_json: str, cut: Callable[[str], list[str]], lower: bool, limit: int = 250_000):
+    def __init__(self, tokenizer_json: str, cut: Callable[[str], list[str]], lower: bool, limit: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         made = json.loads(tokenizer_json)
         self._end = made["added_tokens"][-1]
+        self._special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in made["added_tokens"]}
+        self._borders = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")")
         self._whole = Tokenizer.from_str(tokenizer_json)
-        self._merges = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": None, "post_processor": None}))
+        self._merges = Tokenizer(self._whole.model)  # one vocabulary and one table of merges for both
+        self._merges.add_special_tokens([AddedToken(t["content"], normalized=False, special=True) for t in made["added_tokens"]])
         self._cut, self._lower, self._limit = cut, lower, limit
         self._bytes = _byte_characters()
         self._blank = self._bytes[32]
-        self._known: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._known, self._known_before = {}, {}
+        self._pieces, self._pieces_before = {}, {}
 
     def _ask(self, tokenizer: Tokenizer, new: list[str]) -> list[bytes]:
         out = []
@@ -97,22 +103,23 @@ class Memory:
 
     def _learn(self, new: set[str]) -> None:
         if len(self._known) + len(new) > self._limit:
-            self._known.clear()
-        if len(self._pieces) + len(new) > self._limit:
-            self._pieces.clear()
+            self._known, self._known_before = {}, self._known
+        again = {s: ids for s in new if (ids := self._known_before.get(s)) is not None}
+        self._known.update(again)
+        new = new.difference(again)
         simple, other = {}, []
         for stretch in new:
             parts = self._parts(stretch)
             if parts is not None:
                 simple[stretch] = parts
-            elif self._end["content"][:2] in stretch:
-                self._whole.encode_special_tokens = True  # their strings in a text are ordinary text
-                ids = self._whole.encode(stretch, add_special_tokens=False).ids
-                self._whole.encode_special_tokens = False
-                self._known[stretch] = np.array(ids, "<u4").tobytes()
             else:
                 other.append(stretch)
-        pieces = list({piece for parts in simple.values() for piece in parts if piece}.difference(self._pieces))
+        if len(self._pieces) + len(new) > self._limit:
+            self._pieces, self._pieces_before = {}, self._pieces
+        pieces = {piece for parts in simple.values() for piece in parts if piece}.difference(self._pieces)
+        again = {p: ids for p in pieces if (ids := self._pieces_before.get(p)) is not None}
+        self._pieces.update(again)
+        pieces = list(pieces.difference(again))
         self._pieces.update(zip(pieces, self._ask(self._merges, pieces)))
         known = self._pieces
         for stretch, (word, marks) in simple.items():
@@ -120,10 +127,16 @@ class Memory:
         self._known.update(zip(other, self._ask(self._whole, other)))
 
     def forget(self) -> None:
-        """Give back what a task has learnt; the tokenizers stay ready for the worker's next task."""
-        self._known, self._pieces = {}, {}
+        """Give back the older half of what a task has learnt; the worker's next task starts with the rest."""
+        self._known_before, self._pieces_before = {}, {}
 
     def encode(self, text: str) -> bytes:
+        if any(mark in text for mark in self._special):
+            parts = self._borders.split(text)
+            return b"".join(self._special[p] if i % 2 else self._encode(p) for i, p in enumerate(parts))
+        return self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
         out, stretches = [], self._cut(text)
         step = max(1, self._limit // 4)
         for at in range(0, len(stretches), step):  # bounded for very long texts

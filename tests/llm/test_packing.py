@@ -15,14 +15,13 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 ODD = [
     "", " ", "\n\n a  b\n", "it's WE'LL  don't", "a\x1cb\x1d \x1e\x1fc", "x\u0085y z w　v u", "é ́a",
-    "<|endoftext|> a<|startoftext|>b", "漢字 かな 12345 ١٢٣", "🤦🏼‍♂️ ok", "tab\t\tend \t", "İstanbul ΣΑΣ ς", "a" * 5000, "​ zero ﻿", " lead",
+    "<|endoftext|> a<|startoftext|>b", "a <|endoftext|> b", "<|ENDOFTEXT|> <|endoftext <|endoftext|", "x  <|endoftext|><|endoftext|>\n", "漢字 かな 12345 ١٢٣", "🤦🏼‍♂️ ok", "tab\t\tend \t", "İstanbul ΣΑΣ ς", "a" * 5000, "​ zero ﻿", " lead",
 ]
 
 
 @pytest.mark.parametrize("path,cut,lower", [(WORDS, tokens.word_stretches, True), (BYTES, tokens.byte_stretches, False)])
 def test_ids_are_the_library_s(path, cut, lower):
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     draw = random.Random(1)
     alphabet = "ab'sT1é漢 \n\t\r\x0b\x0c\x1c\x85\xa0 ́_-!?."
     texts = ODD + ["".join(draw.choices(alphabet, k=draw.randrange(40))) for _ in range(3000)]
