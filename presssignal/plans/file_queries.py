@@ -12,7 +12,8 @@ from presssignal.plans.registry import query
 from presssignal.plans.text_queries import _duck_filter
 from presssignal.session import ensure_checkpoint_dir
 from presssignal.sources import files, standins
-from presssignal.streaming.ingest import current_articles, ingest
+from presssignal.sources.tables import TREND_SCHEMA, merge, read_latest
+from presssignal.streaming.ingest import current_articles, fold_batches, ingest
 
 
 def _folder(spark) -> str:
@@ -93,6 +94,7 @@ def prices_file(spark, sf):
     return files.read_prices(spark, [f"{out}/a", f"{out}/b"]).select("Date", "Open", "Close", "complete")
 
 
+_ARTICLE = ["query", "title", "date", "url", "search_range", "page_num"]
 _PAGE_FROM = "CAST(DATE '2017-03-01' + CAST(page_id % 20 AS INT) AS DATE)"
 
 
@@ -125,6 +127,16 @@ def _dated_pages(pages):
     )
 
 
+def _streamed(spark, sf) -> str:
+    """The store that all pages have gone into, as batches."""
+    out = _folder(spark)
+    source = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = _dated_pages(spark.readStream.schema(source.schema).parquet(f"{sf}/pages*.parquet"))
+    stream = ingest(pages, out, min_words=None, reference_year=2024, cell_tag="li", target=None)
+    stream.awaitTermination()
+    return out
+
+
 _DUCK_PAGE_ARTICLES = f"""a AS (
   SELECT regexp_extract(html, 'lang="([a-z]+)"', 1) AS query, regexp_extract(url, '^https?://([^/]+)/', 1) AS search_range,
     CAST(page_id % 60 AS INT) AS page_num, CAST(make_date(2017, 3, CAST(page_id % 28 + 1 AS INT)) AS DATE) AS date,
@@ -141,9 +153,28 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query, title ORDER BY date, sear
 )
 def stream_pages(spark, sf):
     """All pages through the ingestion stream; the merged article table."""
+    return current_articles(spark, _streamed(spark, sf)).select(*_ARTICLE)
+
+
+@query(
+    f"WITH {_DUCK_PAGE_ARTICLES} SELECT query, title, date, url, search_range, page_num FROM r WHERE rn = 1"
+)
+def folded_pages(spark, sf):
+    """The same, after all batches have been folded into the stored article table."""
+    out = _streamed(spark, sf)
+    fold_batches(spark, out)
+    return current_articles(spark, out).select(*_ARTICLE)
+
+
+@query(
+    f"""WITH {standins.trend_cte(0)}
+SELECT input_filename, date, CASE WHEN date > DATE '2024-01-20' THEN 1 - trend ELSE trend END AS trend FROM v_trend"""
+)
+def stored_trend(spark, sf):
+    """Labels merged twice into the stored label table; the overlapping days are replaced."""
     out = _folder(spark)
-    source = spark.read.parquet(f"{sf}/pages.parquet")
-    pages = _dated_pages(spark.readStream.schema(source.schema).parquet(f"{sf}/pages*.parquet"))
-    stream = ingest(pages, out, min_words=None, reference_year=2024, cell_tag="li", target=None)
-    stream.awaitTermination()
-    return current_articles(spark, out).select("query", "title", "date", "url", "search_range", "page_num")
+    labels = trend.price_labels(standins.prices(spark, sf))
+    later = labels.filter(F.col("date") > "2024-01-20").withColumn("trend", 1 - F.col("trend"))
+    for rows in (labels.filter(F.col("date") < "2024-01-26"), later):
+        merge(spark, out, TREND_SCHEMA, [trend.SERIES, "date"], rows, trend.upsert_trend)
+    return read_latest(spark, out, TREND_SCHEMA)

@@ -61,8 +61,7 @@ def label_prices(
     """Price files to labels, merged into the stored label table; returns the summary."""
     prices = files.read_prices(spark, paths)
     labels = cut_lineage(trend.price_labels(prices, min_percent_change, normalize))
-    stored = tables.read_latest(spark, table_root, tables.TREND_SCHEMA)
-    tables.write_next(trend.upsert_trend(stored, labels), table_root)
+    tables.merge(spark, table_root, tables.TREND_SCHEMA, [trend.SERIES, "date"], labels, trend.upsert_trend)
     return trend.label_summary(trend.daily_prices(prices), labels)
 
 
@@ -86,8 +85,7 @@ def store_poll_labels(
     name = F.lit(series).alias(trend.SERIES)
     found = trend.poll_labels(polls, subgroup, min_perc_points, normalize)
     labels = cut_lineage(found.select(name, "date", "trend"))
-    stored = tables.read_latest(spark, table_root, tables.TREND_SCHEMA)
-    tables.write_next(trend.upsert_trend(stored, labels), table_root)
+    tables.merge(spark, table_root, tables.TREND_SCHEMA, [trend.SERIES, "date"], labels, trend.upsert_trend)
     return trend.label_summary(trend.daily_median(polls, subgroup).select(name, "date"), labels)
 
 
