@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presssignal.operators import seeded
 from presssignal.operators.linear import Corpus, Fitted, ModelSpec, evaluate, prepare, scores, train
 
 # Ends and lengths of the geometric parameter lists, and the single-valued ones.
@@ -143,3 +144,8 @@ def seed_stability(
         part = scores(evaluate(corpus, fitted)).withColumnRenamed("model_id", "seed")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def fit_stability(corpus: Corpus, spec: ModelSpec, seeds: tuple[int, ...] = (42, 41)) -> DataFrame:
+    """Scores of one parameter set on one split, its rows taken in under other seeds."""
+    return scores(evaluate(corpus, seeded.fit(corpus, spec, list(seeds)))).withColumnRenamed("model_id", "seed")

@@ -465,6 +465,20 @@ def seed_stability(spark, sf):
     return _rounded(grid.seed_stability(lambda seed: split_core(spark, sf, seed), "title", STOP, spec), _SCORES, 9)
 
 
+@query()
+def fit_seed_stability(spark, sf):
+    """Scores of one parameter set on one split, fitted row by row under two seeds."""
+    spec = ModelSpec(alpha=1e-3, min_df=0.016, max_df=0.5)
+    corpus = grid.corpus_for(split_core(spark, sf), "title", STOP, [spec])
+    return _rounded(grid.fit_stability(corpus, spec), _SCORES, 9)
+
+
+@query()
+def converged_keywords(spark, sf):
+    """Word weights of a log-loss model trained until its duality gap is below its tolerance."""
+    return _keywords(spark, sf, ModelSpec(alpha=1e-3, min_df=0.016, max_df=0.5, loss="log", norm="l2", max_iter=100, tol=0.01))
+
+
 @query(
     f"""WITH {_trainer_sql(_one_model(1, min_df=0.9, max_df=0.1))}
 SELECT m.model_id, CAST(NULL AS BIGINT) AS tp, CAST(NULL AS BIGINT) AS fp, CAST(NULL AS BIGINT) AS tn, CAST(NULL AS BIGINT) AS fn,

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from presssignal.operators import components, grid, linear, report, sentiment
+from presssignal.operators import components, grid, linear, report, seeded, sentiment
 from presssignal.operators.linear import ModelSpec
 
 FILLER = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
@@ -70,7 +70,8 @@ def test_gradient_against_plain_loops(spark):
     weights = rng.normal(size=(2, 5)) * masks
     idf = rng.random(5) + 1
     shared = SimpleNamespace(idf=idf, masks=masks, mask_of=np.array([0, 1]), l2=np.array([True, False]),
-                             log_loss=np.array([False, True]), weights=weights, intercepts=np.array([0.1, -0.2]), n_train=7)
+                             log_loss=np.array([False, True]), weights=weights, intercepts=np.array([0.1, -0.2]), n_train=7,
+                             plain=np.array([False, False]), smooth=None, active=1.0)
     pdf = pd.DataFrame({"y": y, "idx": [np.flatnonzero(r).astype(np.int32) for r in dense], "x": [r[np.flatnonzero(r)] for r in dense]})
     out = list(linear._gradients(SimpleNamespace(value=shared))([pdf.iloc[:3], pdf.iloc[3:]]))[0]
     for m in range(2):
@@ -88,6 +89,112 @@ def test_gradient_against_plain_loops(spark):
         assert np.allclose(got[inside], want[inside])
 
 
+def noisy(spark, n=240):
+    rng = random.Random(8)
+    rows = []
+    for i in range(n):
+        up = rng.random() < 0.5
+        words = rng.sample(FILLER, 5) + (["surges"] if up != (rng.random() < 0.15) else ["deepens"])
+        rows.append(("train" if i < n * 0.8 else "test", 1 if up else -1, " ".join(words)))
+    return spark.createDataFrame(rows, "split string, trend int, title string").repartition(5)
+
+
+def dense_rows(corpus, spec):
+    rows = corpus.table.filter("split = 'train'").collect()
+    x = np.zeros((len(rows), len(corpus.terms)))
+    for i, r in enumerate(rows):
+        x[i, r.idx] = r.x
+    x = x * (corpus.idf if spec.use_idf else 1) * linear.vocabulary_mask(corpus, spec)
+    if spec.norm:
+        size = np.abs(x).sum(axis=1) if spec.norm == "l1" else np.sqrt((x * x).sum(axis=1))
+        x = x / np.where(size > 0, size, 1)[:, None]
+    return x, np.array([r.y for r in rows])
+
+
+def test_gap_falls_below_the_tolerance(spark):
+    specs = [
+        ModelSpec(model_id=0, alpha=0.01, max_df=0.9, min_df=0.01, norm="l2", ngram_max=1, loss="log", max_iter=400, tol=0.005),
+        ModelSpec(model_id=1, alpha=0.02, max_df=0.9, min_df=0.01, norm="l2", ngram_max=1, max_iter=400, tol=0.05),
+        ModelSpec(model_id=2, alpha=0.01, max_df=0.9, min_df=0.01, norm="l2", ngram_max=1, loss="log", max_iter=400, tol=0.05),
+        ModelSpec(model_id=3, alpha=0.01, max_df=0.9, min_df=0.01, norm="l2", ngram_max=1, loss="log"),
+    ]
+    corpus = grid.corpus_for(noisy(spark), "title", [], specs)
+    models = linear.train(corpus, specs)
+    assert all(m.gap <= m.spec.tol for m in models[:3]) and models[3].gap == np.inf
+
+    def objective(m):
+        x, y = dense_rows(corpus, m.spec)
+        margin = y * (x @ m.weights + m.intercept)
+        loss = np.logaddexp(0, -margin) if m.spec.loss == "log" else np.maximum(0, 1 - margin)
+        return loss.mean() + m.spec.alpha * np.abs(m.weights).sum()
+
+    # the gap is a promise about the optimum: a far better trained model is no better than it says
+    far = linear.train(corpus, [ModelSpec(alpha=0.01, max_df=0.9, min_df=0.01, norm="l2", ngram_max=1, loss="log", max_iter=400, tol=2e-4)])[0]
+    assert far.gap < models[0].gap <= models[2].gap
+    for m in (models[0], models[2]):
+        assert objective(far) - 1e-9 <= objective(m) <= objective(far) + m.gap + 1e-9
+    # with a tolerance a model does not depend on its company
+    alone = linear.train(corpus, [specs[2]])[0]
+    assert np.allclose(alone.weights, models[2].weights) and alone.gap == pytest.approx(models[2].gap)
+
+
+def test_models_without_norm_or_idf(spark):
+    specs = [ModelSpec(model_id=i, alpha=1e-3, max_df=0.9, min_df=0.01, norm=n, use_idf=u, max_iter=1) for i, (n, u) in enumerate([(None, True), ("l2", False), (None, False), ("l1", True)])]
+    corpus = grid.corpus_for(noisy(spark), "title", [], specs)
+    for m in linear.train(corpus, specs):
+        x, y = dense_rows(corpus, m.spec)
+        slope = -(y[:, None] * x).mean(axis=0)
+        step = np.divide(1, np.abs(slope), out=np.zeros_like(slope), where=np.abs(slope) > 1e-15)
+        moved = -step * slope
+        want = np.sign(moved) * np.maximum(np.abs(moved) - step * m.spec.alpha, 0)
+        assert np.allclose(m.weights, want)
+
+
+def test_sums_in_a_tree(spark, monkeypatch):
+    spec = ModelSpec(alpha=1e-3, max_df=0.9, min_df=0.01)
+    corpus = grid.corpus_for(toy(spark), "title", [], [spec])
+    corpus.table = corpus.table.repartition(9)
+    whole = linear.train(corpus, [spec])[0]
+    monkeypatch.setattr(linear, "_FAN", 2)
+    assert np.allclose(linear.train(corpus, [spec])[0].weights, whole.weights, atol=1e-12)
+
+
+def test_seeds_of_the_fit(spark):
+    spec = ModelSpec(alpha=1e-3, max_df=0.9, min_df=0.01, norm="l2", ngram_max=1)
+    corpus = grid.corpus_for(noisy(spark), "title", [], [spec])
+    first = seeded.fit(corpus, spec, [41, 42], shard_rows=50)
+    again = seeded.fit(corpus, spec, [42, 41], shard_rows=50)
+    assert all((a.weights == b.weights).all() and a.intercept == b.intercept for a, b in zip(first, again[::-1]))
+    assert (first[0].weights != first[1].weights).any()
+    table = {r.seed: r.accuracy for r in grid.fit_stability(corpus, spec, (41, 42)).collect()}
+    assert set(table) == {41, 42} and min(table.values()) > 0.7
+    for m in first:
+        w = dict(zip(m.terms, m.weights))
+        assert w["surges"] > 0 > w["deepens"]
+    strong = seeded.fit(corpus, ModelSpec(alpha=0.05, max_df=0.9, min_df=0.01, norm="l2", ngram_max=1), [7])[0]
+    assert (strong.weights == 0).sum() > len(strong.weights) / 4
+
+
+def test_one_pass_against_a_plain_loop():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(6, 3, replace=False)), rng.random(3), int(rng.choice([-1, 1]))) for _ in range(40)]
+    weights, intercept = rng.normal(size=6) * 0.1, 0.2
+    got, bias = seeded.one_pass(rows, weights.copy(), intercept, ModelSpec(alpha=0.01), 5)
+    w, b, u, q = weights.copy(), intercept, 0.0, np.zeros(6)
+    t0 = seeded.first_step(ModelSpec(alpha=0.01))
+    for t, (idx, x, y) in enumerate(rows, start=5):
+        eta = 1 / (0.01 * (t0 + t))
+        if y * (w[idx] @ x + b) < 1:
+            w[idx] += eta * y * x
+            b += eta * y * seeded.INTERCEPT_SHARE
+        u += eta * 0.01
+        for j in idx:
+            z = w[j]
+            w[j] = max(0, z - (u + q[j])) if z > 0 else min(0, z + (u - q[j]))
+            q[j] += w[j] - z
+    assert np.allclose(got, w) and bias == pytest.approx(b)
+
+
 def test_degenerate_models_score_zero(spark):
     specs = [ModelSpec(model_id=0, max_df=0.9, min_df=0.01), ModelSpec(model_id=1, max_df=0.01, min_df=0.02)]
     rows = toy(spark)
