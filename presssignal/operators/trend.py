@@ -151,8 +151,7 @@ def poll_dates(polls: DataFrame) -> DataFrame:
 def daily_median(polls: DataFrame, subgroup: str | None = POLL_GROUP) -> DataFrame:
     """``subgroup, date, approval``: exact median of the day's estimates."""
     rows = poll_dates(one_subgroup(polls, subgroup))
-    # the groups are days of the calendar, for each of the poll's subgroups
-    return exact_median(rows, ["subgroup", "date"], "approve_estimate", "approval", few_keys=True)
+    return exact_median(rows, ["subgroup", "date"], "approve_estimate", "approval")
 
 
 def poll_diff(daily: DataFrame) -> DataFrame:

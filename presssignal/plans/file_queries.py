@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from presssignal.functions import markup
 from presssignal.operators import titles, trend
@@ -39,8 +40,7 @@ def title_by_day_file(spark, sf):
     out = _folder(spark)
     once = titles.one_row_per_title(standins.articles(spark, sf).select("title", "date", "url"))
     files.write_tsv(titles.first_title_per_day(once), out, header=False)
-    reader = spark.read.schema("date string, title string").option("sep", "\t").option("escape", '"')
-    return reader.csv(out)
+    return files.read_tsv(spark, out, T.StructType().add("date", "string").add("title", "string"), header=False)
 
 
 @query(
@@ -53,8 +53,7 @@ def title_trend_file(spark, sf):
     out = _folder(spark)
     labels = trend.price_labels(standins.prices(spark, sf), 5).filter(F.col("input_filename") == "click.csv")
     files.write_tsv(titles.title_trend(standins.articles(spark, sf), labels), out)
-    reader = spark.read.schema("date string, title string, trend int").option("sep", "\t").option("escape", '"')
-    return reader.option("header", True).csv(out)
+    return files.read_tsv(spark, out, T.StructType().add("date", "string").add("title", "string").add("trend", "int"))
 
 
 @query(

@@ -144,6 +144,18 @@ def split_leakage(spark, sf):
     return dataset.leakage(_split_titles(spark, sf)).select("date", "title", "trend", "pairs")
 
 
+@query(
+    f"""WITH {_SPLIT}, s AS (SELECT date, full_text AS title, coalesce(sentiment, 0) AS trend, split FROM split)
+SELECT a.date, a.title, a.trend, count(*) AS pairs FROM (SELECT * FROM s WHERE split = 'train') a
+JOIN (SELECT * FROM s WHERE split = 'test') b ON a.date = b.date AND a.title = b.title AND a.trend = b.trend GROUP BY 1, 2, 3"""
+)
+def body_leakage(spark, sf):
+    """The same by whole bodies, of which only leaked ones are moved."""
+    arts = standins.articles(spark, sf)
+    rows = arts.select("url", "date", F.col("full_text").alias("title"), F.coalesce("sentiment", F.lit(0)).alias("trend"))
+    return dataset.leakage(dataset.random_split(rows, ["url"], 0.8, seed=7)).select("date", "title", "trend", "pairs")
+
+
 @query(
     f"""WITH {_SPLIT}, s AS (SELECT split, CASE WHEN coalesce(sentiment, 0) = 0 THEN -1 ELSE 1 END AS trend FROM split),
 g AS (SELECT split, count(*) AS rows, avg(trend) AS m FROM s GROUP BY 1)

@@ -19,6 +19,7 @@ def build_session(app: str = "presssignal", cores: str = "8", partitions: int =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.presssignal.deal", str(partitions))
         .config("spark.sql.streaming.stateStore.stateSchemaCheck", "true")
         .getOrCreate()
     )

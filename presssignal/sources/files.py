@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 
@@ -81,19 +82,32 @@ def _plain(name: str) -> str:
     return name.strip().strip('"').lower().replace(" ", "")
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    """A text file's first line, unpacked if its name says that it is packed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(conf).open(file)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+        source = codec.createInputStream(stream) if codec is not None else stream
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return (line or "").removeprefix("\ufeff")
+
+
 def _by_header(spark: SparkSession, paths, columns: list[str]) -> dict[str, list[str]]:
-    """Files by their header line: the line that names all needed columns."""
-    needed = [_plain(c) for c in columns]
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"))
-    names = F.transform(F.split("header", ","), lambda c: F.regexp_replace(F.lower(F.trim(c)), '[ "]', ""))
-    found = lines.filter(F.forall(F.array(*map(F.lit, needed)), lambda c: F.array_contains(names, c))).distinct().collect()
+    """Files by their first line, which must name all needed columns. Files are listed and opened, not read."""
+    needed = {_plain(c) for c in columns}
+    uri, path = spark._jvm.java.net.URI, spark._jvm.org.apache.hadoop.fs.Path
+    files = sorted(path(uri(f)).toString() for f in spark.read.text(paths).inputFiles())
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda f: _first_line(spark, f), files))
     groups: dict[str, list[str]] = {}
-    for row in sorted(found):
-        groups.setdefault(row.header, []).append(row.file)
-    known = {f for files in groups.values() for f in files}
-    for file in lines.select("file").distinct().collect():
-        if file[0] not in known:
-            raise ValueError(f"one of the columns {columns} is missing in {file[0]}")
+    for file, header in zip(files, headers):
+        if not needed <= {_plain(c) for c in header.split(",")}:
+            raise ValueError(f"one of the columns {columns} is missing in {file}")
+        groups.setdefault(header, []).append(file)
     return groups
 
 
@@ -165,9 +179,9 @@ def recode_polarity(headlines: DataFrame, title: str = "Headline", polarity: str
 _EMPTY = "\ue000empty\ue000"
 
 
-def _tsv(spark: SparkSession, path, schema: T.StructType, mode: str) -> DataFrame:
+def _tsv(spark: SparkSession, path, schema: T.StructType, mode: str, header: bool = True) -> DataFrame:
     rows = (
-        spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", '"')
+        spark.read.schema(schema).option("sep", "\t").option("header", header).option("quote", '"')
         .option("escape", '"').option("enforceSchema", True).option("mode", mode)
         .option("multiLine", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("emptyValue", _EMPTY).csv(path)
@@ -189,6 +203,11 @@ def read_titles(spark: SparkSession, path) -> DataFrame:
     return _tsv(spark, path, TITLES_SCHEMA, "FAILFAST")
 
 
+def read_tsv(spark: SparkSession, path, schema: T.StructType, header: bool = True) -> DataFrame:
+    """What ``write_tsv`` has written, columns by position; a damaged row fails the job."""
+    return _tsv(spark, path, schema, "FAILFAST", header)
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     """Tab separated text; quotes inside a field are doubled. One file per partition.
 

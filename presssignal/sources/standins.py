@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TEXT_TABLES = {"documents", "pages"}
+#: Session setting: partitions to deal the rows of tables with texts into. Unset, they are read as they lie.
+DEAL = "spark.presssignal.deal"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. The small test tables with texts are one file of one row group, which one core
-    would read and then work on alone: their rows are dealt out. Tables of several files are read as they are.
+    """A given table. The small test tables are one row group each, which one core would read and then
+    work on alone, so the local session of tests and bench sets ``DEAL``; a cluster's does not.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.repartition(8) if name in _TEXT_TABLES and len(df.inputFiles()) == 1 else df
+    parts = spark.conf.get(DEAL, None)
+    return df.repartition(int(parts)) if parts and name in _TEXT_TABLES else df
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

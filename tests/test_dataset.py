@@ -108,3 +108,12 @@ def test_labels_of_several_series_fail(spark):
     assert titles.title_trend(titles_of, labels).count() == 1
     with pytest.raises(Exception, match="several series"):
         titles.title_trend(titles_of, both).collect()
+
+
+def test_filter_passes_all_keys_and_few_others(spark):
+    keys = spark.range(-500, 500).selectExpr("xxhash64(id) AS key")
+    passes = dataset.bit_filter(keys, "key")
+    assert keys.filter(passes("key")).count() == 1000
+    assert spark.range(10_000, 60_000).filter(passes(F.xxhash64("id"))).count() < 50
+    nothing = dataset.bit_filter(keys.limit(0), "key")
+    assert keys.filter(nothing("key")).count() == 0

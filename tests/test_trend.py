@@ -3,9 +3,12 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from presssignal.operators import trend
+from presssignal.operators import medians
 from presssignal.operators.medians import exact_median
+from presssignal.session import cut_lineage
 
 DAY = dt.date(2018, 1, 1)
 
@@ -74,9 +77,35 @@ def test_exact_median_with_a_hot_key(spark, n):
     hot = [round(rng.gauss(0, 10), rng.choice([0, 6])) for _ in range(n)]
     rows = [("hot", v) for v in hot] + [("cold", 3.0), ("cold", None), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(8)
-    for few in (False, True):
-        got = {r.k: r["median"] for r in exact_median(df, ["k"], "v", few_keys=few).collect()}
-        assert got == {"hot": pytest.approx(statistics.median(hot)), "cold": 3.0}
+    got = {r.k: r["median"] for r in exact_median(df, ["k"], "v").collect()}
+    assert got == {"hot": pytest.approx(statistics.median(hot)), "cold": 3.0}
+
+
+def test_exact_median_of_odd_ranges(spark, monkeypatch):
+    inf = float("inf")
+    groups = {
+        "wide": [-1e308, -1.0, 1e-300, 2e-300, 1e308], "endless": [-inf, -inf, 5.0, 7.0, inf, inf], "inf": [inf, inf, inf, 1.0],
+        "close": [1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.0 + 2**-50], "one": [4.0],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    for broadcast in (0, 50_000):
+        monkeypatch.setattr(medians, "BROADCAST_GROUPS", broadcast)
+        got = {r.k: r["median"] for r in exact_median(df, ["k"], "v").collect()}
+        assert got == {k: statistics.median(v) for k, v in groups.items()}
+
+
+def test_no_task_of_the_median_holds_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(medians, "BINS", 64)
+    df = spark.range(0, 200_000, numPartitions=8).selectExpr("IF(id % 10 = 0, id % 7, -1) AS k", "double(hash(id)) AS v")
+    seen = []
+    monkeypatch.setattr(medians, "cut_lineage", lambda rows: seen.append(rows) or cut_lineage(rows))
+    got = {r.k: r["median"] for r in exact_median(df, ["k"], "v").collect()}
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert got == want and len(seen) > 2
+    for rows in seen:  # what is shuffled are counts, at most BINS + 1 per range and task
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "percentile" not in plan and "collect" not in plan and "partial_count" in plan
 
 
 def test_exact_median_of_equal_values(spark):
