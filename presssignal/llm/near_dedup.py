@@ -1,17 +1,21 @@
 """Near-duplicate groups by SimHash fingerprints and multi-index hashing.
 
-A fingerprint is cut into two segments of 32 bits. Two fingerprints at most two bits apart differ
-either in at most one bit of each segment or in two bits of one; either way one of them reaches
-a common point by changing at most one bit, and the other reaches it likewise. So each distinct
-fingerprint enumerates, within each segment, the small ball of radius one (the other segment as it
-is), and the table is fetched at these 1 + 32 + 32 points. A table entry never holds more than
-65 distinct fingerprints, however many copies a text has; every match is verified on the complete
-distance and linked to the entry's smallest fingerprint, which connects what all pairs would.
+A fingerprint is cut into segments, and a table holds every distinct fingerprint under (segment, its value
+there). With r = a * segments + b, two fingerprints within r bits differ in at most a bits in one of the
+first b + 1 segments, or in at most a - 1 bits in one of the others. So each fingerprint enumerates the small Hamming
+ball of that radius around its value in each segment, fetches the entries at these values and
+verifies the complete distance.
+
+An entry may be hot: fingerprints of edited copies have values in common. The members of entries beyond HOT, and
+whoever asks for such an entry, are dealt again by points of all 64 bits: two fingerprints within r bits have a
+common point at most half of r, rounded up, from one and half of r, rounded down, from the other. No more fingerprints
+than the ball has points meet there; linking them to the nearest one connects what all pairs would.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presssignal.llm.components import components
+from presssignal.llm.components import grouped
 from presssignal.llm.support import plain_text, stored, unused
 
 SEGMENT_BITS = 32
 RADIUS = 2
+#: Distinct fingerprints of an entry that are compared with each other.
+HOT = 256
 SEED = 42
 
 #: Votes of four bits share one 64-bit sum; a run this long cannot overflow its 16 bits.
@@ -84,60 +90,87 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keys: tuple[str, ...] = ("do
     )
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints within two bits that connect all such pairs.
+def ball(bits: int, radius: int) -> list[int]:
+    """The numbers of ``bits`` bits with at most ``radius`` bits set, as signed longs."""
+    out = [sum(1 << bit for bit in chosen) for n in range(radius + 1) for chosen in combinations(range(bits), n)]
+    return [v - (1 << 64) if v >> 63 else v for v in out]
 
-    Of each table entry every member is linked to the smallest; entries are bounded by 65.
-    """
-    segments = 64 // SEGMENT_BITS
-    changed = [f"shiftleft(1L, {s * SEGMENT_BITS + bit})" for s in range(segments) for bit in range(SEGMENT_BITS)]
-    points = f"transform(array(0L, {', '.join(changed)}), change -> fingerprint ^ change)"
-    entries = distinct.select("fingerprint", F.explode(F.expr(points)).alias("point"))
-    least = F.expr("min(fingerprint) OVER (PARTITION BY point)")
-    return (
-        entries.withColumn("least", least)
-        .filter(f"fingerprint <> least AND bit_count(fingerprint ^ least) <= {RADIUS}")
-        .select(F.col("fingerprint").alias("a"), F.col("least").alias("b"))
-    )
 
+def _longs(values: list[int]):
+    return F.array(*[F.lit(v).cast("long") for v in values])
 
-def grouped(rows: DataFrame, salts: int = 8) -> DataFrame:
-    """``rows`` (doc_id, fingerprint, perhaps more; a written table) with root and component_id.
 
-    root is the smallest fingerprint, as a signed long, of the row's component.
-    """
-    distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
-    roots = components(links(distinct)).withColumnRenamed("node", "fingerprint")
-    rooted = stored(
-        distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), "rooted"
-    )
-    whole = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("members"))
-    # only texts with company need a lookup; one text may own a third of the rows, so it is salted
-    shared = (
-        rooted.join(whole.filter("members > 1"), "root")
-        .select("fingerprint", "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+def _value(segment: int):
+    """The fingerprint's value in a segment."""
+    return F.shiftrightunsigned("fingerprint", segment * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
+
+
+def _probes(segments: int, radius: int):
+    """All (segment, value) that a fingerprint looks up."""
+    whole, more = divmod(radius, segments)
+    parts = []
+    for segment in range(segments):
+        near = whole if segment <= more else whole - 1
+        parts += [F.struct(F.lit(segment).alias("segment"), _value(segment).bitwiseXOR(F.lit(flip)).alias("value"))
+                  for flip in (ball(SEGMENT_BITS, near) if near >= 0 else [])]
+    return F.array(*parts)
+
+
+def _met_at_points(distinct: DataFrame, radius: int) -> DataFrame:
+    """(a, b) that connect all of ``distinct`` within ``radius`` bits, by points of all 64 bits."""
+    points = F.transform(_longs(ball(64, (radius + 1) // 2)), lambda flip: F.struct(
+        F.col("fingerprint").bitwiseXOR(flip).alias("point"), F.bit_count(flip).alias("off")))
+    entries = distinct.select("fingerprint", F.inline(points))
+    near = F.expr("min(struct(off, fingerprint)) OVER (PARTITION BY point)")
+    return (
+        entries.withColumn("near", near).filter("fingerprint <> near.fingerprint")
+        .filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("near.fingerprint"))) <= radius)
+        .select(F.col("fingerprint").alias("a"), F.col("near.fingerprint").alias("b"))
     )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return salted.join(shared, ["fingerprint", "salt"], "left").select(
-        *rows.columns, F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints within ``radius`` bits that connect all such pairs; a written table is best."""
+    segments = 64 // SEGMENT_BITS
+    own = F.array(*[F.struct(F.lit(s).alias("segment"), _value(s).alias("value")) for s in range(segments)])
+    entries = distinct.select(F.col("fingerprint").alias("other"), F.inline(own))
+    crowded = entries.groupBy("segment", "value").count().filter(F.col("count") > hot).select("segment", "value")
+    # a hot entry is one row that says so, whatever it holds
+    table = entries.join(crowded, ["segment", "value"], "left_anti").unionByName(
+        crowded.withColumn("other", F.lit(None).cast("long")))
+    probes = distinct.select("fingerprint", F.inline(_probes(segments, radius)))
+    far = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) > radius
+    met = stored(
+        probes.join(table, ["segment", "value"]).filter("other IS NULL OR fingerprint > other").filter(F.coalesce(~far, F.lit(True)))
+        .select("fingerprint", "other"),
+        "met",
     )
+    pairs = met.filter("other IS NOT NULL").select(F.col("fingerprint").alias("a"), F.col("other").alias("b"))
+    asking = met.filter("other IS NULL").select("fingerprint").distinct()
+    return pairs.unionAll(_met_at_points(asking, radius))
+
+
+def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+    """``rows`` (doc_id, fingerprint, perhaps more; a written table) with root and component_id."""
+    distinct = stored(rows.select("fingerprint").distinct(), "distinct")
+    return grouped(rows, "fingerprint", links(distinct, radius))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id.
 
     component_id is the smallest doc_id that the document reaches over links between fingerprints
-    at most two bits apart, its own included. NULL and empty texts have fingerprint zero and are
+    at most ``radius`` bits apart, its own included. NULL and empty texts have fingerprint zero and are
     linked like any other. Repeated rows come out as often as they came in; a NULL doc_id takes
     part in its group but never names it (a group of NULL ids alone has component NULL). Other
     columns are ignored; an empty table gives no rows. Words are cut at ASCII white space.
     """
-    return grouped(stored(fingerprints(docs, shingle), "fingerprints")).select(
+    return _grouped(stored(fingerprints(docs, shingle), "fingerprints"), radius).select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near duplicates, all columns kept.
 
     The row with the smallest doc_id stays, the first of the table among repeated rows; a row without
@@ -147,5 +180,5 @@ def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
     numbered = stored(docs.withColumns({row: F.monotonically_increasing_id()}), "numbered")
     prints = stored(fingerprints(numbered.select("doc_id", "text", F.col(row).alias("row")), shingle, ("doc_id", "row")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
-    kept = grouped(prints).groupBy("root").agg(first).select(F.col("first.row").alias(row))
+    kept = _grouped(prints, radius).groupBy("root").agg(first).select(F.col("first.row").alias(row))
     return numbered.join(kept, row, "left_semi").drop(row)

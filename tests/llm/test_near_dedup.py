@@ -1,10 +1,14 @@
 """Near duplicates against all pairs on a small table."""
 
+import random
 import re
 
+import pytest
 import xxhash
 
 from presssignal.llm import near_dedup
+from presssignal.llm.components import components
+from presssignal.llm.support import stored
 
 
 def brute_fingerprint(text, shingle=3):
@@ -50,27 +54,24 @@ def test_against_all_pairs(documents):
     check(documents, rows)
 
 
-def test_far_points_of_the_ball(spark):
-    import random
-
+@pytest.mark.parametrize("radius,hot", [(0, 256), (1, 256), (2, 256), (2, 3), (3, 256), (3, 3)])
+def test_all_pairs_within_the_radius_are_connected(spark, radius, hot):
     draw = random.Random(3)
-    seeds = [draw.getrandbits(64) for _ in range(40)]
+    seeds = [draw.getrandbits(64) for _ in range(30)]
     values = set(seeds)
     for s in seeds:
-        for _ in range(12):
-            a, b, c = draw.sample(range(64), 3)
-            values |= {s ^ 1 << a ^ 1 << b, s ^ 1 << a ^ 1 << b ^ 1 << c}
+        for n in (1, 1, 2, 2, 3, 3, 4, 4):  # n bits of one half, or of both
+            bits = draw.sample(range(64), n) if draw.random() < 0.5 else draw.sample(range(draw.choice([0, 32]), 64)[:32], n)
+            values.add(s ^ sum(1 << b for b in bits))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    pairs = near_dedup.links(spark.createDataFrame([(v,) for v in signed], "fingerprint long"))
-    from presssignal.llm.components import components
-
+    pairs = stored(near_dedup.links(spark.createDataFrame([(v,) for v in signed], "fingerprint long"), radius, hot), "pairs")
     root = {r.node: r.root for r in components(pairs).collect()}
     for x in signed:
         for y in signed:
-            if ((x ^ y) & (1 << 64) - 1).bit_count() <= 2:
+            if ((x ^ y) & (1 << 64) - 1).bit_count() <= radius:
                 assert root.get(x, x) == root.get(y, y)
     for r in pairs.collect():
-        assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 2
+        assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= radius
 
 
 def test_empty_table_and_clashing_columns(documents):
