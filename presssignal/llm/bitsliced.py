@@ -22,26 +22,36 @@ from pyspark.sql import functions as F
 from presssignal.llm.support import stored
 
 SCALE = 256
-#: Quantised components beyond this would not keep an inner product within a long.
-LARGEST = 1 << 27
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 256
 
-_INDEX = "dims int, block long, rows int, ids binary, base array<long>, width array<int>, slices binary"
+_INDEX = "dims int, block long, rows int, ids binary, base array<double>, width array<int>, slices binary"
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, q array of long, dims): floor(SCALE * x) of each component, vectors that cannot take part left out."""
+    """(vec_id, q, dims): floor(SCALE * x) of each component, as doubles, which hold it exactly at any size.
+
+    Rows without an id or whose vector is NULL or holds NULL or non-finite components are left out.
+    """
     part = (
-        "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) "
-        f"AND abs(CAST(x AS DOUBLE)) <= {LARGEST // SCALE})"
+        "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL "
+        "AND abs(CAST(x AS DOUBLE)) < CAST('Infinity' AS DOUBLE))"
     )
+    scaled = f"{SCALE} * CAST(x AS DOUBLE)"
+    # a double beyond 2^52 is whole
+    whole = f"CASE WHEN abs({scaled}) < {1 << 52} THEN CAST(floor({scaled}) AS DOUBLE) ELSE {scaled} END"
     return vectors.select("vec_id", "embedding").filter(part).select(
-        "vec_id", F.expr(f"transform(embedding, x -> floor({SCALE} * CAST(x AS DOUBLE)))").alias("q"),
-        F.size("embedding").alias("dims"),
+        "vec_id", F.expr(f"transform(embedding, x -> {whole})").alias("q"), F.size("embedding").alias("dims"),
     )
 
 
+def integers(values: np.ndarray) -> np.ndarray:
+    """Whole doubles as integers: of 64 bits, or of any size if they are large."""
+    if not values.size or np.abs(values).max() < 1 << 60:
+        return values.astype(np.int64)
+    return np.array([int(v) for v in values.ravel()], object).reshape(values.shape)
+
+
 def _packed(bits: np.ndarray) -> np.ndarray:
     """Bitmaps of whole 64-bit words along the last axis."""
     n = bits.shape[-1]
@@ -67,11 +77,11 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
-        values = np.stack(frame["q"].to_numpy()).astype(np.int64).reshape(len(frame), int(key[0]))
+        values = integers(np.stack(frame["q"].to_numpy()).astype(np.float64).reshape(len(frame), int(key[0])))
         base, width, bitmaps = slice_block(values)
         ids = frame["vec_id"].to_numpy().astype("<i8").tobytes()
         return pd.DataFrame({
-            "dims": [int(key[0])], "block": [int(key[1])], "rows": [len(frame)], "ids": [ids], "base": [base.tolist()],
+            "dims": [int(key[0])], "block": [int(key[1])], "rows": [len(frame)], "ids": [ids], "base": [base.astype(np.float64).tolist()],
             "width": [width.tolist()], "slices": [bitmaps.tobytes()],
         })
 
@@ -81,11 +91,11 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def signed_digits(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position in ``weights``, power of two, sign) of the fewest digits 1 and -1 that make each weight."""
-    where, power, sign, left, p = [], [], [], weights.astype(np.int64), 0
-    while left.any():
-        digit = np.where(left & 1, 2 - (left & 3), 0)
+    where, power, sign, left, p = [], [], [], weights, 0
+    while (left != 0).any():
+        digit = np.where((left & 1) != 0, 2 - (left & 3), 0)
         at = np.flatnonzero(digit)
-        where.append(at), power.append(np.full(len(at), p)), sign.append(digit[at])
+        where.append(at), power.append(np.full(len(at), p)), sign.append(digit[at].astype(np.int64))
         left, p = (left - digit) >> 1, p + 1
     return tuple(np.concatenate([np.zeros(0, np.int64), *part]) for part in (where, power, sign))
 
@@ -174,12 +184,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 ids = np.frombuffer(ids.as_py(), "<i8")
                 words = -(-len(ids) // 64)
                 block = Block(
-                    ids, np.array(base.as_py(), np.int64), np.array(width.as_py(), np.int64),
+                    ids, integers(np.array(base.as_py(), np.float64)), np.array(width.as_py(), np.int64),
                     np.frombuffer(slices.as_py(), "<u8").reshape(-1, words),
                 )
                 out = [
                     (q["vec_id"], *row)
-                    for q in asked.as_py() for row in block.best(q["vec_id"], np.array(q["q"], np.int64), k)
+                    for q in asked.as_py() for row in block.best(q["vec_id"], integers(np.array(q["q"], np.float64)), k)
                 ]
                 columns = list(zip(*out)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
@@ -195,8 +205,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50) -> DataFrame:
     """The k best rows for every vector whose vec_id is divisible by ``query_step``.
 
-    Vectors that are NULL, hold NULL or non-finite components, have no id, or a component whose
-    quantised value exceeds LARGEST take no part. Vectors are compared with those of the same length. Rows that share
+    Vectors that are NULL, hold NULL or non-finite components, or have no id take no part. A score that does not
+    fit a long fails the job. Vectors are compared with those of the same length. Rows that share
     the query's id are not candidates; other repeated rows are candidates each. If a query's id
     occurs several times its smallest vector asks. Other columns are ignored; an empty table gives no rows.
     """

@@ -15,17 +15,16 @@ from itertools import islice
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presssignal.llm.support import plain_text, remainder
 
-#: At most so many labelled documents, in the order of a hash of their id, are learnt from ...
+#: At most so many labelled documents, in the order of a hash of their id, are learnt from.
 TRAIN_DOCUMENTS = 4000
-#: ... and none with more lines than this.
-TRAIN_LINES = 2000
+#: Their lines are cut into chains of at most so many, of which at most TRAIN_CHAINS, in the order of a hash, are used.
+TRAIN_LINES, TRAIN_CHAINS = 250, 8000
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -220,8 +219,9 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, list[str
 def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Chain:
     """Fit the chain on labelled rows whose remainder modulo FOLDS is not 0.
 
-    A bounded sample is enough for its few weights: ``documents`` ids in the order of a hash. A
-    document with several labels counts as good if any says so; labels other than 0 and 1 are ignored.
+    A bounded sample is enough for its few weights: ``documents`` ids in the order of a hash, and TRAIN_CHAINS
+    chains of their lines. A document with several labels counts as good if any says so; of several texts of one id
+    that with the smallest hash is learnt from; labels other than 0 and 1 are ignored.
     """
     chosen = (
         labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(remainder(F.col("doc_id"), FOLDS) != 0)
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS)
     )
     rows = (
         docs.select("doc_id", plain_text().alias("text")).join(F.broadcast(chosen), "doc_id")  # documents rows at most
-        .dropDuplicates(["doc_id"]).select("doc_id", "quality", "text")
+        .groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,17 +240,20 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS)
                 found = line_features(texts, kinds)
                 ends = np.cumsum(found.per_doc)
                 for i, (end, n) in enumerate(zip(ends, found.per_doc)):
-                    if n <= TRAIN_LINES:
-                        rows_of = slice(end - n, end)
+                    for chain, at in enumerate(range(end - n, max(end, end - n + 1), TRAIN_LINES)):
+                        lines = slice(at, min(at + TRAIN_LINES, end))
                         yield pa.RecordBatch.from_pydict({
-                            "doc_id": [batch.column(0)[part.start + i].as_py()], "quality": [batch.column(1)[part.start + i].as_py()],
-                            "x": [found.x[rows_of].astype("<f4").tobytes()], "length": [found.length[rows_of].astype("<f4").tobytes()],
-                        }, schema=pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.binary()), ("length", pa.binary())]))
-
-    found = rows.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(
-        run, "doc_id long, quality int, x binary, length binary"
-    ).collect()
-    found.sort(key=lambda r: r.doc_id)  # results do not depend on the order of arrival
+                            "doc_id": [batch.column(0)[part.start + i].as_py()], "chain": [chain],
+                            "quality": [batch.column(1)[part.start + i].as_py()],
+                            "x": [found.x[lines].astype("<f4").tobytes()], "length": [found.length[lines].astype("<f4").tobytes()],
+                        }, schema=schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("chain", pa.int32()), ("quality", pa.int32()), ("x", pa.binary()), ("length", pa.binary())])
+    chains = rows.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(
+        run, "doc_id long, chain int, quality int, x binary, length binary"
+    )
+    found = chains.orderBy(F.xxhash64("doc_id", "chain"), "doc_id", "chain").limit(TRAIN_CHAINS).collect()
+    found.sort(key=lambda r: (r.doc_id, r.chain))  # results do not depend on the order of arrival
     x = np.concatenate([np.zeros((0, FEATURES)), *(np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in found)])
     length = np.concatenate([np.zeros(0), *(np.frombuffer(r.length, "<f4") for r in found)])
     per_doc = np.array([len(r.length) // 4 for r in found], np.int64)
@@ -289,10 +292,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, chain: Chain) -> DataFrame:
     """The rows of ``docs`` that are not rejected, as they are."""
 
-    @F.pandas_udf("double")
-    def quality(texts: pd.Series) -> pd.Series:
-        kinds, held = _kinds(), pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    @F.arrow_udf("double")
+    def quality(texts: pa.Array) -> pa.Array:
+        kinds, held = _kinds(), pa.RecordBatch.from_arrays([texts], ["text"])
         found = [chain.quality(line_features(part, kinds)) for _, part in _texts(held, 0)]
-        return pd.Series(np.concatenate([np.zeros(0), *found]))
+        return pa.array(np.concatenate([np.zeros(0), *found]))
 
     return docs.filter(quality(plain_text()) >= THRESHOLD)

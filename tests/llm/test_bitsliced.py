@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from presssignal.llm import bitsliced as b
 from presssignal.llm.support import table
@@ -13,7 +14,7 @@ def brute(rows, k, step):
     whole = {}
     good = []
     for vec_id, v in rows:
-        if vec_id is None or v is None or any(x is None or not math.isfinite(x) or abs(x) > b.LARGEST // b.SCALE for x in v):
+        if vec_id is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
         q = tuple(math.floor(256 * x) for x in v)
         good.append((vec_id, q))
@@ -60,10 +61,17 @@ def test_against_brute_force(spark, monkeypatch):
     rows = [(i, [draw.gauss(0, 0.2) for _ in range(6)]) for i in range(500)]
     rows += [(1000 + i, [0.1] * 6) for i in range(150)] + [(2000 + i, [0.0] * 6) for i in range(100)]
     rows += [(50, [0.3] * 6), (50, [0.3] * 6), (51, rows[51][1]), (None, [0.5] * 6), (3000, None), (3050, [0.1, None] + [0.0] * 4)]
-    rows += [(3100, [float("nan")] + [0.0] * 5), (3101, [float("inf")] * 6), (3150, [1e30] * 6), (3200, [1.0, 2.0]), (3201, [2.0, -1.0]), (3250, []), (3251, [])]
+    rows += [(3100, [float("nan")] + [0.0] * 5), (3101, [float("inf")] * 6), (3150, [1e12] * 6), (3151, [-600_000.5] * 6), (3200, [1.0, 2.0]), (3201, [2.0, -1.0]), (3250, []), (3251, [])]
     assert run(spark, monkeypatch, rows) == brute(rows, 5, 50)
 
 
+def test_large_components_are_indexed(spark, monkeypatch):
+    rows = [(0, [0.0, 0.004, 1.0]), (1, [1e30, 0.0, 3.5]), (2, [-1e25, 2.0, 1e12]), (3, [5e-5, 1e9, -7.0]), (50, [0.0, 0.0, 2.0])]
+    assert run(spark, monkeypatch, rows) == brute(rows, 5, 50)
+    with pytest.raises(Exception, match="OverflowError|too big|too large"):
+        run(spark, monkeypatch, [(0, [1e30]), (1, [1e30])])
+
+
 def test_few_and_no_candidates(spark, monkeypatch):
     assert run(spark, monkeypatch, [(0, [1.0]), (1, [-1.0]), (2, [3.0])]) == [(0, 1, 2, 256 * 768), (0, 2, 1, -256 * 256)]
     assert run(spark, monkeypatch, [(0, [1.0])]) == []
