@@ -2,7 +2,8 @@
 
 Writing: a page's payload becomes rows (record, chunk number, chunk), each chunk with the digest of
 the payload up to its end; a chunk is a WARC record of its own (the first a response, the others
-continuations), so neither side ever builds a whole oversized record. Spark's text writer puts the rows
+continuations). The payload itself comes as one cell of a row; the reading side never builds a whole oversized
+record. Spark's text writer puts the rows
 into compressed files, with the blank lines that end a WARC record as its line separator, on whatever file system
 Spark can reach, and commits them as any table: a lost executor's files are written anew.
 
