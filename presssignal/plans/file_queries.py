@@ -53,7 +53,7 @@ def title_trend_file(spark, sf):
     out = _folder(spark)
     labels = trend.price_labels(standins.prices(spark, sf), 5).filter(F.col("input_filename") == "click.csv")
     files.write_tsv(titles.title_trend(standins.articles(spark, sf), labels), out)
-    return files.read_tsv(spark, out, T.StructType().add("date", "string").add("title", "string").add("trend", "int"))
+    return files.read_tsv(spark, out, T.StructType().add("date", "string").add("title", "string").add("trend", "integer"))
 
 
 @query(
