@@ -527,6 +527,25 @@ def component_keywords(spark, sf):
     return components.component_keywords(split_core(spark, sf), "title", stop, 0.016, 0.5, 1e-3)
 
 
+@query(
+    """SELECT a.i AS one, b.i AS other, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END::DOUBLE AS product, 0.0::DOUBLE AS residual
+FROM range(1, 8) a(i), range(1, 8) b(i)"""
+)
+def component_invariants(spark, sf):
+    """Of every two of the seven directions: their product, and what that of their images lacks of the singular values."""
+    stop = features.stop_words_for(QUERY)
+    _, entries = components.train_entries(split_core(spark, sf), "title", stop, 0.016, 0.5)
+    entries = cut_lineage(entries)
+    sizes, directions = components.singular_directions(entries, components.COMPONENTS)
+    images = components.products(components.images(entries, directions, len(sizes)), len(sizes))
+    squares = F.array(*(F.lit(float(s) ** 2) for s in sizes))
+    want = F.when(F.col("one") == F.col("other"), F.element_at(squares, F.col("one").cast("int"))).otherwise(0.0)
+    return (
+        components.products(directions, len(sizes)).join(images.withColumnRenamed("product", "_image"), ["one", "other"])
+        .select("one", "other", *((F.round(c, 8) + 0.0).alias(n) for c, n in ((F.col("product"), "product"), (F.col("_image") - want, "residual"))))
+    )
+
+
 @query()
 def article_sentiment(spark, sf):
     """Sentiment of every article by a model of the labelled headlines."""

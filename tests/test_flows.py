@@ -98,12 +98,50 @@ def test_component_weights_lie_in_the_leading_directions(spark):
     rows, terms = components.split_vectors(toy(spark), "title", [], 0.01, 0.9)
     x = np.array([r.features.toArray() for r in rows.filter("split = 'train'").select("features").collect()])
     leading = np.linalg.svd(x, full_matrices=False)[2][:3]
-    found = {r.term: r.weight for r in components.component_keywords(toy(spark), "title", [], 0.01, 0.9, 1e-4, k=3).collect()}
+    found = {r.term: r.weight for r in components.component_keywords(toy(spark), "title", [], 0.01, 0.9, 1e-4, k=3, max_rounds=30).collect()}
     w = np.array([found[t] for t in terms])
     assert np.linalg.norm(w) > 0
     assert np.allclose(leading.T @ (leading @ w), w, atol=1e-4 * np.linalg.norm(w))
 
 
+def dense(entries):
+    cells = entries.collect()
+    rows, terms = (sorted({c[i] for c in cells}) for i in (0, 1))
+    x = np.zeros((len(rows), len(terms)))
+    for c in cells:
+        x[rows.index(c.row), terms.index(c.term)] += c.value
+    return x, terms
+
+
+@pytest.mark.parametrize("min_df", [0.0, 0.05])
+def test_singular_directions(spark, min_df):
+    _, entries = components.train_entries(toy(spark), "title", [], min_df, 0.9)
+    x, terms = dense(entries)
+    sizes, directions = components.singular_directions(entries.repartition(70), 5, tol=1e-13, max_rounds=60, spare=25)
+    _, want, v = np.linalg.svd(x, full_matrices=False)
+    assert sizes == pytest.approx(want[:5], rel=1e-9)
+    found = {r.term: r.vector for r in directions.collect()}
+    got = np.array([found[t] for t in terms])
+    # the sine of the largest angle between both spaces
+    assert np.linalg.norm(got - v[:5].T @ (v[:5] @ got), 2) < 1e-6
+    assert np.allclose(got.T @ got, np.eye(5), atol=1e-9)
+
+
+def test_singular_directions_of_low_rank(spark):
+    cells = [(r, f"t{c}", float((r % 2 + 1) * (c + 1) + (r % 3) * (c % 2))) for r in range(30) for c in range(8)]
+    cells += [(0, None, 1.0), (0, "t1", None), (1, "none", 0.0)]
+    entries = spark.createDataFrame(cells, "row long, term string, value double")
+    x, _ = dense(entries.filter("value <> 0 AND term IS NOT NULL"))
+    sizes, directions = components.singular_directions(entries, 4, tol=1e-13, max_rounds=60, spare=25)
+    assert sizes == pytest.approx(np.linalg.svd(x)[1][:2], rel=1e-9) and directions.count() == 8
+    # a triangle of many partitions goes through two levels of the tree
+    wide = spark.range(5000).selectExpr("array(rand(1), rand(2), rand(3)) AS vector").repartition(70).checkpoint()
+    r, plain = components._triangle(wide, 3), np.array([w.vector for w in wide.collect()])
+    assert np.allclose(r.T @ r, plain.T @ plain)
+    none, empty = components.singular_directions(entries.limit(0), 4)
+    assert len(none) == 0 and empty.count() == 0
+
+
 @pytest.fixture(scope="module")
 def newsroom(spark):
     rng = random.Random(3)
