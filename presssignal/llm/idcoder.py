@@ -1,10 +1,11 @@
 """Token ids in compressed blocks: adaptive context mixing drives a range coder.
 
 Two hash tables predict the next id, one from the two ids before it and one from the last, each with
-a confidence; a third remembers recent ids (order 0). An id is coded as its kind (predicted by order 2,
-by order 1, remembered, or new), then as its place among the remembered or its plain bits if need be.
-The kind's probability mixes the counts that three contexts have gathered: the confidence of each
-prediction, and the kind before. Every model adapts to what has been coded so far.
+a confidence. An id is coded as its kind: predicted by order 2, by order 1, or one of the frequent or of the rare ids
+(order 0), then as its place among those. The kind's probability mixes the counts that three contexts have
+gathered: the confidence of each prediction, and the kind before; these adapt to what has been coded
+so far. Places within the two halves of order 0 follow the frequencies of the frame's ids, which its header
+holds as logarithms in one byte each, compressed.
 
 Blocks are reset and checksummed on their own, so the blocks of a frame are coded side by side, one
 id of each per step, in integer arithmetic over arrays. A frame holds whole documents and is one row
@@ -27,14 +28,16 @@ from presssignal.llm.support import plain_text, stored
 from presssignal.llm.tokens import byte_memory
 
 END_ID = 2
-BLOCK_IDS = 2048
-LANES = 2048
+BLOCK_IDS = 4096
+LANES = 1024
 FRAME_IDS = BLOCK_IDS * LANES
 
 MAGIC = b"IDCM"
-_HEADER = "<4sIIQ"  # magic, ids per block, bits per id, ids
-_ENTRIES = 1024
-_SLOTS = 256
+_HEADER = "<4sIIQI"  # magic, ids per block, bits per id, ids, bytes of the levels
+_ENTRIES = 2048
+#: Eight steps of an octave, and how far the weights of a half may add up.
+_OCTAVE = np.array([256, 279, 304, 332, 362, 395, 431, 470], np.int64)
+_MOST = 1 << 20
 _STEP = 24
 _LIMIT = 3000
 _WORD = np.uint64(32)
@@ -58,11 +61,10 @@ class Model:
 
     def __init__(self, lanes: int):
         self._two, self._one = np.zeros(lanes * _ENTRIES, np.int32), np.zeros(lanes * _ENTRIES, np.int32)
-        self._recent = np.full(lanes * _SLOTS, -1, np.int32)
         self._counts = np.full((3, lanes * 4), _ONES)
         self._last, self._before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self._kind = np.full(lanes, 3, np.int64)
-        self._entries_at, self._slots_at = np.arange(lanes) * _ENTRIES, np.arange(lanes) * _SLOTS
+        self._entries_at = np.arange(lanes) * _ENTRIES
         self._counts_at = np.arange(lanes) * 4
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,13 +79,7 @@ class Model:
         counts = self._counts[0].take(self._rows[0]) + self._counts[1].take(self._rows[1]) + self._counts[2].take(self._rows[2])
         return self._entry_two >> 2, self._entry_one >> 2, counts, counts * _ONES
 
-    def slot(self, ids: np.ndarray) -> np.ndarray:
-        return ((ids * 40503) >> 3) & (_SLOTS - 1)
-
-    def recent(self, slot: np.ndarray) -> np.ndarray:
-        return self._recent.take(self._slots_at[: len(slot)] + slot)
-
-    def update(self, ids: np.ndarray, slot: np.ndarray, kind: np.ndarray, total: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, kind: np.ndarray, total: np.ndarray) -> None:
         n = len(ids)
         fresh = (ids << 2).astype(np.int32)
         for table, at, entry, sure in (
@@ -91,7 +87,6 @@ class Model:
         ):
             missed = np.where(sure > 0, entry - 1, fresh)
             table[at] = np.where((entry ^ fresh) < 4, entry + _SURER.take(sure), missed)
-        self._recent[self._slots_at[:n] + slot] = ids
         steps = _STEPS.take(kind)
         for counts, row in zip(self._counts, self._rows):
             counts[row] += steps
@@ -104,9 +99,49 @@ class Model:
         self._kind[:n] = kind
 
 
-def _widths(bits: int) -> np.ndarray:
-    """Bits of the number that follows each kind."""
-    return np.array([0, 0, 8, bits], np.uint64)
+def levels_of(ids: np.ndarray) -> np.ndarray:
+    """Of every id up to the largest: 0 if absent, else 1 plus eight times the logarithm of its count, rounded down."""
+    counts = np.bincount(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+    bounds = np.array([int(_OCTAVE[j]) << o for o in range(40) for j in range(8)], np.int64)
+    return np.searchsorted(bounds, counts * 256, "right").astype(np.uint8)
+
+
+class Frequencies:
+    """Order 0: the ids of a frame in two halves of about equal weight, the frequent and the rare."""
+
+    def __init__(self, levels: np.ndarray):
+        present = np.flatnonzero(levels)
+        self._order = present[np.argsort(-levels[present].astype(int), kind="stable")]
+        step = levels[self._order].astype(np.int64) - 1
+        weight = _OCTAVE[step % 8] << (step // 8)
+        frequent = np.cumsum(weight) * 2 <= weight.sum()
+        frequent[:1] = True
+        self.totals, at = np.ones(4, np.uint64), 0
+        scaled = np.zeros(len(weight), np.int64)
+        for kind, part in ((2, frequent), (3, ~frequent)):
+            whole = int(weight[part].sum())
+            room = _MOST - int(part.sum())
+            scaled[part] = 1 + weight[part] * room // max(whole, room, 1)
+            self.totals[kind] = max(int(scaled[part].sum()), 1)
+        self._ends = np.cumsum(scaled)
+        self._split = int(scaled[frequent].sum())
+        size = len(levels) or 1
+        self._kind, self._weight, self._start = np.full(size, 3, np.int64), np.ones(size, np.uint64), np.zeros(size, np.uint64)
+        self._kind[self._order[frequent]] = 2
+        self._weight[self._order] = scaled
+        self._start[self._order] = np.where(frequent, self._ends - scaled, self._ends - scaled - self._split)
+
+    def kind(self, ids: np.ndarray) -> np.ndarray:
+        return self._kind.take(ids)
+
+    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each id begins in its half, and its weight."""
+        return self._start.take(ids), self._weight.take(ids)
+
+    def find(self, kind: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The ids that hold these values of their halves."""
+        at = np.searchsorted(self._ends, value.astype(np.int64) + np.where(kind == 3, self._split, 0), "right")
+        return self._order.take(np.minimum(at, len(self._order) - 1))
 
 
 def _narrowed(low: np.ndarray, span: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +157,10 @@ def _narrowed(low: np.ndarray, span: np.ndarray, n: int) -> tuple[np.ndarray, np
     return todo, a
 
 
-def encode_blocks(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The 32-bit words of each row of ``ids``; ``lengths`` never rise. ``bits`` is 16 at most."""
+def encode_blocks(ids: np.ndarray, lengths: np.ndarray, known: Frequencies) -> list[np.ndarray]:
+    """The 32-bit words of each row of ``ids``; ``lengths`` never rise."""
     lanes, longest = ids.shape
-    model, width = Model(lanes), _widths(bits)
+    model = Model(lanes)
     out, used = np.zeros((lanes, longest + 4), np.uint32), np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
     active = np.searchsorted(-lengths, -np.arange(longest), "left").tolist()
@@ -133,16 +168,16 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[np.nd
     for step, n in enumerate(active):
         now = columns[step, :n]
         two, one, counts, sums = model.predict(n)
-        slot = model.slot(now)
-        kind = np.where(two == now, 0, np.where(one == now, 1, np.where(model.recent(slot) == now, 2, 3)))
+        kind = np.where(two == now, 0, np.where(one == now, 1, known.kind(now)))
         shift, total = _SHIFTS.take(kind), sums >> np.uint64(48)
         part = span[:n] // total
         first = part * (((sums << np.uint64(16)) >> shift) & _COUNT)
-        part = (part * ((counts >> shift) & _COUNT)) >> width.take(kind)
-        value = np.where(kind == 2, slot, np.where(kind == 3, now, 0)).astype(np.uint64)
-        low[:n] += first + part * value
-        span[:n] = part
-        model.update(now, slot, kind, total)
+        part = (part * ((counts >> shift) & _COUNT)) // known.totals.take(kind)
+        start, weight = known.place(now)
+        told = kind > 1
+        low[:n] += first + part * (start * told)
+        span[:n] = np.where(told, part * weight, part)
+        model.update(now, kind, total)
         todo, a = _narrowed(low, span, n)
         out[todo, used[todo]] = a >> _WORD
         used[todo] += 1
@@ -153,10 +188,10 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[np.nd
     return [out[i, : used[i]] for i in range(lanes)]
 
 
-def decode_blocks(words: list[np.ndarray], lengths: np.ndarray, bits: int) -> np.ndarray:
+def decode_blocks(words: list[np.ndarray], lengths: np.ndarray, known: Frequencies) -> np.ndarray:
     """The ids that ``encode_blocks`` was given, one row per block."""
     lanes, longest = len(words), int(lengths[0]) if len(lengths) else 0
-    model, width = Model(lanes), _widths(bits)
+    model = Model(lanes)
     data = np.zeros((lanes, max(map(len, words), default=0) + 4), np.uint32)
     for i, w in enumerate(words):
         data[i, : len(w)] = w
@@ -177,18 +212,18 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray, bits: int) -> np
         kind += at >= (sums >> _WORD) & _COUNT
         shift = _SHIFTS.take(kind)
         first = part * (((sums << sixteen) >> shift) & _COUNT)
-        part = (part * ((counts >> shift) & _COUNT)) >> width.take(kind)
+        part = (part * ((counts >> shift) & _COUNT)) // known.totals.take(kind)
         now = np.where(kind == 0, two, one).astype(np.int64)
         told = np.flatnonzero(kind > 1)
-        value = np.minimum((ahead[told] - first[told]) // part[told], (np.uint64(1) << width.take(kind[told])) - np.uint64(1))
-        first[told] += part[told] * value
-        value = value.astype(np.int64)
-        slots = model._slots_at[told] + np.where(kind[told] == 2, value, 0)
-        now[told] = np.where(kind[told] == 2, model._recent.take(slots), value)
+        of, unit = kind[told], part[told]
+        now[told] = known.find(of, np.minimum((ahead[told] - first[told]) // unit, known.totals.take(of) - np.uint64(1)))
+        start, weight = known.place(now[told])
+        first[told] += unit * start
+        part[told] = unit * weight
         low[:n] += first
         span[:n] = part
         ids[step, :n] = now
-        model.update(now, model.slot(now), kind, total)
+        model.update(now, kind, total)
         todo, _ = _narrowed(low, span, n)
         code[todo] = (code[todo] << _WORD) | data[todo, np.minimum(used[todo], data.shape[1] - 1)]
         used[todo] += 1
@@ -196,7 +231,7 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray, bits: int) -> np
 
 
 def encode_frame(ids: np.ndarray, bits: int = 16, block_ids: int = BLOCK_IDS) -> bytes:
-    """A frame: header, then of each block its number of words and the crc32 of its ids, then the words."""
+    """A frame: header, levels, then of each block its number of words and the crc32 of its ids, then the words."""
     ids = np.ascontiguousarray(ids, "<u4")
     if not 1 <= bits <= 16 or len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"ids do not fit in {bits} bits")
@@ -204,22 +239,29 @@ def encode_frame(ids: np.ndarray, bits: int = 16, block_ids: int = BLOCK_IDS) ->
     wide = np.zeros(blocks * block_ids, np.uint32)
     wide[: len(ids)] = ids
     lengths = np.minimum(block_ids, len(ids) - block_ids * np.arange(blocks))
-    words = []
+    levels = levels_of(ids)
+    known, words, told = Frequencies(levels), [], zlib.compress(levels.tobytes(), 9)
     for at in range(0, blocks, LANES):
-        words += encode_blocks(wide.reshape(blocks, block_ids)[at : at + LANES, : lengths[at]], lengths[at : at + LANES], bits)
+        words += encode_blocks(wide.reshape(blocks, block_ids)[at : at + LANES, : lengths[at]], lengths[at : at + LANES], known)
     sums = [zlib.crc32(ids[b * block_ids : (b + 1) * block_ids].tobytes()) for b in range(blocks)]
     directory = np.array([[len(w), s] for w, s in zip(words, sums)], "<u4").tobytes()
-    return struct.pack(_HEADER, MAGIC, block_ids, bits, len(ids)) + directory + b"".join(w.astype("<u4").tobytes() for w in words)
+    return struct.pack(_HEADER, MAGIC, block_ids, bits, len(ids), len(told)) + told + directory + b"".join(w.astype("<u4").tobytes() for w in words)
 
 
 def decode_frame(frame: bytes) -> np.ndarray:
     """The ids of a frame; damage to a block fails with its number."""
-    magic, block_ids, bits, n = struct.unpack_from(_HEADER, frame)
+    magic, block_ids, _, n, size = struct.unpack_from(_HEADER, frame)
     if magic != MAGIC:
         raise ValueError("this is not a frame of ids")
     blocks = -(-n // block_ids)
-    directory = np.frombuffer(frame, "<u4", 2 * blocks, struct.calcsize(_HEADER)).reshape(blocks, 2)
-    words = np.frombuffer(frame, "<u4", offset=struct.calcsize(_HEADER) + 8 * blocks)
+    at = struct.calcsize(_HEADER)
+    try:
+        known = Frequencies(np.frombuffer(zlib.decompress(frame[at : at + size]), np.uint8))
+    except zlib.error as error:
+        raise ValueError("the frame's frequencies are damaged") from error
+    at += size
+    directory = np.frombuffer(frame, "<u4", 2 * blocks, at).reshape(blocks, 2)
+    words = np.frombuffer(frame, "<u4", offset=at + 8 * blocks)
     ends = np.cumsum(directory[:, 0].astype(np.int64))
     if blocks and ends[-1] != len(words):
         raise ValueError("the frame's length is not what its directory says")
@@ -227,7 +269,7 @@ def decode_frame(frame: bytes) -> np.ndarray:
     lengths = np.minimum(block_ids, n - block_ids * np.arange(blocks))
     out = [np.zeros(0, np.uint32)]
     for at in range(0, blocks, LANES):
-        out.append(decode_blocks(parts[at : at + LANES], lengths[at : at + LANES], bits).ravel())
+        out.append(decode_blocks(parts[at : at + LANES], lengths[at : at + LANES], known).ravel())
     ids = np.concatenate(out)[:n].astype("<u4")
     for b in range(blocks):
         if zlib.crc32(ids[b * block_ids : (b + 1) * block_ids].tobytes()) != directory[b, 1]:

@@ -13,7 +13,7 @@ from presssignal.llm import idcoder, tokens
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 50, 2047, 2048, 2049, 30_000])
+@pytest.mark.parametrize("n", [0, 1, 2, 50, 4095, 4096, 4097, 30_000])
 def test_round_trip(n):
     draw = np.random.default_rng(n)
     for ids in (
@@ -32,6 +32,16 @@ def test_predictable_ids_shrink():
     assert len(idcoder.encode_frame(ids)) < 0.25 * 2 * len(ids)
 
 
+def test_fewer_bits_than_the_frequencies_alone():
+    # words of one to three ids, drawn with falling frequency
+    draw = np.random.default_rng(3)
+    words = [draw.integers(3, 50_000, draw.integers(1, 4)) for _ in range(4000)]
+    ids = np.concatenate([words[min(int(w), 3999)] for w in draw.pareto(0.6, 150_000)])
+    counts = np.bincount(ids)
+    share = counts[counts > 0] / len(ids)
+    assert 8 * len(idcoder.encode_frame(ids)) < len(ids) * -(share * np.log2(share)).sum()
+
+
 def test_lanes_do_not_touch_each_other(monkeypatch):
     ids = np.random.default_rng(5).integers(0, 300, 5000)
     whole = idcoder.encode_frame(ids, block_ids=100)
@@ -43,7 +53,7 @@ def test_lanes_do_not_touch_each_other(monkeypatch):
 def test_damage_is_found():
     frame = bytearray(idcoder.encode_frame(np.random.default_rng(1).integers(0, 5000, 6000)))
     frame[-500] ^= 4
-    with pytest.raises(ValueError, match="block 2"):
+    with pytest.raises(ValueError, match="block 1"):
         idcoder.decode_frame(bytes(frame))
     with pytest.raises(ValueError):
         idcoder.decode_frame(b"XXXX" + bytes(frame[4:]))
