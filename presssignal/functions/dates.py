@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,16 +94,58 @@ def blank_dates(col: Column) -> Column:
     return F.regexp_replace(col, _FIND_DATE, " ")
 
 
-def search_ranges(
-    bounds: DataFrame, start: str, end: str, months: int = 1, hard_start: bool = False
-) -> DataFrame:
-    """Explode each row's [start, end) into ranges going backwards from ``end``.
+class Offset(NamedTuple):
+    """Steps backwards that do not build on each other: ``back(day, k)`` is ``k`` steps before ``day``.
 
-    Steps are taken one after the other, so a clipped month end stays clipped. The last
-    range may begin before ``start`` unless ``hard_start``. Adds ``range_from``,
-    ``range_to`` and ``search_range``.
+    All steps but the first are at least ``shortest`` days long, and the first at least one.
     """
-    first, last = F.col(start), F.col(end)
+
+    back: Callable[[Column, Column], Column]
+    shortest: int
+
+
+def days(n: int = 1) -> Offset:
+    return Offset(lambda day, k: F.date_sub(day, k * n), n)
+
+
+def weeks(n: int = 1) -> Offset:
+    return days(7 * n)
+
+
+def business_days(n: int = 1) -> Offset:
+    """Mondays to Fridays; a day of the weekend counts as the Monday after it."""
+
+    def back(day: Column, k: Column) -> Column:
+        def before(w: Column) -> Column:
+            whole, rest = F.floor(k * n / 5).cast("int"), k * n % 5
+            monday = F.when(w > 4, 7 - w).otherwise(0)
+            weekend = F.when(rest > F.when(w > 4, 0).otherwise(w), 2).otherwise(0)
+            return F.date_sub(day, whole * 7 + rest + weekend - monday)
+
+        return let(F.weekday(day), before)
+
+    return Offset(back, n)
+
+
+def month_ends(n: int = 1) -> Offset:
+    return Offset(lambda day, k: F.last_day(F.add_months(F.trunc(day, "month"), k * -n)), 28 * n)
+
+
+def quarter_ends(n: int = 1) -> Offset:
+    return Offset(lambda day, k: F.last_day(F.add_months(F.trunc(day, "quarter"), k * (-3 * n) + 2)), 90 * n)
+
+
+def _offset_steps(first: Column, last: Column, offset: Offset) -> Column:
+    """``last`` and the days of its steps, down to the one that reaches ``first``; at least one step."""
+    most = F.greatest(F.floor(F.date_diff(last, first) / offset.shortest), F.lit(0)) + 2
+    numbers = F.filter(
+        F.sequence(F.lit(1), most.cast("int")), lambda k: (k == 1) | (offset.back(last, k - 1) > first)
+    )
+    return F.concat(F.array(last), F.transform(numbers, lambda k: offset.back(last, k)))
+
+
+def _month_steps(first: Column, last: Column, months: int) -> Column:
+    """The same in months, one after the other, so a clipped month end stays clipped."""
     # An upper bound on the number of steps; surplus steps are cut off below.
     span = F.greatest(F.ceil(F.months_between(last, first) / months), F.lit(0)) + 2
     steps = F.aggregate(
@@ -111,7 +156,22 @@ def search_ranges(
         ),
     )
     # when end <= start the first step is still taken once
-    steps = F.when(F.size(steps) < 2, F.array(last, F.add_months(last, -months))).otherwise(steps)
+    return F.when(F.size(steps) < 2, F.array(last, F.add_months(last, -months))).otherwise(steps)
+
+
+def search_ranges(
+    bounds: DataFrame, start: str, end: str, months: int = 1, hard_start: bool = False, offset: Offset | None = None
+) -> DataFrame:
+    """Explode each row's [start, end) into ranges going backwards from ``end``.
+
+    Steps are ``months`` long unless an ``offset`` is given. The last range may begin before
+    ``start`` unless ``hard_start``. Rows without a start or an end give no range. Adds
+    ``range_from``, ``range_to`` and ``search_range``.
+    """
+    if (offset.shortest if offset else months) < 1:
+        raise ValueError("steps go backwards by at least one")
+    first, last = F.col(start), F.col(end)
+    steps = _offset_steps(first, last, offset) if offset else _month_steps(first, last, months)
     pairs = F.transform(
         F.sequence(F.lit(2), F.size("_steps")),
         lambda i: F.struct(
@@ -120,7 +180,8 @@ def search_ranges(
         ),
     )
     out = (
-        bounds.withColumn("_steps", steps)
+        bounds.filter(first.isNotNull() & last.isNotNull())
+        .withColumn("_steps", steps)
         .withColumn("_pair", F.explode(pairs))
         .select(*bounds.columns, "_pair.range_from", "_pair.range_to")
     )

@@ -42,11 +42,11 @@ def incoming(spark, sf):
 _BOUNDS = "b AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS d1, CAST(max(o_orderdate) AS DATE) AS d2 FROM orders GROUP BY 1)"
 
 
-def _calendar_sql(hard: bool) -> str:
+def _calendar_sql(hard: bool = False, back: str = "{0} - INTERVAL 1 MONTH") -> str:
     start = "greatest(f, d1)" if hard else "f"
     return f"""WITH RECURSIVE {_BOUNDS},
-r AS (SELECT o_custkey, d1, CAST(d2 - INTERVAL 1 MONTH AS DATE) AS f, CAST(d2 - INTERVAL 1 DAY AS DATE) AS t FROM b
-  UNION ALL SELECT o_custkey, d1, CAST(f - INTERVAL 1 MONTH AS DATE), CAST(f - INTERVAL 1 DAY AS DATE) FROM r WHERE f > d1)
+r AS (SELECT o_custkey, d1, CAST({back.format("d2")} AS DATE) AS f, CAST(d2 - INTERVAL 1 DAY AS DATE) AS t FROM b
+  UNION ALL SELECT o_custkey, d1, CAST({back.format("f")} AS DATE), CAST(f - INTERVAL 1 DAY AS DATE) FROM r WHERE f > d1)
 SELECT o_custkey, {start} AS range_from, t AS range_to, concat(CAST({start} AS VARCHAR), ' to ', CAST(t AS VARCHAR)) AS search_range FROM r"""
 
 
@@ -56,7 +56,7 @@ def _order_bounds(spark, sf):
     )
 
 
-@query(_calendar_sql(False))
+@query(_calendar_sql())
 def search_calendar(spark, sf):
     """Monthly ranges backwards from each customer's last order to the first."""
     return dates.search_ranges(_order_bounds(spark, sf), "d1", "d2", 1).drop("d1", "d2")
@@ -67,6 +67,34 @@ def search_calendar_hard_start(spark, sf):
     return dates.search_ranges(_order_bounds(spark, sf), "d1", "d2", 1, hard_start=True).drop("d1", "d2")
 
 
+def _calendar(spark, sf, offset):
+    return dates.search_ranges(_order_bounds(spark, sf), "d1", "d2", offset=offset).drop("d1", "d2")
+
+
+@query(_calendar_sql(back="{0} - INTERVAL 14 DAY"))
+def search_calendar_weeks(spark, sf):
+    """Ranges of two weeks."""
+    return _calendar(spark, sf, dates.weeks(2))
+
+
+@query(_calendar_sql(back="([{0} - CAST(i AS INT) for i in range(1, 14) if isodow({0} - CAST(i AS INT)) < 6])[7]"))
+def search_calendar_business_days(spark, sf):
+    """Ranges that begin seven business days before the next one."""
+    return _calendar(spark, sf, dates.business_days(7))
+
+
+@query(_calendar_sql(back="last_day(date_trunc('month', {0}) - INTERVAL 1 MONTH)"))
+def search_calendar_month_ends(spark, sf):
+    """Ranges that begin on the last day of a month."""
+    return _calendar(spark, sf, dates.month_ends())
+
+
+@query(_calendar_sql(back="date_trunc('quarter', {0}) - INTERVAL 1 DAY"))
+def search_calendar_quarter_ends(spark, sf):
+    """Ranges that begin on the last day of a quarter."""
+    return _calendar(spark, sf, dates.quarter_ends())
+
+
 @query(
     f"""WITH {V_STATE}, r AS (SELECT DISTINCT query, search_range FROM v_article)
 SELECT query, search_range FROM r WHERE NOT EXISTS (

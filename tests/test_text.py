@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,36 @@ def test_search_ranges_overshoot_and_hard_start(spark):
     assert [str(r.range_from) for r in hard] == ["2018-02-01", "2018-01-15"]
 
 
+@pytest.mark.parametrize(
+    "name, n", [("days", 1), ("weeks", 1), ("business_days", 1), ("business_days", 7), ("month_ends", 2), ("quarter_ends", 1)]
+)
+def test_offsets_step_like_pandas(spark, name, n):
+    pandas_steps = {
+        "days": pd.offsets.Day(n), "weeks": pd.offsets.Day(7 * n), "business_days": pd.offsets.BDay(n),
+        "month_ends": pd.offsets.MonthEnd(n), "quarter_ends": pd.offsets.QuarterEnd(n, startingMonth=3),
+    }
+    start = dt.date(2019, 11, 3)
+    ends = [dt.date(2020, 2, 24) + dt.timedelta(i) for i in range(45)] + [start, dt.date(2019, 1, 1)]
+    bounds = spark.createDataFrame([(start, e) for e in ends] + [(None, start), (start, None)], "start date, end date")
+    found = {}
+    for row in dates.search_ranges(bounds, "start", "end", offset=getattr(dates, name)(n)).collect():
+        found.setdefault(row.end, []).append((row.range_from, row.range_to))
+    assert set(found) == set(ends)
+    for end in ends:
+        expected, to = [], pd.Timestamp(end)
+        while not expected or to > pd.Timestamp(start):
+            begin = to - pandas_steps[name]
+            expected.append((begin.date(), (to - pd.Timedelta(days=1)).date()))
+            to = begin
+        assert found[end] == expected
+
+
+def test_steps_have_to_go_back():
+    for step in ({"months": 0}, {"offset": dates.weeks(-1)}):
+        with pytest.raises(ValueError):
+            dates.search_ranges(None, "start", "end", **step)
+
+
 def test_search_ranges_start_on_end(spark):
     bounds = spark.createDataFrame([(dt.date(2018, 3, 1), dt.date(2018, 3, 1))], "start date, end date")
     rows = dates.search_ranges(bounds, "start", "end", 6).collect()
