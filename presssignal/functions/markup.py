@@ -1,14 +1,15 @@
 """Hits and article bodies out of HTML.
 
-Regular markup is handled with column expressions. A page whose markup those
-expressions cannot read exactly (nested elements, unusual entities) goes through an
-Arrow-batched parser instead; pages of the first kind are passed to it as NULL, so they
-cost next to nothing there.
+Regular markup, nested elements and entities included, is handled with column expressions. A
+page whose markup those expressions cannot read exactly (elements that overlap or are left
+open, unknown entities) goes through an Arrow-batched parser instead; pages of the first kind
+are passed to it as NULL, so they cost next to nothing there.
 """
 
 from __future__ import annotations
 
 import html as html_std
+from html.entities import html5, name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,7 +20,7 @@ from presssignal.functions.dates import let
 from presssignal.functions.text import strip_blanks
 from presssignal.functions.urls import resolve_url
 
-NBSP = " "
+NBSP = "\u00a0"
 _SIMPLE_ENTITIES = {
     "&nbsp;": NBSP,
     "&quot;": '"',
@@ -32,7 +33,12 @@ _SIMPLE_ENTITIES = {
     "&copy;": "©",
     "&amp;": "&",  # last, so that '&amp;lt;' yields '&lt;'
 }
-_KNOWN_ENTITY = "(?:" + "|".join(_SIMPLE_ENTITIES) + ")"
+_OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:] for e in _SIMPLE_ENTITIES) + r"))(?:#\d|#[xX][0-9a-fA-F]|[A-Za-z])"
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+#: The entities of HTML 4; whatever else is written like one is left to the parser.
+_NAMED = {name: html5[name + ";"] for name in name2codepoint}
+#: Characters that mean something in markup stay written as entities until tags are gone.
+_MARKS = [ord(c) for c in "\"&'<>"]
 
 
 def unescape_simple(col: Column) -> Column:
@@ -44,7 +50,36 @@ def unescape_simple(col: Column) -> Column:
 
 def has_other_entities(col: Column) -> Column:
     """True when an entity outside the simple list occurs."""
-    return F.regexp_replace(col, _KNOWN_ENTITY, "").rlike(r"&(?:#\d|#[xX][0-9a-fA-F]|[A-Za-z])")
+    return col.rlike(_OTHER_ENTITY)
+
+
+def _character(entity: Column) -> Column:
+    """What an entity stands for; itself if it is a mark, unknown, or a code point that parsers replace or drop."""
+
+    def coded(code: Column) -> Column:
+        plain = code.isin(9, 10) | code.between(32, 126) | code.between(160, 0xD7FF) | code.between(0xE000, 0xFDCF)
+        plain |= code.between(0xFDF0, 0x10FFFF) & (code % 0x10000 < 0xFFFE)
+        return F.when(plain & ~code.isin(_MARKS), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def named(name: Column) -> Column:
+        number = F.when(
+            F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)
+        ).otherwise(F.substring(name, 2, 7))
+        pairs = " ".join(f"{n}={c}" for n, c in _NAMED.items() if ord(c) not in _MARKS)
+        characters = F.str_to_map(F.lit(pairs), F.lit(" "), F.lit("="))
+        return F.when(name.startswith("#"), let(number.try_cast("bigint"), coded)).otherwise(F.try_element_at(characters, name))
+
+    return F.coalesce(let(F.regexp_extract(entity, "&(.*);", 1), named), entity)
+
+
+def decode_characters(markup: Column) -> Column:
+    """Markup with the named and numeric entities of all characters but marks decoded."""
+    decoded = F.zip_with(
+        F.split(markup, _ENTITY),
+        F.transform(F.regexp_extract_all(markup, F.lit(_ENTITY), F.lit(0)), _character),
+        lambda before, char: F.concat(before, F.coalesce(char, F.lit(""))),
+    )
+    return F.when(has_other_entities(markup), F.array_join(decoded, "")).otherwise(markup)
 
 
 def _live(html: Column) -> Column:
@@ -232,10 +267,23 @@ def _cell(piece: Column, cell: str) -> Column:
     )
 
 
+_VOIDS = r"(?i)<(?:br|img|hr|input|wbr)\b[^>]*>"
+_LEAF = r"(?is)<{name}\b[^>]*>[^<]*</\1\s*>"
+#: How many levels of elements the expressions look through.
+_LEVELS = 4
+
+
+def _without_leaves(inner: Column) -> Column:
+    """Markup from which void tags and elements that hold no anchor are taken, innermost first."""
+    col = F.regexp_replace(inner, _VOIDS, "")
+    for _ in range(_LEVELS):
+        col = F.when(col.contains("<"), F.regexp_replace(col, _LEAF.format(name="(?!a\\b)([A-Za-z][A-Za-z0-9]*)"), "")).otherwise(col)
+    return col
+
+
 def _flat(inner: Column) -> Column:
-    """Only text, void tags and childless elements inside."""
-    leaves = F.regexp_replace(inner, r"(?s)<([A-Za-z][A-Za-z0-9]*)\b[^>]*>[^<]*</\1\s*>", "")
-    return ~F.regexp_replace(leaves, r"(?i)<(?:br|img|hr|input|wbr)\b[^>]*>", "").contains("<")
+    """Anchors lie directly in the cell, and every element inside is closed where it was opened."""
+    return ~F.regexp_replace(_without_leaves(inner), _LEAF.format(name="(a)"), "").contains("<")
 
 
 def extract_hits(
@@ -261,6 +309,8 @@ def extract_hits(
         cells,
         lambda c: _flat(c["inner"])
         & c["inner"].rlike(r"(?i)<a\b[^>]*\bhref=\"")
+        # the first text of an anchor may lie behind an element
+        & ~c["inner"].rlike(r"(?i)<a\b[^>]*><(?!/a)")
         & ~has_other_entities(F.concat(c["inner"], c["tail"])),
     )
     regular = (
@@ -286,7 +336,7 @@ def extract_hits(
     base = F.coalesce(base, F.col(page_url)) if page_url else F.coalesce(base, F.lit(""))
     parsed = _hits_by_tree(target)(F.when(~F.col("_regular"), source))
     return (
-        pages.withColumn("_live", _live(source))
+        pages.withColumn("_live", decode_characters(_live(source)))
         .withColumn("_cells", F.transform(_pieces(live, cell_tag, anchor), lambda p: _cell(p, cell_tag)))
         .withColumn("_regular", F.coalesce(regular, F.lit(True)))
         .withColumn("_parsed", parsed)
@@ -330,7 +380,78 @@ def _bodies_by_tree(tag: str, css: str | None):
         rows = [empty if page is None else _body_of(page, tag, css) for page in pages]
         return pd.DataFrame(rows, columns=["n_bodies", "markup"]).astype({"n_bodies": "Int32"})
 
-    return parse
+    # so that a filter on the number of bodies does not parse once more below the projection
+    return parse.asNondeterministic()
+
+
+def _at_tag(col: Column, tag: str) -> Column:
+    """The markup cut in front of every opening and closing tag of one kind."""
+    return F.split(col, rf"(?i)(?=</?{tag}\b)")
+
+
+def _stepped(depth: Column, piece: Column, tag: str) -> Column:
+    """The number of open elements of a kind behind the tag that ``piece`` begins with."""
+    return (
+        F.when(piece.rlike(rf"(?i)^<{tag}\b"), depth + 1).when(piece.rlike(rf"(?i)^</{tag}\b"), depth - 1).otherwise(depth)
+    )
+
+
+def _matched(live: Column, tag: str, opening: str) -> Column:
+    """Inner markup of the first element so opened, up to its own closing tag; NULL if it has none.
+
+    NULL as well if elements of its kind inside overlap with others, where parsers close them early.
+    """
+
+    def step(acc: Column, piece: Column) -> Column:
+        begins = (acc["first"] == 0) & piece.rlike(f"^{opening}")
+        depth = F.when(begins, 1).when(acc["depth"] == 0, 0).otherwise(_stepped(acc["depth"], piece, tag))
+
+        def after(d: Column) -> Column:
+            rest = F.regexp_replace(piece, "^<[^>]*>", "")
+            return F.struct(
+                d.alias("depth"),
+                (acc["at"] + 1).alias("at"),
+                F.when(begins, acc["at"] + 1).otherwise(acc["first"]).alias("first"),
+                F.when((acc["depth"] > 0) & (d == 0), acc["at"] + 1).otherwise(acc["last"]).alias("last"),
+                (acc["clean"] & ((d < 2) | ~_without_leaves(rest).contains("<"))).alias("clean"),
+            )
+
+        return let(depth, after)
+
+    def inner(pieces: Column) -> Column:
+        start = F.struct(*(F.lit(0).alias(n) for n in ("depth", "at", "first", "last")), F.lit(True).alias("clean"))
+        return let(
+            F.aggregate(pieces, start, step),
+            lambda found: F.when(
+                (found["last"] > 0) & found["clean"],
+                F.regexp_replace(
+                    F.array_join(F.slice(pieces, found["first"], found["last"] - found["first"]), ""), "^<[^>]*>", ""
+                ),
+            ),
+        )
+
+    return let(_at_tag(live, tag), inner)
+
+
+def _without_tables(raw: Column) -> Column:
+    """Markup without its outermost tables and the text right behind each; NULL if one stays open."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        def after(depth: Column) -> Column:
+            closed = (acc["depth"] == 1) & (depth == 0)
+            kept = F.when(closed, F.regexp_replace(piece, r"^<[^>]*>[^<]*", "")).otherwise(piece)
+            return F.struct(
+                depth.alias("depth"),
+                F.when(depth == 0, F.array_append(acc["kept"], kept)).otherwise(acc["kept"]).alias("kept"),
+            )
+
+        return let(F.greatest(_stepped(acc["depth"], piece, "table"), F.lit(0)), after)
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return let(
+        F.aggregate(_at_tag(raw, "table"), start, step),
+        lambda found: F.when(found["depth"] == 0, F.array_join(found["kept"], "")),
+    )
 
 
 def flatten_markup(markup: Column) -> Column:
@@ -358,27 +479,26 @@ def extract_body(
     """Adds ``n_bodies`` and ``body_text`` (NULL unless exactly one body was found)."""
     source, live = F.col(html), F.col("_live")
     opening = rf"(?i)<{tag}\b[^>]*\bclass=\"{css}\"[^>]*>" if css else rf"(?i)<{tag}\b[^>]*>"
-    raw = F.regexp_extract(live, rf"(?s){opening}(.*?)(?i:</{tag}\s*>)", 1)
-    no_tables = F.regexp_replace(F.col("_raw"), r"(?is)<table\b.*?</table\s*>[^<]*", "")
     n_open = F.regexp_count(live, F.lit(opening))
+    # a paragraph left open in front of the body would end it at its first paragraph
+    in_paragraph = F.element_at(_at_tag(F.get(F.split(live, opening), F.lit(0)), "p"), -1).rlike(r"(?i)^<p\b")
     loose = rf"(?i)<{tag}\b[^>]*\bclass\s*=\s*[\"']?{css}\b" if css else opening
     regular = (
         (n_open <= 1)
         & (n_open == F.regexp_count(live, F.lit(loose)))
         & ~live.contains(RELATED_ID)
         & ~live.contains("<!--")
-        & ~F.col("_raw").rlike(rf"(?i)<{tag}\b")
-        & ~F.col("_markup").rlike(r"(?i)</?table\b")
-        & ((n_open == 0) | live.rlike(rf"(?is){opening}.*</{tag}\s*>"))
+        & ~live.rlike(rf"(?i)<(?:{tag}|table)\b[^>]*/>")
+        & ((n_open == 0) | ~in_paragraph)
+        & ((n_open == 0) | (F.col("_markup").isNotNull() & ~F.col("_markup").rlike(r"(?i)</table\b")))
         & ~has_other_entities(F.col("_markup"))
     )
     if force_tree:
         regular = F.lit(False)
     parsed = _bodies_by_tree(tag, css)(F.when(~F.col("_regular"), source))
     return (
-        articles.withColumn("_live", _live(source))
-        .withColumn("_raw", raw)
-        .withColumn("_markup", no_tables)
+        articles.withColumn("_live", decode_characters(_live(source)))
+        .withColumn("_markup", F.when(n_open == 1, _without_tables(_matched(live, tag, opening))))
         .withColumn("_regular", F.coalesce(regular, F.lit(True)))
         .withColumn("_parsed", parsed)
         .withColumn("n_bodies", F.when(F.col("_regular"), n_open).otherwise(F.col("_parsed.n_bodies")))
@@ -389,7 +509,7 @@ def extract_body(
                 flatten_markup(F.when(F.col("_regular"), F.col("_markup")).otherwise(F.col("_parsed.markup"))),
             ),
         )
-        .drop("_live", "_raw", "_markup", "_regular", "_parsed")
+        .drop("_live", "_markup", "_regular", "_parsed")
     )
 
 

@@ -107,3 +107,80 @@ def test_simple_entities_are_decoded_once(spark):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(markup.unescape_simple(F.lit("&amp;lt; &lt;")).alias("x")).first().x == "&lt; <"
+
+
+ENTITIES = [
+    "&rsquo;quoted&lsquo; &mdash; &hellip;", "&#8217;&#x2019;&#X20AC;", "&#128512; &#x1F600;", "&eacute;&Eacute;&nbsp;&apos;",
+    "a & b &; &&amp;amp;", "&#10;line", "plain", "", "&lt;b&gt;&ndash;&amp;lt;",
+]
+#: Left to the parser: names outside HTML 4, no semicolon, code points that are replaced or dropped, marks by number.
+UNREADABLE = [
+    "&bogus;", "&copy 2017", "&#146;", "&#0;", "&#xD800;", "&#x110000;", "&#xFFFE;", "&NotEqualTilde;", "&#9999999999;", "&#38;lt;", "&#x3c;b",
+]
+
+
+def test_entities_are_those_of_the_standard_library(spark):
+    import html
+
+    rows = spark.createDataFrame([(e,) for e in ENTITIES + UNREADABLE + [None]], "s string")
+    rows = rows.select("s", markup.decode_characters(rows.s).alias("d"))
+    found = {r.s: r for r in rows.select("s", markup.has_other_entities(rows.d).alias("other"), markup.unescape_simple(rows.d).alias("u")).collect()}
+    assert {e: found[e].u for e in ENTITIES} == {e: html.unescape(e) for e in ENTITIES}
+    assert [e for e in ENTITIES if found[e].other] == [] and [e for e in UNREADABLE if not found[e].other] == []
+    assert found[None].u is None
+
+
+#: Pages for the expressions alone.
+NATIVE_CELLS = [
+    '<td><b>No. <i>7</i></b> <a href="/a" target="_parent">It&rsquo;s <i>one</i> title</a>&nbsp;<div><span>May <b>3</b></span>, 2017</div></td>tail &mdash;',
+    '<td><div><table><tr><th>x</th></tr></table></div><a href="/b" target="_parent">Two&#8217;s</a><br>&#160;May 4, 2017</td>',
+    '<td><a href="/c" target="_parent"> <b>lead</b> rest</a></td>',
+]
+#: Pages that only the parser can read.
+PARSED_CELLS = [
+    '<td><div><a href="/d" target="_parent">Wrapped</a></div></td>',
+    '<td><p>open<p><a href="/e" target="_parent">Left open</a></td>',
+    '<td><a href="/f" target="_parent"><b>First</b> then text</a></td>',
+    '<td><a href="/g" target="_parent">&bogus; entity</a></td>',
+    '<td><b><i>over</b>lap</i><a href="/h" target="_parent">Overlap</a></td>',
+]
+NATIVE_BODIES = [
+    '<div><span class="verdana"><p>It&rsquo;s</p><span>in <span>deep</span> er</span> text<p>end &#8212;</p></span><span>after</span></div>',
+    '<span class="verdana">a<table><tr><td><table><tr><td>x</td></tr></table>y</td></tr></table>tail<p>b</p><table></table>c<i>d</i></span>',
+    '<span>before</span><SPAN class="verdana"><span></span>x</SPAN>',
+]
+PARSED_BODIES = [
+    '<span class="verdana"><b><span>x</b>y</span>z</span> out',
+    '<span class="verdana">x<span/>y</span>z',
+    '<span class="verdana">never closed',
+    '<span class="verdana">a<table><tr><td>open</span>b',
+    '<span class="verdana">a</table>b &bogus;</span>',
+    '<p><span class="verdana"><span><p>x</p></span>y</span>',
+]
+
+
+@pytest.mark.parametrize("cells, native", [(NATIVE_CELLS, True), (PARSED_CELLS, False)])
+def test_nested_cells(spark, monkeypatch, cells, native):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, HEAD + "<tr>" + c + "</tr></table>") for i, c in enumerate(cells)], "page int, html string")
+    found = {r.page: tuple(r) for r in markup.extract_hits(rows).collect()}
+    assert found == {r.page: tuple(r) for r in markup.extract_hits(rows, force_tree=True).collect()}
+    # with the parser taken away, only pages that need it lose their hits
+    monkeypatch.setattr(markup, "_hits_by_tree", lambda target: lambda page: F.lit(None).cast(markup._HIT_TYPE))
+    left = {r.page for r in markup.extract_hits(rows).collect()}
+    assert left == (set(found) if native else set())
+    assert not native or len(found) == len(cells)
+
+
+@pytest.mark.parametrize("texts, native", [(NATIVE_BODIES, True), (PARSED_BODIES, False)])
+def test_nested_bodies(spark, monkeypatch, texts, native):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, f"<html><body>{t}</body></html>") for i, t in enumerate(texts)], "page int, html string")
+    found = {r.page: (r.n_bodies, r.body_text) for r in markup.extract_body(rows).collect()}
+    assert found == {r.page: (r.n_bodies, r.body_text) for r in markup.extract_body(rows, force_tree=True).collect()}
+    nothing = F.lit(None).cast("struct<n_bodies:int,markup:string>")
+    monkeypatch.setattr(markup, "_bodies_by_tree", lambda tag, css: lambda page: nothing)
+    left = {r.page for r in markup.extract_body(rows).filter("n_bodies IS NOT NULL").collect()}
+    assert left == (set(found) if native else set())
