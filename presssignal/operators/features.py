@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 
 from presssignal.functions.dates import let
 from presssignal.functions.text import WORD_CLASS
+from presssignal.session import cut_lineage
 
 
 def english_stop_words() -> list[str]:
@@ -111,14 +116,79 @@ def fit_vocabulary(
     / min_df terms, whatever the number of documents. The number of documents is a one-row
     aggregate inside the plan; nothing runs while it is built.
     """
+    return _within(document_frequency(docs, terms), docs, min_df, max_df)
+
+
+def _within(counts: DataFrame, docs: DataFrame, min_df: float, max_df: float) -> DataFrame:
     n = docs.agg(F.count(F.lit(1)).alias("_n"))
-    counts = document_frequency(docs, terms).join(F.broadcast(n))
     return (
-        counts.filter(within_bounds(F.col("df"), F.col("_n"), min_df, max_df))
+        counts.join(F.broadcast(n))
+        .filter(within_bounds(F.col("df"), F.col("_n"), min_df, max_df))
         .withColumn("idf", smooth_idf(F.col("df"), F.col("_n"))).drop("_n")
     )
 
 
+#: Entries of a partition's summary, as a multiple of (terms per document) / min_df.
+SUMMARY_ROOM = 4
+
+
+def candidate_terms(docs: DataFrame, min_df: float, terms: str = "terms") -> DataFrame:
+    """``term``: all that at least ``min_df`` of the documents hold, and some that fewer hold.
+
+    Each partition counts terms where it lies. When its counts outgrow their room, the largest count that
+    does not fit is taken from all of them and what is left without any goes, so no count is short by more than the
+    sum of what was taken. A term is a candidate if its counts and all partitions' shortfalls together reach the
+    bound. The room keeps the shortfall near a quarter of the bound, so there are about
+    4/3 * (terms per document) / min_df candidates at most, however many documents or partitions there are.
+    """
+    if not 0 < min_df <= 1:
+        raise ValueError("candidates need a min_df above 0, up to 1")
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, short, n_docs, n_terms = pd.Series(dtype="int64"), 0, 0, 0
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            n_docs, n_terms = n_docs + batch.num_rows, n_terms + len(flat)
+            counts = flat.value_counts()
+            new = pd.Series(counts.field("counts").to_numpy(), index=counts.field("values").to_pylist(), dtype="int64")
+            held = held.add(new, fill_value=0).astype("int64")
+            room = int(np.ceil(SUMMARY_ROOM * n_terms / (n_docs * min_df))) + 1
+            if len(held) > 2 * room:
+                taken = int(np.partition(held.to_numpy(), -room - 1)[-room - 1])
+                held, short = held[held > taken] - taken, short + taken
+        rows = [*held.index, None], [*held.to_numpy(), n_docs], [*[0] * len(held), short]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.int64()))], ["term", "n", "short"]
+        )
+
+    distinct = docs.select(F.array_compact(F.array_distinct(terms)).alias("terms"))
+    # read twice below: the documents are gone through once
+    found = cut_lineage(
+        distinct.mapInArrow(summarise, "term string, n long, short long")
+        .groupBy("term").agg(F.sum("n").alias("n"), F.sum("short").alias("short"))
+    )
+    whole = found.filter("term IS NULL").select(F.col("n").alias("_docs"), F.col("short").alias("_short"))
+    return (
+        found.filter("term IS NOT NULL").join(F.broadcast(whole))
+        .filter(F.col("n") + F.col("_short") >= F.lit(float(min_df)) * F.col("_docs")).select("term")
+    )
+
+
+def fit_vocabulary_by_candidates(
+    docs: DataFrame, min_df: float, max_df: float, terms: str = "terms"
+) -> DataFrame:
+    """The vocabulary of ``fit_vocabulary``, for texts whose distinct terms are too many to shuffle.
+
+    Two passes: candidates from summaries of the partitions, then an exact count of the candidates only. The
+    candidates are sent to all tasks, their number being bounded by ``candidate_terms``.
+    """
+    candidates = F.broadcast(candidate_terms(docs, min_df, terms))
+    counts = _count_documents(
+        docs.select(F.explode(F.array_distinct(terms)).alias("term")).join(candidates, "term", "left_semi")
+    )
+    return _within(counts, docs, min_df, max_df)
+
+
 def row_normalised(weights: DataFrame, doc_id: str, norm: str | None, name: str = "tfidf") -> DataFrame:
     """Divide each document's weights by their l1 or l2 norm."""
     per_doc = Window.partitionBy(doc_id)

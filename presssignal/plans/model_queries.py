@@ -208,15 +208,22 @@ def term_counts(spark, sf):
     return features.term_counts(_terms(spark, sf), "doc_id")
 
 
-@query(
-    f"""WITH {_COUNTS}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
+_VOCABULARY = f"""WITH {_COUNTS}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
 SELECT term, df FROM df WHERE df >= 0.01::DOUBLE * (SELECT n FROM n) AND df <= 0.2::DOUBLE * (SELECT n FROM n)"""
-)
+
+
+@query(_VOCABULARY)
 def vocabulary(spark, sf):
     """Terms between one and twenty percent of the documents."""
     return features.fit_vocabulary(_terms(spark, sf), 0.01, 0.2).select("term", "df")
 
 
+@query(_VOCABULARY)
+def vocabulary_by_candidates(spark, sf):
+    """The same terms; only those that partitions' summaries leave possible are shuffled."""
+    return features.fit_vocabulary_by_candidates(_terms(spark, sf), 0.01, 0.2).select("term", "df")
+
+
 def _tfidf_sql(norm: str) -> str:
     size = "sum(abs(w)) OVER (PARTITION BY doc_id)" if norm == "l1" else "sqrt(sum(w * w) OVER (PARTITION BY doc_id))"
     return f"""WITH {_COUNTS},

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from presssignal.operators import components, grid, linear, report, seeded, sentiment
+from presssignal.operators import components, features, grid, linear, report, seeded, sentiment
 from presssignal.operators.linear import ModelSpec
 
 FILLER = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
@@ -266,3 +266,30 @@ def test_sentiment(spark, word2vec):
     assert got[3] is None
     if not word2vec:
         assert (got[1], got[2]) == (1, 0)
+
+
+@pytest.mark.parametrize("min_df", [0.02, 0.1, 1.0])
+def test_candidates_hold_every_frequent_term(spark, min_df, monkeypatch):
+    """Summaries so small that they are cut, batches of a few rows, terms that only some partitions hold."""
+    monkeypatch.setattr(features, "SUMMARY_ROOM", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        rows = [
+            (i, ["all", "all"] + [f"half{i % 2}", f"late{i // 100}", f"ten{i % 10}"] + [f"once{i}_{k}" for k in range(30)])
+            for i in range(1000)
+        ] + [(1000, []), (1001, None)]
+        docs = spark.createDataFrame(rows, "i int, terms array<string>").repartitionByRange(7, "i")
+        exact = {(r.term, r.df) for r in features.fit_vocabulary(docs, min_df, 1.0).collect()}
+        assert {(r.term, r.df) for r in features.fit_vocabulary_by_candidates(docs, min_df, 1.0).collect()} == exact
+        # 30 000 terms are in one document each
+        candidates = [r.term for r in features.candidate_terms(docs, min_df).collect()]
+        assert len(candidates) == len(set(candidates)) < 30_000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_candidates_of_nothing(spark):
+    docs = spark.createDataFrame([], "terms array<string>")
+    assert features.fit_vocabulary_by_candidates(docs, 0.5, 1.0).count() == 0
+    with pytest.raises(ValueError):
+        features.candidate_terms(docs, 0.0)
