@@ -116,13 +116,11 @@ def business_days(n: int = 1) -> Offset:
     """Mondays to Fridays; a day of the weekend counts as the Monday after it."""
 
     def back(day: Column, k: Column) -> Column:
-        def before(w: Column) -> Column:
-            whole, rest = F.floor(k * n / 5).cast("int"), k * n % 5
-            monday = F.when(w > 4, 7 - w).otherwise(0)
-            weekend = F.when(rest > F.when(w > 4, 0).otherwise(w), 2).otherwise(0)
-            return F.date_sub(day, whole * 7 + rest + weekend - monday)
-
-        return let(F.weekday(day), before)
+        w = F.weekday(day)
+        whole, rest = F.floor(k * n / 5).cast("int"), k * n % 5
+        monday = F.when(w > 4, 7 - w).otherwise(0)
+        weekend = F.when(rest > F.when(w > 4, 0).otherwise(w), 2).otherwise(0)
+        return F.date_sub(day, whole * 7 + rest + weekend - monday)
 
     return Offset(back, n)
 
@@ -135,17 +133,22 @@ def quarter_ends(n: int = 1) -> Offset:
     return Offset(lambda day, k: F.last_day(F.add_months(F.trunc(day, "quarter"), k * (-3 * n) + 2)), 90 * n)
 
 
-def _offset_steps(first: Column, last: Column, offset: Offset) -> Column:
-    """``last`` and the days of its steps, down to the one that reaches ``first``; at least one step."""
+def _offset_ranges(bounds: DataFrame, first: Column, last: Column, offset: Offset) -> DataFrame:
+    """``bounds`` with ``range_from`` and ``range_to``, a row per step down to the one that reaches ``first``; at least one.
+
+    Steps are rows before they are days, so every day is a plain expression of its row.
+    """
     most = F.greatest(F.floor(F.date_diff(last, first) / offset.shortest), F.lit(0)) + 2
-    numbers = F.filter(
-        F.sequence(F.lit(1), most.cast("int")), lambda k: (k == 1) | (offset.back(last, k - 1) > first)
+    numbered = bounds.withColumn("_step", F.explode(F.sequence(F.lit(1), most.cast("int"))))
+    k = F.col("_step")
+    reached = F.when(k == 1, last).otherwise(offset.back(last, k - 1))
+    return numbered.filter((k == 1) | (offset.back(last, k - 1) > first)).select(
+        *bounds.columns, offset.back(last, k).alias("range_from"), F.date_sub(reached, 1).alias("range_to")
     )
-    return F.concat(F.array(last), F.transform(numbers, lambda k: offset.back(last, k)))
 
 
 def _month_steps(first: Column, last: Column, months: int) -> Column:
-    """The same in months, one after the other, so a clipped month end stays clipped."""
+    """``last`` and the days of its steps down to the one that reaches ``first``, one after the other, so a clipped month end stays clipped."""
     # An upper bound on the number of steps; surplus steps are cut off below.
     span = F.greatest(F.ceil(F.months_between(last, first) / months), F.lit(0)) + 2
     steps = F.aggregate(
@@ -159,6 +162,21 @@ def _month_steps(first: Column, last: Column, months: int) -> Column:
     return F.when(F.size(steps) < 2, F.array(last, F.add_months(last, -months))).otherwise(steps)
 
 
+def _month_ranges(bounds: DataFrame, first: Column, last: Column, months: int) -> DataFrame:
+    pairs = F.transform(
+        F.sequence(F.lit(2), F.size("_steps")),
+        lambda i: F.struct(
+            F.element_at("_steps", i).alias("range_from"),
+            F.date_sub(F.element_at("_steps", i - 1), 1).alias("range_to"),
+        ),
+    )
+    return (
+        bounds.withColumn("_steps", _month_steps(first, last, months))
+        .withColumn("_pair", F.explode(pairs))
+        .select(*bounds.columns, "_pair.range_from", "_pair.range_to")
+    )
+
+
 def search_ranges(
     bounds: DataFrame, start: str, end: str, months: int = 1, hard_start: bool = False, offset: Offset | None = None
 ) -> DataFrame:
@@ -171,20 +189,8 @@ def search_ranges(
     if (offset.shortest if offset else months) < 1:
         raise ValueError("steps go backwards by at least one")
     first, last = F.col(start), F.col(end)
-    steps = _offset_steps(first, last, offset) if offset else _month_steps(first, last, months)
-    pairs = F.transform(
-        F.sequence(F.lit(2), F.size("_steps")),
-        lambda i: F.struct(
-            F.element_at("_steps", i).alias("range_from"),
-            F.date_sub(F.element_at("_steps", i - 1), 1).alias("range_to"),
-        ),
-    )
-    out = (
-        bounds.filter(first.isNotNull() & last.isNotNull())
-        .withColumn("_steps", steps)
-        .withColumn("_pair", F.explode(pairs))
-        .select(*bounds.columns, "_pair.range_from", "_pair.range_to")
-    )
+    known = bounds.filter(first.isNotNull() & last.isNotNull())
+    out = _offset_ranges(known, first, last, offset) if offset else _month_ranges(known, first, last, months)
     if hard_start:
         out = out.withColumn("range_from", F.greatest("range_from", first))
     label = F.concat(F.col("range_from").cast("string"), F.lit(" to "), F.col("range_to").cast("string"))

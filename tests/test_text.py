@@ -136,6 +136,14 @@ def test_steps_have_to_go_back():
             dates.search_ranges(None, "start", "end", **step)
 
 
+def test_offset_steps_are_plain_columns(spark):
+    """No step is worked out inside an array, where expressions are interpreted one by one."""
+    bounds = spark.createDataFrame([(dt.date(2017, 1, 1), dt.date(2018, 1, 1))], "start date, end date")
+    for offset in (dates.weeks(2), dates.business_days(7), dates.month_ends(), dates.quarter_ends()):
+        plan = dates.search_ranges(bounds, "start", "end", offset=offset)._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and "transform(" not in plan
+
+
 def test_search_ranges_start_on_end(spark):
     bounds = spark.createDataFrame([(dt.date(2018, 3, 1), dt.date(2018, 3, 1))], "start date, end date")
     rows = dates.search_ranges(bounds, "start", "end", 6).collect()
