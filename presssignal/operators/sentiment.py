@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, RegexTokenizer, StopWordsRemover, Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presssignal.functions.text import WORD_CLASS
-from presssignal.operators.features import english_stop_words
+from presssignal.operators.features import document_frequency, english_stop_words
+
+
+def _frequent_words(words: DataFrame, min_df: float) -> list[str]:
+    """Words in at least ``min_df`` of the rows, or in so many rows if it is 1 or more, most frequent first.
+
+    Counted by an aggregate: the words of a row stay in its task and nothing is cached, as ``CountVectorizer.fit`` would do.
+    """
+    least = min_df if min_df >= 1 else min_df * words.count()
+    found = document_frequency(words, "_words").filter(F.col("df") >= F.lit(float(least)))
+    frequent = [r.term for r in found.orderBy(F.desc("df"), "term").collect()]
+    if not frequent:
+        raise ValueError("no word is in enough rows; lower min_df")
+    return frequent
 
 
 def fit_sentiment(
@@ -22,16 +35,18 @@ def fit_sentiment(
 ) -> PipelineModel:
     """Fit on ``title, trend`` (-1/1): tf-idf, or averaged word vectors, and log loss."""
     rows = headlines.select(F.col("title").alias("text"), (F.col("trend") > 0).cast("double").alias("label01"))
-    stages = [
+    text_stages = [
         RegexTokenizer(inputCol="text", outputCol="_raw", pattern=f"{WORD_CLASS}{{2,}}", gaps=False),
         StopWordsRemover(inputCol="_raw", outputCol="_words", stopWords=english_stop_words(), locale="en_US"),
     ]
+    stages = list(text_stages)
     if use_word2vec:
         stages.append(Word2Vec(inputCol="_words", outputCol="_features", vectorSize=vector_size, minCount=2, seed=seed))
     else:
+        words = PipelineModel(text_stages).transform(rows).select("_words")
         stages += [
-            # the fraction bounds the vocabulary; the size limit is only there to be out of the way
-            CountVectorizer(inputCol="_words", outputCol="_counts", minDF=min_df, vocabSize=2**31 - 1),
+            # the fraction bounds the vocabulary
+            CountVectorizerModel.from_vocabulary(_frequent_words(words, min_df), "_words", "_counts"),
             IDF(inputCol="_counts", outputCol="_weighted"),
             Normalizer(inputCol="_weighted", outputCol="_features", p=2.0),
         ]

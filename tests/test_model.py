@@ -316,3 +316,13 @@ def test_rare_terms_are_left_where_they_lie(spark):
     assert weights.count() == expected.count()
     for frame in (found, weights):
         assert "_bucket" in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentiment_words_are_counted_by_rows(spark):
+    """In how many rows a word is decides, and the order is that of these counts."""
+    rows = [("often often often often good", 1), ("bank good", 1), ("bank bad", -1), ("bad lone", -1), ("bank bad", -1)]
+    headlines = spark.createDataFrame(rows, "title string, trend int")
+    for min_df in (2.0, 0.4):
+        assert sentiment.fit_sentiment(headlines, min_df=min_df).stages[2].vocabulary == ["bad", "bank", "good"]
+    with pytest.raises(ValueError):
+        sentiment.fit_sentiment(headlines, min_df=4.0)
