@@ -3,7 +3,9 @@
 The shingles of a document are hashed into groups; its group counts are a point. Two sets share
 at most the sum of their points' coordinate minima, and with the largest corners of two rectangles that
 sum bounds all pairs of points in them. So a query goes down only to those leaves of the tree, and
-meets only those points, that could still reach the similarity; what survives is verified on the whole sets.
+meets only those points, that could still reach the similarity. Sets also differ in at least as many shingles as
+parities of their counts in finer ranges, about two per shingle, so of the points met most that are just short of the
+similarity go as well; what survives is verified on the whole sets.
 
 At similarities worth linking, rectangles of points in many dimensions overlap almost everywhere, so one
 tree over all documents would compare nearly all pairs. Points are therefore dealt to trees first: the
@@ -36,6 +38,10 @@ SIMILARITY = Fraction(85, 100)
 GROUPS = 64
 #: Points of a leaf, and of a tree; larger trees are cut.
 LEAF, BLOCK = 32, 1024
+#: Bits of the largest sketch; sets of more than half as many shingles are told apart less well.
+SKETCH = 8192
+#: Pairs that a task gathers before it drops repeated ones.
+_HELD_PAIRS = 1 << 20
 
 #: Bits of the filters that spare most rows a join; too few let other rows pass as well.
 _BITS = 1 << 25
@@ -124,6 +130,19 @@ def point(values: np.ndarray) -> np.ndarray:
     return np.bincount((values >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """The parities of a set's counts in a power of two of ranges, at least 64, as 64-bit words."""
+    bits = min(max(1 << (2 * len(values) - 1).bit_length(), 64), SKETCH) if len(values) else 64
+    counts = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<u8")
+
+
+def alike(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches in rows, folded to the length of the shortest."""
+    least = min(map(len, sketches))
+    return np.array([np.bitwise_xor.reduce(s.reshape(-1, least), axis=0) for s in sketches])
+
+
 def reaches(common, sizes, at_least: Fraction):
     """Whether so many common shingles are enough for sets with this sum of ``sizes``."""
     return common * (at_least.numerator + at_least.denominator) >= sizes * at_least.numerator
@@ -132,8 +151,8 @@ def reaches(common, sizes, at_least: Fraction):
 class RTree:
     """Points packed into leaves, each with the largest corner of its rectangle and its smallest set."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, at_least: Fraction):
-        self._points, self._sizes, self._t = points, sizes, at_least
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, at_least: Fraction, sketches: np.ndarray | None = None):
+        self._points, self._sizes, self._t, self._sketches = points, sizes, at_least, sketches
         self._order = self._packed(np.arange(len(points)))
         self._starts = np.arange(0, len(points), LEAF)
         self._corner = np.maximum.reduceat(points[self._order], self._starts)
@@ -149,41 +168,51 @@ class RTree:
         middle = -(-len(rows) // (2 * LEAF)) * LEAF
         return np.concatenate([self._packed(rows[:middle]), self._packed(rows[middle:])])
 
-    def query(self, at: np.ndarray, size: int, among: np.ndarray) -> np.ndarray:
-        """The rows marked in ``among`` whose sets may be linked with a set of this point and size."""
+    def query(self, at: np.ndarray, size: int, among: np.ndarray, sketched: np.ndarray | None = None) -> np.ndarray:
+        """The rows marked in ``among`` whose sets may be linked with a set of this point, size and sketch."""
         meet = reaches(np.minimum(self._corner, at).sum(axis=1), self._least + size, self._t)
         if len(self._starts) > 1:
             rows = self._order[np.repeat(meet, np.diff(self._starts, append=len(self._order)))]
         else:
             rows = self._order if meet[0] else self._order[:0]
         rows = rows[among[rows]]
-        return rows[reaches(np.minimum(self._points[rows], at).sum(axis=1), self._sizes[rows] + size, self._t)]
+        rows = rows[reaches(np.minimum(self._points[rows], at).sum(axis=1), self._sizes[rows] + size, self._t)]
+        if sketched is None or not len(rows):
+            return rows
+        both = self._sizes[rows] + size
+        differing = np.bitwise_count(self._sketches[rows] ^ sketched).sum(axis=1, dtype=np.int64)
+        return rows[reaches((both - differing) // 2, both, self._t)]
+
+    def near(self, row: int, among: np.ndarray) -> list[int]:
+        """The rows marked in ``among`` whose sets may be linked with that of ``row``."""
+        sketched = None if self._sketches is None else self._sketches[row]
+        return self.query(self._points[row], int(self._sizes[row]), among, sketched).tolist()
 
 
-def connecting(tree: RTree, points: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+def connecting(tree: RTree, size: int) -> list[tuple[int, int]]:
     """Pairs of rows that may be linked and that connect all rows which such pairs connect."""
-    out, new = [], np.ones(len(points), bool)
-    for start in range(len(points)):
+    out, new = [], np.ones(size, bool)
+    for start in range(size):
         queue = [start] if new[start] else []
         new[start] = False
         while queue:
             row = queue.pop()
-            for other in tree.query(points[row], int(sizes[row]), new).tolist():
+            for other in tree.near(row, new):
                 new[other] = False
                 queue.append(other)
                 out.append((row, other))
     return out
 
 
-def apart(tree: RTree, points: np.ndarray, sizes: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+def apart(tree: RTree, roots: np.ndarray) -> list[tuple[int, int]]:
     """All pairs of rows that may be linked and have different roots."""
     out = []
     if (roots == roots[0]).all():
         return out
-    for row in range(len(points)):
+    for row in range(len(roots)):
         among = roots != roots[row]
         among[: row + 1] = False
-        out += [(row, other) for other in tree.query(points[row], int(sizes[row]), among).tolist()]
+        out += [(row, other) for other in tree.near(row, among)]
     return out
 
 
@@ -210,27 +239,28 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame, shingle: int, at_least: Fraction) -> DataFrame:
-    """doc_id, row_key, n, two halves of a digest of the set, its point and its keys; one pass over the texts."""
+    """doc_id, row_key, n, two halves of a digest of the set, its point, sketch and keys; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, classes = Words(), Classes(at_least)
         for batch in batches:
-            sizes, digests, points, keys = [], [], [], []
+            sizes, digests, points, sketches, keys = [], [], [], [], []
             for value in batch.column(2):
                 values = shingle_set(value.as_py(), shingle, words)
                 sizes.append(len(values))
                 digests.append(xxhash.xxh3_128_digest(values.tobytes()))
                 points.append(point(values).tobytes())
+                sketches.append(sketch(values).tobytes())
                 keys.append(part_keys(values, classes).view(np.int64))
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()),
-                 pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "row_key", "n", "high", "low", "point", "keys"],
+                 pa.array(points, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "row_key", "n", "high", "low", "point", "sketch", "keys"],
             )
 
     return _texts(docs).mapInArrow(
-        run, "doc_id long, row_key long, n long, high long, low long, point binary, keys array<long>"
+        run, "doc_id long, row_key long, n long, high long, low long, point binary, sketch binary, keys array<long>"
     )
 
 
@@ -264,17 +294,18 @@ def _members(points: DataFrame) -> DataFrame:
 
 
 def _tiles(members: DataFrame, points: DataFrame) -> DataFrame:
-    """The blocks of every tree: key, blocks, block, rows (node, n, point); trees of the same points are kept once."""
+    """The blocks of every tree: key, blocks, block, rows (node, n, point, sketch); trees of the same points are kept once."""
     hashes = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"sum{i}") for i in range(2)]
     trees = members.groupBy("key").agg(F.count("*").alias("m"), *hashes)
     kept = trees.groupBy("m", "sum0", "sum1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    sets = points.groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    own = ["n", "point", "sketch"]
+    sets = points.groupBy("node").agg(*(F.first(c).alias(c) for c in own))
     dealt = members.join(kept, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    return dealt.join(sets, "node").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "point")).alias("rows"))
+    return dealt.join(sets, "node").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", *own)).alias("rows"))
 
 
-def _joined(tiles: DataFrame, at_least: Fraction, rooted: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that the trees let through.
+def _candidates(tiles: DataFrame, at_least: Fraction, rooted: bool) -> DataFrame:
+    """Pairs (a, b), a < b, that the trees let through, mostly once per task.
 
     They connect what may be connected in each block, and each block with the tree's first; with ``rooted`` tiles
     they are all that may be linked and have different roots.
@@ -292,24 +323,36 @@ def _joined(tiles: DataFrame, at_least: Fraction, rooted: bool) -> DataFrame:
     wide = one.select(left, F.lit(None).cast(tiles.schema["rows"].dataType).alias("right")).unionAll(pairs.select(left, "right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+
+        def rows_of() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
         for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
             for mine, others in zip(*batch.columns):
                 rows = mine.as_py() + (others.as_py() or [])
                 nodes = np.array([r["node"] for r in rows], np.int64)
                 sizes = np.array([r["n"] for r in rows], np.int64)
                 points = np.frombuffer(b"".join(r["point"] for r in rows), "<u4").reshape(-1, GROUPS).astype(np.int64)
-                tree = RTree(points, sizes, at_least)
+                tree = RTree(points, sizes, at_least, alike([np.frombuffer(r["sketch"], "<u8") for r in rows]))
                 if rooted:
-                    some = apart(tree, points, sizes, np.array([r["root"] for r in rows], np.int64))
+                    some = apart(tree, np.array([r["root"] for r in rows], np.int64))
                 else:
-                    some = connecting(tree, points, sizes)
+                    some = connecting(tree, len(rows))
                 if some:
                     found.append(np.sort(nodes[np.array(some)], axis=1))
-            pairs = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+                    held += len(some)
+                if held >= _HELD_PAIRS:
+                    yield rows_of()
+                    found, held = [], 0
+        yield rows_of()
 
-    return wide.mapInArrow(run, "a long, b long").distinct()
+    return wide.mapInArrow(run, "a long, b long")
+
+
+def _joined(tiles: DataFrame, at_least: Fraction, rooted: bool) -> DataFrame:
+    return _candidates(tiles, at_least, rooted).distinct()
 
 
 def _open_tiles(tiles: DataFrame, roots: DataFrame) -> DataFrame:
@@ -323,7 +366,7 @@ def _open_tiles(tiles: DataFrame, roots: DataFrame) -> DataFrame:
     rows = tiles.join(trees, "key", "left_semi").select("key", "blocks", "block", F.explode("rows").alias("r"))
     return stored(
         known(rows.select("key", "blocks", "block", "r.*")).groupBy("key", "blocks", "block").agg(
-            F.collect_list(F.struct("node", "n", "point", "root")).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")
+            F.collect_list(F.struct("node", "n", "point", "sketch", "root")).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")
         ),
         "open",
     )

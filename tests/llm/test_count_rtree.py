@@ -114,3 +114,44 @@ def test_empty_table_and_clashing_columns(documents):
     assert count_rtree.jaccard_join(documents([])).collect() == []
     odd = documents([(1, "a b c d"), (2, "a b c d")]).selectExpr("*", "1 AS node", "2 AS key", "3 AS n", "4 AS component_id", "5 AS raw", "6 AS root")
     assert {tuple(r) for r in count_rtree.jaccard_join(odd).collect()} == {(1, 1, 1), (2, 1, 1)}
+
+
+def test_sketches_spare_sets_just_short_of_the_similarity():
+    draw = np.random.default_rng(8)
+    at_least = Fraction(85, 100)
+    base = np.unique(draw.integers(0, 1 << 63, 700, dtype=np.uint64) * np.uint64(2))
+    # each set keeps some of the base and adds as many: similarities from 0.7 to 1, most below 0.85
+    sets = []
+    for kept in np.linspace(0.82, 1, 120):
+        own = draw.integers(0, 1 << 63, int(len(base) * (1 - kept)), dtype=np.uint64) * np.uint64(2)
+        sets.append(np.unique(np.concatenate([base[draw.random(len(base)) < kept], own])))
+    sets += [base[:40], base[:3], base[:1]]
+    rows = [
+        {"node": i, "n": len(s), "point": point(s).tobytes(), "sketch": count_rtree.sketch(s).tobytes()} for i, s in enumerate(sets)
+    ]
+    points, sizes = np.array([point(s) for s in sets]).astype(np.int64), np.array([len(s) for s in sets])
+    sketches = count_rtree.alike([np.frombuffer(r["sketch"], "<u8") for r in rows[:120]])
+    tree = RTree(points[:120], sizes[:120], at_least, sketches)
+    plain = RTree(points[:120], sizes[:120], at_least)
+    links = {(i, j) for i in range(120) for j in range(i) if linked(sets[i], sets[j], at_least)}
+    met = {(i, j) for i in range(120) for j in tree.near(i, np.arange(120) < i)}
+    before = {(i, j) for i in range(120) for j in plain.near(i, np.arange(120) < i)}
+    assert links <= met <= before
+    assert len(before - links) > 3 * len(met - links)
+    # sketches of different lengths still bound the difference from below
+    folded = count_rtree.alike([count_rtree.sketch(s) for s in sets])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.bitwise_count(folded[i] ^ folded[j]).sum() <= len(np.setxor1d(a, b, assume_unique=True))
+
+
+def test_a_pair_of_many_trees_is_one_row(spark):
+    sets = [np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2)]
+    sets[1] = np.append(sets[1][1:], np.uint64(5))
+    rows = [(i, len(s), bytearray(point(s).tobytes()), bytearray(count_rtree.sketch(s).tobytes())) for i, s in enumerate(map(np.sort, sets))]
+    schema = "key long, blocks long, block long, rows array<struct<node:long, n:long, point:binary, sketch:binary>>"
+    tiles = spark.createDataFrame([(key, 1, 0, rows) for key in range(50)], schema).coalesce(1)
+    joined = count_rtree._joined(tiles, Fraction(85, 100), rooted=False)
+    assert [tuple(r) for r in joined.collect()] == [(0, 1)]
+    made = count_rtree._candidates(tiles, Fraction(85, 100), rooted=False)
+    assert made.count() == 1
