@@ -40,6 +40,8 @@ END = b""
 _PRIOR = 100.0
 _FLUSH_WORDS = 200_000
 _TOKENS_AT_ONCE = 1 << 17
+#: Training tokens of a task of a round; each task shuffles one table of expected counts, as large as the model.
+_TASK_TOKENS = 16_000_000
 _SEED = 11
 
 
@@ -259,8 +261,19 @@ def _stretches(column) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def baum_welch_round(encoded: DataFrame, model: Model, share: np.ndarray) -> Model:
-    """One round over all training documents: expected counts summed over partitions, then divided."""
+def round_tasks(encoded: DataFrame, total: int) -> int:
+    """How many tasks take a round over ``total`` training tokens: all cores, and more only for many tokens."""
+    return max(encoded.sparkSession.sparkContext.defaultParallelism, -(-total // _TASK_TOKENS))
+
+
+def learnt(encoded: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The classes of all training documents, in ``tasks`` partitions at most."""
+    rows = encoded.filter("NOT held_out").select("classes")
+    return rows.coalesce(tasks) if tasks else rows
+
+
+def baum_welch_round(encoded: DataFrame, model: Model, share: np.ndarray, tasks: int | None = None) -> Model:
+    """One round over all training documents: expected counts summed over partitions, of which ``tasks`` at most, then divided."""
     classes, states = model.emit.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +293,7 @@ def baum_welch_round(encoded: DataFrame, model: Model, share: np.ndarray) -> Mod
         yield pa.RecordBatch.from_arrays(columns, ["place", *(f"s{s}" for s in range(states))])
 
     schema = "place long, " + ", ".join(f"s{s} double" for s in range(states))
-    parts = encoded.filter("NOT held_out").select("classes").mapInArrow(run, schema)
+    parts = learnt(encoded, tasks).mapInArrow(run, schema)
     summed = parts.groupBy("place").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).collect()
     table = np.zeros((classes + states + 2, states))
     for r in summed:
@@ -292,7 +305,8 @@ def baum_welch_round(encoded: DataFrame, model: Model, share: np.ndarray) -> Mod
 
 
 def train(encoded: DataFrame, known: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    return reduce(lambda model, _: baum_welch_round(encoded, model, known.share), range(rounds), start(known.share, states))
+    tasks = round_tasks(encoded, known.total)
+    return reduce(lambda model, _: baum_welch_round(encoded, model, known.share, tasks), range(rounds), start(known.share, states))
 
 
 def log_likelihoods(documents: list[np.ndarray], model: Model, size: int = WINDOW) -> np.ndarray:

@@ -139,3 +139,19 @@ def test_empty_table_and_no_training_rows(documents):
     lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     (row,) = hmm.score(documents([(lone, "a b")]), rounds=1).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0) and math.isfinite(row.score)
+
+
+def test_rounds_do_not_shuffle_a_table_per_input_partition(documents, spark):
+    docs = documents([(i, f"a{i % 7} b{i % 11}") for i in range(200)]).repartition(40)
+    known = hmm.vocabulary(hmm.word_counts(docs), 20)
+    encoded = hmm.encode(docs, known)
+    tasks = hmm.round_tasks(encoded, known.total)
+    assert tasks == spark.sparkContext.defaultParallelism
+    assert hmm.round_tasks(encoded, 1000 * hmm._TASK_TOKENS) == 1000  # more tokens are shared out over more tasks
+    many = encoded.repartition(40)
+    some, all_ = hmm.learnt(many, tasks), hmm.learnt(many, 1000)
+    assert some.rdd.getNumPartitions() <= tasks < all_.rdd.getNumPartitions() == 40
+    assert some.count() == all_.count()
+    begun = hmm.start(known.share, 3)
+    for few, each in zip(vars(hmm.baum_welch_round(many, begun, known.share, tasks)).values(), vars(hmm.baum_welch_round(many, begun, known.share)).values()):
+        assert np.allclose(few, each, rtol=1e-6)
