@@ -37,7 +37,7 @@ def byte_stretches(text: str) -> list[str]:
     return _BYTE_STRETCHES.findall(text)
 
 
-#: Stretches that a generation of a memory holds, and as many pieces; some 320 MB of a Python worker when both generations are full.
+#: Stretches that a generation of a memory holds, and as many pieces. A million of them in all took 204 MB; two full generations are 1.6 million.
 REMEMBERED = 400_000
 #: Marks that may close a word; a run of them after letters is a piece of its own to both tokenizers.
 _CLOSING = ".,;:!?)"
