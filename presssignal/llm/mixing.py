@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from presssignal.llm.support import plain_text, stored
+from presssignal.llm.support import give_back, plain_text, stored
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 18
@@ -27,6 +27,8 @@ SHARE = 1.5
 MOST = 2
 #: Documents whose places are summed up together, and such buckets that are.
 BUCKET_ROWS = 4096
+#: Documents of a batch whose texts are Python objects at once.
+CUT_ROWS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -243,9 +245,16 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     )
     kept = table.join(spans, "row", "left").filter("size = 0 OR turn IS NOT NULL")
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, size: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([take_words(t, n, s) for t, n, s in zip(text, size, spans)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, size, spans in batches:
+            parts = []
+            for at in range(0, max(1, len(text)), CUT_ROWS):
+                rows = zip(*(column.slice(at, CUT_ROWS) for column in (text, size, spans)))
+                parts.append(pa.array([take_words(*(value.as_py() for value in row)) for row in rows], pa.string()))
+            yield pa.concat_arrays(parts)
+        text = size = spans = parts = rows = None
+        give_back()
 
     whole = F.expr("size = 0 OR aggregate(spans, 0L, (n, s) -> n + s.until - s.first) = size")
     text = F.when(whole, F.col(at["text"])).otherwise(cut(at["text"], "size", F.when(~whole, F.col("spans"))))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presssignal.llm.components import grouped
-from presssignal.llm.support import plain_text, stored, unused
+from presssignal.llm.support import give_back, plain_text, stored, unused
 
 SEGMENT_BITS = 32
 RADIUS = 2
@@ -84,6 +84,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keys: tuple[str, ...] = ("do
                     held, n = [], 0
             done.append(majority(held))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(np.concatenate(done))], [*keys, "fingerprint"])
+        batch = raw = None
+        give_back()
 
     return docs.select(*keys, plain_text().cast("binary").alias("raw")).mapInArrow(
         run, ", ".join(f"{k} long" for k in (*keys, "fingerprint"))

@@ -104,6 +104,7 @@ def cut_documents(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in schema.split(", ")]
             )
+        batch = text = columns = None
         memory.forget()
 
     return docs.select("doc_id", plain_text().alias("text")).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presssignal.llm.support import plain_text, remainder
+from presssignal.llm.support import give_back, plain_text, remainder
 
 #: At most so many labelled documents, in the order of a hash of their id, are learnt from.
 TRAIN_DOCUMENTS = 4000
@@ -293,9 +293,13 @@ def accepted(docs: DataFrame, chain: Chain) -> DataFrame:
     """The rows of ``docs`` that are not rejected, as they are."""
 
     @F.arrow_udf("double")
-    def quality(texts: pa.Array) -> pa.Array:
-        kinds, held = _kinds(), pa.RecordBatch.from_arrays([texts], ["text"])
-        found = [chain.quality(line_features(part, kinds)) for _, part in _texts(held, 0)]
-        return pa.array(np.concatenate([np.zeros(0), *found]))
+    def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = _kinds()
+        for texts in batches:
+            held = pa.RecordBatch.from_arrays([texts], ["text"])
+            found = [chain.quality(line_features(part, kinds)) for _, part in _texts(held, 0)]
+            yield pa.array(np.concatenate([np.zeros(0), *found]))
+        texts = held = None
+        give_back()
 
     return docs.filter(quality(plain_text()) >= THRESHOLD)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,14 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))
 
 
+def give_back() -> None:
+    """Return to the system what a task has freed; else its Python worker, which lives on, keeps it for good."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim is not None:
+        trim(0)
+
+
 def plain_text(column: str = "text") -> Column:
     """The text, empty where it is NULL."""
     return F.coalesce(F.col(column), F.lit(""))

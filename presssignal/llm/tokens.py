@@ -17,6 +17,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import AddedToken, Tokenizer
 
+from presssignal.llm.support import give_back
+
 # The characters that the Unicode property White_Space has.
 WHITE = "".join(
     map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -59,8 +61,9 @@ class Memory:
     is met again moves to the younger, so frequent stretches stay.
 
     A new stretch that is a Latin word, perhaps with closing marks, is taken apart here and its
-    pieces go straight to the library's byte-pair merges; any other stretch goes through the
-    library's whole course. Both ways a special token, which ends every piece, parts the answers.
+    pieces, which are stretches themselves and remembered as such, go straight to the library's byte-pair
+    merges; any other stretch goes through the library's whole course. Both ways a special token, which
+    ends every piece, parts the answers.
     """
 
     def __init__(self, tokenizer_json: str, cut: Callable[[str], list[str]], lower: bool, limit: int = REMEMBERED):
@@ -76,7 +79,6 @@ class Memory:
         self._bytes = _byte_characters()
         self._blank = self._bytes[32]
         self._known, self._known_before = {}, {}
-        self._pieces, self._pieces_before = {}, {}
 
     def _ask(self, tokenizer: Tokenizer, new: list[str]) -> list[bytes]:
         out = []
@@ -89,48 +91,48 @@ class Memory:
         return out
 
     def _parts(self, stretch: str) -> tuple[str, str] | None:
-        """(word, closing marks) if the stretch is no more than that."""
+        """(word, closing marks) if the stretch is no more than that; the word as the tokenizer lowers it."""
         word = stretch.rstrip(_CLOSING)
         letters = word[1:] if word[:1] == " " else word
-        if not letters.isalpha():
-            return None
-        marks = stretch[len(word) :]
-        if self._lower:
-            word = word.lower()
-        if stretch.isascii():
-            return (self._blank + letters if word[0] == " " else word), marks
-        if max(letters) >= _LATIN_END or not _UNLIKE.isdisjoint(letters):
+        if not letters.isalpha() or not letters.isascii() and (max(letters) >= _LATIN_END or not _UNLIKE.isdisjoint(letters)):
             return None
-        return word.encode().decode("latin-1").translate(self._bytes), marks
+        return word.lower() if self._lower else word, stretch[len(word) :]
+
+    def _written(self, piece: str) -> str:
+        """A word or its marks in the characters of the byte-level vocabulary."""
+        if piece.isascii():
+            return self._blank + piece[1:] if piece[0] == " " else piece
+        return piece.encode().decode("latin-1").translate(self._bytes)
 
     def _learn(self, new: set[str]) -> None:
-        if len(self._known) + len(new) > self._limit:
+        if len(self._known) + 3 * len(new) > self._limit:  # a stretch may bring its word and its marks along
             self._known, self._known_before = {}, self._known
-        again = {s: ids for s in new if (ids := self._known_before.get(s)) is not None}
-        self._known.update(again)
-        new = new.difference(again)
-        simple, other = {}, []
+        known, before = self._known, self._known_before
+        simple, pieces, other = [], set(), []
         for stretch in new:
+            ids = before.get(stretch)
+            if ids is not None:
+                known[stretch] = ids
+                continue
             parts = self._parts(stretch)
-            if parts is not None:
-                simple[stretch] = parts
-            else:
+            if parts is None:
                 other.append(stretch)
-        if len(self._pieces) + len(new) > self._limit:
-            self._pieces, self._pieces_before = {}, self._pieces
-        pieces = {piece for parts in simple.values() for piece in parts if piece}.difference(self._pieces)
-        again = {p: ids for p in pieces if (ids := self._pieces_before.get(p)) is not None}
-        self._pieces.update(again)
-        pieces = list(pieces.difference(again))
-        self._pieces.update(zip(pieces, self._ask(self._merges, pieces)))
-        known = self._pieces
-        for stretch, (word, marks) in simple.items():
-            self._known[stretch] = known[word] + known[marks] if marks else known[word]
-        self._known.update(zip(other, self._ask(self._whole, other)))
+            else:
+                simple.append((stretch, *parts))
+                pieces.update(parts)
+        pieces.discard("")
+        pieces = [p for p in pieces if p not in known]
+        again = {p: ids for p in pieces if (ids := before.get(p)) is not None}
+        known.update(again)
+        pieces = [p for p in pieces if p not in again]
+        known.update(zip(pieces, self._ask(self._merges, list(map(self._written, pieces)))))
+        known.update((stretch, known[word] + known[marks] if marks else known[word]) for stretch, word, marks in simple)
+        known.update(zip(other, self._ask(self._whole, other)))
 
     def forget(self) -> None:
         """Give back the older half of what a task has learnt; the worker's next task starts with the rest."""
-        self._known_before, self._pieces_before = {}, {}
+        self._known_before = {}
+        give_back()
 
     def encode(self, text: str) -> bytes:
         if any(mark in text for mark in self._special):

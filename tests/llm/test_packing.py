@@ -105,3 +105,19 @@ def test_a_large_vocabulary_is_asked_once():
     first = [memory.encode(text) for text in texts]
     assert [memory.encode(text) for text in texts] == first
     assert len(words) == 351_520 == len(asked)
+
+
+@pytest.mark.parametrize("path,cut,lower", [(WORDS, tokens.word_stretches, True), (BYTES, tokens.byte_stretches, False)])
+def test_twice_the_limit_bounds_all_that_is_remembered(path, cut, lower):
+    memory = tokens.Memory(tokens.read_tokenizer(path), cut, lower, limit=3000)
+
+    def held():
+        return sum(len(d) for d in vars(memory).values() if isinstance(d, dict))
+
+    plain, fixed = Tokenizer.from_file(path), held()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + "o" for a in letters for b in letters for c in letters[:20]]
+    for at in range(0, len(words), 100):
+        text = " ".join(f"{w} {w}, {w.title()}. {w}?!" for w in words[at : at + 100])
+        assert np.frombuffer(memory.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert held() - fixed <= 2 * 3000
