@@ -16,7 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from operator import add
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presssignal.llm.support import plain_text, remainder, stored
+from presssignal.llm.support import give_back, plain_text, remainder, stored
 
 STATES = 8
 ROUNDS = 8
@@ -39,7 +39,13 @@ END = b""
 #: Weight of the corpus distribution in each state's, in tokens.
 _PRIOR = 100.0
 _FLUSH_WORDS = 200_000
-_TOKENS_AT_ONCE = 1 << 17
+_TOKENS_AT_ONCE = 1 << 18
+#: Windows whose recursions run side by side, and those whose products do, 512 bytes each: what stays in a core's cache.
+_WINDOWS_AT_ONCE = 1024
+_PRODUCTS_AT_ONCE = 512
+#: Tokens of a group of documents that are scored together, and how many of them go on side by side at least.
+_SCORED_AT_ONCE = 1 << 20
+_LANES = 64
 #: Training tokens of a task of a round; each task shuffles one table of expected counts, as large as the model.
 _TASK_TOKENS = 16_000_000
 _SEED = 11
@@ -190,6 +196,11 @@ class Model:
     first: np.ndarray
     within: np.ndarray
 
+    @cached_property
+    def emitting(self) -> np.ndarray:
+        """``emit`` in single precision; made once in a task."""
+        return self.emit.astype(np.float32)
+
 
 def start(share: np.ndarray, states: int = STATES) -> Model:
     """States that stay, each with the corpus distribution bent by noise so that they can part."""
@@ -207,29 +218,39 @@ def expected_counts(windows: np.ndarray, lengths: np.ndarray, opening: np.ndarra
     begin a document.
     """
     n, longest = windows.shape
-    states = len(model.first)
-    # single precision is enough for one window; the sums over windows are in double
-    move, emitting = model.move.astype(np.float32), model.emit.astype(np.float32)
-    active = [int(np.searchsorted(-lengths, -t, "left")) for t in range(longest)]
-    before = np.where(opening[:, None], model.first, model.within).astype(np.float32)
-    forward, scale = np.zeros((longest, n, states), np.float32), np.ones((longest, n), np.float32)
-    seen = [emitting.take(windows[:k, t], axis=0) for t, k in enumerate(active)]
-    last = before
-    for t, k in enumerate(active):
-        a = (last[:k] @ move) * seen[t]
-        scale[t, :k] = a @ np.ones(states, np.float32)
-        forward[t, :k] = last = a / scale[t, :k, None]
-    moves, backward = np.zeros((states, states)), np.ones((n, states), np.float32)
-    for t in range(longest - 1, -1, -1):
-        k = active[t]
-        ahead = seen[t] * backward[:k] / scale[t, :k, None]
-        moves += (forward[t - 1, :k] if t else before[:k]).T @ ahead
-        forward[t, :k] *= backward[:k]  # from here on P(state) at t; cells beyond a window's end stay 0
-        backward[:k] = ahead @ move.T
-    places = windows.T.ravel()
-    emit = np.column_stack([np.bincount(places, forward[:, :, s].ravel(), len(model.emit)) for s in range(states)])
-    begun = before * backward
-    return emit, moves * model.move, begun[opening].sum(axis=0), begun[~opening].sum(axis=0)
+    states, classes = len(model.first), len(model.emit)
+    # single precision is enough for one window; the sums over windows are in double. States are rows, so that
+    # numpy works along the windows and not along the few states
+    move, emitting = model.move.astype(np.float32), model.emitting
+    before = np.where(opening, model.first[:, None], model.within[:, None]).astype(np.float32)
+    backward = np.ones((states, n), np.float32)
+    places = np.ascontiguousarray(windows.T, np.int64)
+    chances, moves = np.zeros((states, longest, n), np.float32), np.zeros((states, states))
+    for at in range(0, n, _WINDOWS_AT_ONCE):
+        part = slice(at, at + _WINDOWS_AT_ONCE)
+        active = [int(np.searchsorted(-lengths[part], -t, "left")) for t in range(longest)]
+        forward, first, after, place = chances[:, :, part], before[:, part], backward[:, part], places[:, part]
+        seen, scale = [], []
+        last = first
+        for t, k in enumerate(active):
+            seen.append(np.ascontiguousarray(emitting.take(place[t, :k], axis=0).T))
+            a = move.T @ last[:, :k]
+            a *= seen[t]
+            scale.append(1 / a.sum(axis=0))
+            last = np.multiply(a, scale[t], out=forward[:, t, :k])
+        for t in range(longest - 1, -1, -1):
+            k = active[t]
+            ahead = seen[t]
+            ahead *= scale[t]
+            ahead *= after[:, :k]
+            moves += (forward[:, t - 1, :k] if t else first[:, :k]) @ ahead.T
+            forward[:, t, :k] *= after[:, :k]  # from here on P(state) at t; cells beyond a window's end stay 0
+            np.matmul(move, ahead, out=after[:, :k])
+    emit = np.empty((states, classes))
+    for state in range(states):
+        emit[state] = np.bincount(places.ravel(), chances[state].ravel(), classes)
+    begun = (before * backward).astype(float)
+    return emit.T, moves * model.move, begun[:, opening].sum(axis=1), begun[:, ~opening].sum(axis=1)
 
 
 def cut_windows(documents: list[np.ndarray], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -239,7 +260,7 @@ def cut_windows(documents: list[np.ndarray], size: int = WINDOW) -> tuple[np.nda
     """
     lengths = np.array([len(d) for d in documents], np.int64)
     pieces = -(-lengths // size)
-    flat = np.concatenate([*documents, np.zeros(size, np.int64)])
+    flat = np.concatenate([*documents, np.zeros(size, documents[0].dtype if documents else np.int64)])
     number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = np.repeat(np.cumsum(lengths) - lengths, pieces) + number * size
     length = np.minimum(size, np.repeat(lengths, pieces) - number * size)
@@ -248,13 +269,13 @@ def cut_windows(documents: list[np.ndarray], size: int = WINDOW) -> tuple[np.nda
     return wide * (np.arange(size) < length[order, None]), length[order], number[order] == 0, order
 
 
-def _stretches(column) -> Iterator[list[np.ndarray]]:
-    """Groups of documents' classes of some 100,000 tokens; an overlong document is a group."""
+def _stretches(column, most: int = _TOKENS_AT_ONCE) -> Iterator[list[np.ndarray]]:
+    """Groups of documents' classes of some ``most`` tokens; an overlong document is a group."""
     held, size = [], 0
     for value in column:
-        held.append(np.frombuffer(value.as_py(), "<u2").astype(np.int64))
+        held.append(np.frombuffer(value.as_py(), "<u2"))
         size += len(held[-1])
-        if size >= _TOKENS_AT_ONCE:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
@@ -277,7 +298,7 @@ def baum_welch_round(encoded: DataFrame, model: Model, share: np.ndarray, tasks:
     classes, states = model.emit.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((classes, states)), np.zeros((states, states)), np.zeros(states), np.zeros(states)]
+        sums = [np.zeros((states, classes)).T, np.zeros((states, states)), np.zeros(states), np.zeros(states)]
         for batch in batches:
             for documents in _stretches(batch.column(0)):
                 windows, lengths, opening, _ = cut_windows(documents)
@@ -309,22 +330,40 @@ def train(encoded: DataFrame, known: Vocabulary, states: int = STATES, rounds: i
     return reduce(lambda model, _: baum_welch_round(encoded, model, known.share, tasks), range(rounds), start(known.share, states))
 
 
-def log_likelihoods(documents: list[np.ndarray], model: Model, size: int = WINDOW) -> np.ndarray:
-    """Natural logarithm of each class sequence's probability, by the scaled forward recursion."""
-    windows, lengths, _, order = cut_windows(documents, size)
+def _products(windows: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window the scaled product of its moves and emissions, [before, after], and the logarithm of its scale."""
+    n, longest = windows.shape
     states = len(model.first)
-    pieces = np.array([-(-len(d) // size) for d in documents], np.int64)
-    product, log_scale = np.broadcast_to(np.eye(states), (len(windows), states, states)).copy(), np.zeros(len(windows))
-    for t in range(windows.shape[1] if len(windows) else 0):
-        k = int(np.searchsorted(-lengths, -t, "left"))
+    # [after, before, window]: the last state's row is contiguous over all windows
+    product, done, log_scale = np.repeat(np.eye(states)[:, :, None], n, axis=2), np.empty((states, states, n)), np.zeros(n)
+    move, places = np.ascontiguousarray(model.move.T), np.ascontiguousarray(windows.T, np.int64)
+    active = [int(np.searchsorted(-lengths, -t, "left")) for t in range(longest)]
+    for t, k in enumerate(active):
         if not k:
             break
-        moved = product[:k].reshape(-1, states) @ model.move
-        product[:k] = moved.reshape(k, states, states) * model.emit[windows[:k, t]][:, None, :]
-        if t % 8 == 7 or t + 1 == size:
-            top = product[:k].max(axis=(1, 2))
-            product[:k] /= top[:, None, None]
+        if k < product.shape[2]:  # windows that end here are done; the others go on side by side
+            done[:, :, k : product.shape[2]] = product[:, :, k:]
+            product = np.ascontiguousarray(product[:, :, :k])
+        moved = (move @ product.reshape(states, -1)).reshape(states, states, k)
+        moved *= model.emit.take(places[t, :k], axis=0).T[:, None, :]
+        product = moved
+        if t % 8 == 7 or t + 1 == longest:
+            top = product.max(axis=(0, 1))
+            product /= top
             log_scale[:k] += np.log(top)
+    done[:, :, : product.shape[2]] = product
+    return done.transpose(2, 1, 0), log_scale
+
+
+def _by_windows(documents: list[np.ndarray], model: Model, size: int) -> np.ndarray:
+    """``log_likelihoods`` by the products of windows, which are then multiplied through document by document."""
+    windows, lengths, _, order = cut_windows(documents, size)
+    states = len(model.first)
+    pieces = np.array([-(-len(d) // size) for d in documents], np.int64)
+    product, log_scale = np.empty((len(windows), states, states)), np.zeros(len(windows))
+    for at in range(0, len(windows), _PRODUCTS_AT_ONCE):
+        part = slice(at, at + _PRODUCTS_AT_ONCE)
+        product[part], log_scale[part] = _products(windows[part], lengths[part], model)
     place = np.empty(len(windows), np.int64)
     place[order] = np.arange(len(windows))
     out = np.zeros(len(documents))
@@ -341,6 +380,43 @@ def log_likelihoods(documents: list[np.ndarray], model: Model, size: int = WINDO
     return out
 
 
+def _side_by_side(documents: list[np.ndarray], model: Model) -> np.ndarray:
+    """``log_likelihoods`` by one vector of states a document, all documents one token further in a step."""
+    lengths = np.array([len(d) for d in documents], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    flat, starts = np.concatenate(documents), (np.cumsum(lengths) - lengths)[order]
+    active = np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left").tolist()
+    move, vector = np.ascontiguousarray(model.move.T), np.repeat(model.first[:, None], len(order), axis=1)
+    log, found = np.zeros(len(order)), np.zeros(len(order))
+    for t, k in enumerate(active):
+        if k < vector.shape[1]:  # these documents have ended
+            found[order[k : vector.shape[1]]] = np.log(vector[:, k:].sum(axis=0)) + log[k : vector.shape[1]]
+            vector = np.ascontiguousarray(vector[:, :k])
+        vector = move @ vector
+        vector *= model.emit.take(flat.take(starts[:k] + t), axis=0).T
+        if t % 8 == 7:
+            total = vector.sum(axis=0)
+            vector /= total
+            log[:k] += np.log(total)
+    found[order[: vector.shape[1]]] = np.log(vector.sum(axis=0)) + log[: vector.shape[1]]
+    return found
+
+
+def log_likelihoods(documents: list[np.ndarray], model: Model, size: int = WINDOW, lanes: int = _LANES) -> np.ndarray:
+    """Natural logarithm of each class sequence's probability, by the scaled forward recursion.
+
+    Documents go on side by side as long as there are ``lanes`` of them; those that are longer than that are
+    too few, so their windows go on side by side instead.
+    """
+    lengths = np.array([len(d) for d in documents], np.int64)
+    most = np.partition(lengths, -lanes)[-lanes] if len(lengths) >= lanes else 0
+    short, out = lengths <= most, np.zeros(len(documents))
+    for chosen, how in ((short, lambda d: _side_by_side(d, model)), (~short, lambda d: _by_windows(d, model, size))):
+        if chosen.any():
+            out[chosen] = how([documents[i] for i in np.flatnonzero(chosen)])
+    return out
+
+
 def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
     """Train on the documents that are not held out and score all of them.
 
@@ -355,13 +431,18 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, frequent:
     encoded = encode(docs, known)
     model = train(encoded, known, states, rounds)
 
+    carried = ["doc_id", "row", "held_out", "n_tokens", "known", "base", "inside"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [log_likelihoods(d, model) for d in _stretches(batch.column(1))]
+            found = [log_likelihoods(d, model) for d in _stretches(batch.column("classes"), _SCORED_AT_ONCE)]
             logs = np.concatenate(found) / np.log(10) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(logs)], ["row", "of_classes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(logs)], [*carried, "of_classes"])
+        give_back()
 
-    of_classes = encoded.select("row", "classes").mapInArrow(run, "row long, of_classes double")
+    of_classes = encoded.select(*carried, "classes").mapInArrow(
+        run, "doc_id long, row long, held_out boolean, n_tokens long, known long, base double, inside double, of_classes double"
+    )
     # the other words look up their counts; the most frequent words, which would make hot keys, are not among them
     rest = encoded.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     told = (
@@ -373,8 +454,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, frequent:
     )
     rest_logs = F.coalesce("rest_logs", F.lit(0.0))
     return (
-        encoded.select("doc_id", "row", "held_out", "n_tokens", "known", "base", "inside")
-        .join(of_classes, "row").join(told, "row", "left")
+        of_classes.join(told, "row", "left")
         .select(
             "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
             F.lit(known.total).cast("long").alias("train_tokens"), (F.col("base") + rest_logs).alias("base_score"),

@@ -155,3 +155,30 @@ def test_rounds_do_not_shuffle_a_table_per_input_partition(documents, spark):
     begun = hmm.start(known.share, 3)
     for few, each in zip(vars(hmm.baum_welch_round(many, begun, known.share, tasks)).values(), vars(hmm.baum_welch_round(many, begun, known.share)).values()):
         assert np.allclose(few, each, rtol=1e-6)
+
+
+def test_documents_side_by_side_and_by_windows_agree():
+    model, draw = small_model(), random.Random(4)
+    documents = [np.array([draw.randrange(5) for _ in range(n)], np.uint16) for n in (1, 300, 64, 7, 7, 65, 8, 16, 1000, 2)]
+    want = hmm.log_likelihoods(documents, model, lanes=len(documents) + 1)  # all by windows
+    for lanes in (1, 2, 3, len(documents)):
+        assert np.allclose(hmm.log_likelihoods(documents, model, lanes=lanes), want, rtol=1e-12)
+
+
+def test_windows_beyond_those_side_by_side_count(monkeypatch):
+    model, draw = small_model(), random.Random(6)
+    documents = [np.array([draw.randrange(5) for _ in range(draw.randrange(1, 40))]) for _ in range(30)]
+    windows = hmm.cut_windows(documents, 8)[:3]
+    want, scores = hmm.expected_counts(*windows, model), hmm.log_likelihoods(documents, model, 8)
+    monkeypatch.setattr(hmm, "_WINDOWS_AT_ONCE", 7)
+    monkeypatch.setattr(hmm, "_PRODUCTS_AT_ONCE", 5)
+    for got, all_at_once in zip(hmm.expected_counts(*windows, model), want):
+        assert np.allclose(got, all_at_once, rtol=1e-4)
+    assert np.allclose(hmm.log_likelihoods(documents, model, 8), scores, rtol=1e-12)
+
+
+def test_scores_shuffle_each_document_once(documents):
+    """The forward recursion carries a document's other columns along; rows and counts of rare words meet by joins only."""
+    plan = hmm.score(documents([(i, f"a{i % 7} b{i}") for i in range(50)]), states=2, rounds=1, frequent=3)
+    joins = plan._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins == 2
