@@ -29,15 +29,18 @@ from presssignal.llm.tokens import byte_memory
 
 END_ID = 2
 BLOCK_IDS = 4096
-LANES = 1024
+LANES = 2048
 FRAME_IDS = BLOCK_IDS * LANES
 
 MAGIC = b"IDCM"
 _HEADER = "<4sIIQI"  # magic, ids per block, bits per id, ids, bytes of the levels
 _ENTRIES = 2048
-#: Eight steps of an octave, and how far the weights of a half may add up.
+#: Eight steps of an octave, and what the weights of a half add up to.
 _OCTAVE = np.array([256, 279, 304, 332, 362, 395, 431, 470], np.int64)
-_MOST = 1 << 20
+_BITS = 20
+_MOST = 1 << _BITS
+#: A span is divided by this power of two before an id's place is told, of each kind.
+_TOLD_BITS = np.array([0, 0, _BITS, _BITS], np.uint64)
 _STEP = 24
 _LIMIT = 3000
 _WORD = np.uint64(32)
@@ -116,20 +119,19 @@ class Frequencies:
         weight = _OCTAVE[step % 8] << (step // 8)
         frequent = np.cumsum(weight) * 2 <= weight.sum()
         frequent[:1] = True
-        self.totals, at = np.ones(4, np.uint64), 0
         scaled = np.zeros(len(weight), np.int64)
-        for kind, part in ((2, frequent), (3, ~frequent)):
-            whole = int(weight[part].sum())
-            room = _MOST - int(part.sum())
-            scaled[part] = 1 + weight[part] * room // max(whole, room, 1)
-            self.totals[kind] = max(int(scaled[part].sum()), 1)
-        self._ends = np.cumsum(scaled)
-        self._split = int(scaled[frequent].sum())
+        for part in (frequent, ~frequent):
+            if part.any():
+                whole, room = int(weight[part].sum()), _MOST - int(part.sum())
+                scaled[part] = 1 + weight[part] * room // whole
+                scaled[np.argmax(part)] += _MOST - scaled[part].sum()
+        ends, split = np.cumsum(scaled), int(scaled[frequent].sum())
+        self._holds = np.repeat(self._order, scaled).astype(np.uint16)
         size = len(levels) or 1
         self._kind, self._weight, self._start = np.full(size, 3, np.int64), np.ones(size, np.uint64), np.zeros(size, np.uint64)
         self._kind[self._order[frequent]] = 2
         self._weight[self._order] = scaled
-        self._start[self._order] = np.where(frequent, self._ends - scaled, self._ends - scaled - self._split)
+        self._start[self._order] = np.where(frequent, ends - scaled, ends - scaled - split)
 
     def kind(self, ids: np.ndarray) -> np.ndarray:
         return self._kind.take(ids)
@@ -140,8 +142,7 @@ class Frequencies:
 
     def find(self, kind: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The ids that hold these values of their halves."""
-        at = np.searchsorted(self._ends, value.astype(np.int64) + np.where(kind == 3, self._split, 0), "right")
-        return self._order.take(np.minimum(at, len(self._order) - 1))
+        return self._holds.take(value.astype(np.int64) + ((kind - 2) << _BITS), mode="clip")
 
 
 def _narrowed(low: np.ndarray, span: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,15 +165,15 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray, known: Frequencies) -> l
     out, used = np.zeros((lanes, longest + 4), np.uint32), np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
     active = np.searchsorted(-lengths, -np.arange(longest), "left").tolist()
-    columns = np.ascontiguousarray(ids.T).astype(np.int64)
+    columns = np.ascontiguousarray(ids.T)
     for step, n in enumerate(active):
-        now = columns[step, :n]
+        now = columns[step, :n].astype(np.int64)
         two, one, counts, sums = model.predict(n)
         kind = np.where(two == now, 0, np.where(one == now, 1, known.kind(now)))
         shift, total = _SHIFTS.take(kind), sums >> np.uint64(48)
         part = span[:n] // total
         first = part * (((sums << np.uint64(16)) >> shift) & _COUNT)
-        part = (part * ((counts >> shift) & _COUNT)) // known.totals.take(kind)
+        part = (part * ((counts >> shift) & _COUNT)) >> _TOLD_BITS.take(kind)
         start, weight = known.place(now)
         told = kind > 1
         low[:n] += first + part * (start * told)
@@ -212,11 +213,11 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray, known: Frequenci
         kind += at >= (sums >> _WORD) & _COUNT
         shift = _SHIFTS.take(kind)
         first = part * (((sums << sixteen) >> shift) & _COUNT)
-        part = (part * ((counts >> shift) & _COUNT)) // known.totals.take(kind)
+        part = (part * ((counts >> shift) & _COUNT)) >> _TOLD_BITS.take(kind)
         now = np.where(kind == 0, two, one).astype(np.int64)
         told = np.flatnonzero(kind > 1)
         of, unit = kind[told], part[told]
-        now[told] = known.find(of, np.minimum((ahead[told] - first[told]) // unit, known.totals.take(of) - np.uint64(1)))
+        now[told] = known.find(of, np.minimum((ahead[told] - first[told]) // unit, np.uint64(_MOST - 1)))
         start, weight = known.place(now[told])
         first[told] += unit * start
         part[told] = unit * weight

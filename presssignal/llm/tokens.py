@@ -27,24 +27,29 @@ WHITE = "".join(
 _WORDS = re.compile(f"[^{WHITE}]+")
 #: str.split() also cuts at these four, which are no white space to the tokenizers.
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
-#: As byte-level BPE cuts: one blank goes with what follows it, other white space stays apart.
-_BYTE_STRETCHES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 def word_stretches(text: str) -> list[str]:
     return _WORDS.findall(text) if _CONTROLS.search(text) else text.split()
 
 
-def byte_stretches(text: str) -> list[str]:
-    return _BYTE_STRETCHES.findall(text)
-
-
 #: Stretches that a generation of a memory holds, and as many pieces. A million of them in all took 204 MB; two full generations are 1.6 million.
 REMEMBERED = 400_000
 #: Marks that may close a word; a run of them after letters is a piece of its own to both tokenizers.
 _CLOSING = ".,;:!?)"
 #: Letters below this point are told alike by Python and the library; the two left out change when lowered.
 _LATIN_END, _UNLIKE = "\u0250", frozenset("\u0130\u03a3")
+_LATIN = "".join(c for c in map(chr, range(ord(_LATIN_END))) if c.isalpha())
+#: As byte-level BPE cuts: a Latin word and its closing marks, if that is all up to the next white space; else one blank
+#: goes with what follows it, other white space stays apart.
+_BYTE_STRETCHES = re.compile(
+    f" ?[{_LATIN}]++(?=[{re.escape(_CLOSING)}]*+(?:[{WHITE}]|\\Z))|(?<=[{_LATIN}])[{re.escape(_CLOSING)}]++"
+    f"| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+)
+
+
+def byte_stretches(text: str) -> list[str]:
+    return _BYTE_STRETCHES.findall(text)
 
 
 def _byte_characters() -> dict[int, str]:
@@ -117,6 +122,8 @@ class Memory:
             parts = self._parts(stretch)
             if parts is None:
                 other.append(stretch)
+            elif parts == (stretch, ""):
+                pieces.add(stretch)
             else:
                 simple.append((stretch, *parts))
                 pieces.update(parts)
@@ -147,8 +154,11 @@ class Memory:
             part = stretches[at : at + step]
             found = list(map(self._known.get, part))
             if None in found:
-                self._learn({s for s, ids in zip(part, found) if ids is None})
-                found = [ids if ids is not None else self._known.get(s) for s, ids in zip(part, found)]
+                missing = [i for i, ids in enumerate(found) if ids is None]
+                self._learn({part[i] for i in missing})
+                known = self._known
+                for i in missing:
+                    found[i] = known[part[i]]
             out.append(b"".join(found))
         return b"".join(out)
 

@@ -42,6 +42,19 @@ def test_fewer_bits_than_the_frequencies_alone():
     assert 8 * len(idcoder.encode_frame(ids)) < len(ids) * -(share * np.log2(share)).sum()
 
 
+def test_order_0_halves_fill_their_range():
+    """Each half's weights add up to the same power of two, so a place needs a shift and no division, and every value has its id."""
+    draw = np.random.default_rng(7)
+    for ids in (np.arange(65_536), (draw.pareto(0.7, 9000) * 5).astype(int) % 60_000, np.array([9]), np.array([3, 3, 70])):
+        known = idcoder.Frequencies(idcoder.levels_of(ids))
+        ids = np.unique(ids)
+        kind, (start, weight) = known.kind(ids), known.place(ids)
+        for half in np.unique(kind):
+            assert weight[kind == half].sum() == 1 << 20
+        for value in (start, start + weight - np.uint64(1)):
+            assert (known.find(kind, value) == ids).all()
+
+
 def test_lanes_do_not_touch_each_other(monkeypatch):
     ids = np.random.default_rng(5).integers(0, 300, 5000)
     whole = idcoder.encode_frame(ids, block_ids=100)

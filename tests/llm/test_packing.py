@@ -121,3 +121,15 @@ def test_twice_the_limit_bounds_all_that_is_remembered(path, cut, lower):
         text = " ".join(f"{w} {w}, {w.title()}. {w}?!" for w in words[at : at + 100])
         assert np.frombuffer(memory.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
         assert held() - fixed <= 2 * 3000
+
+
+def test_latin_words_are_cut_apart_from_closing_marks():
+    """So a word is remembered once, whatever marks it closes with."""
+    assert tokens.byte_stretches("Été one, two! one;\n x1, don't. a.b (c) d") == [
+        "Été", " one", ",", " two", "!", " one", ";", "\n", " x1,", " don't.", " a.b", " (c)", " d"
+    ]
+    memory, plain = tokens.Memory(tokens.read_tokenizer(BYTES), tokens.byte_stretches, lower=False), Tokenizer.from_file(BYTES)
+    draw = random.Random(8)
+    for _ in range(3000):
+        text = "".join(draw.choice(["a", "Z", "é", "\u0130", "\u0250", "\u00aa", "1", ".", ",", "!)", "'s", "'", " ", "  ", "\n", "\u00a0", "\x1c"]) for _ in range(draw.randrange(12)))
+        assert memory.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
