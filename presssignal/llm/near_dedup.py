@@ -142,8 +142,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
         crowded.withColumn("other", F.lit(None).cast("long")))
     probes = distinct.select("fingerprint", F.inline(_probes(segments, radius)))
     far = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) > radius
+    # the planner takes the spelled out probes for as small as the fingerprints, and would send them to every task
     met = stored(
-        probes.join(table, ["segment", "value"]).filter("other IS NULL OR fingerprint > other").filter(F.coalesce(~far, F.lit(True)))
+        probes.join(table.hint("merge"), ["segment", "value"])
+        .filter("other IS NULL OR fingerprint > other").filter(F.coalesce(~far, F.lit(True)))
         .select("fingerprint", "other"),
         "met",
     )

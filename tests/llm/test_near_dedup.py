@@ -78,3 +78,24 @@ def test_empty_table_and_clashing_columns(documents):
     assert near_dedup.near_duplicates(documents([])).collect() == []
     odd = documents([(1, "a b c d"), (2, "a b c d")]).selectExpr("*", "1 AS fingerprint", "2 AS root", "3 AS salt", "4 AS component_id")
     assert {tuple(r)[::2] for r in near_dedup.near_duplicates(odd).collect()} == {(1, 1), (2, 1)}
+
+
+def sent_to_all(df):
+    """What the plan spells out and, with no shuffle between, broadcasts."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    above, found = [], []
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        above = [(n, x) for n, x in above if n < at] + [(at, line[at:])]
+        if "Generate " in line:
+            shuffles = [x for _, x in above if x.split(" ", 1)[0].endswith("Exchange")]
+            found += [line[at:]] if shuffles and shuffles[-1].startswith("BroadcastExchange") else []
+    return found
+
+
+def test_probes_are_never_broadcast(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: written.append(df) or stored(df, name))
+    distinct = stored(spark.range(2000).selectExpr("xxhash64(id) AS fingerprint"), "distinct")
+    near_dedup.links(distinct)
+    assert len(written) == 1 and sent_to_all(written[0]) == []
