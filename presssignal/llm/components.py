@@ -61,6 +61,7 @@ def grouped(rows: DataFrame, key: str, links: DataFrame, salts: int = 8) -> Data
         .select(key, "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return salted.join(shared, [key, "salt"], "left").select(
+    # the planner does not count the salts, and would send all of them to every task
+    return salted.join(shared.hint("merge"), [key, "salt"], "left").select(
         *rows.columns, F.coalesce("root", key).alias("root"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

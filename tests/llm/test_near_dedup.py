@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from presssignal.llm import near_dedup
-from presssignal.llm.components import components
+from presssignal.llm.components import components, grouped
 from presssignal.llm.support import stored
 
 
@@ -99,3 +99,11 @@ def test_probes_are_never_broadcast(spark, monkeypatch):
     distinct = stored(spark.range(2000).selectExpr("xxhash64(id) AS fingerprint"), "distinct")
     near_dedup.links(distinct)
     assert len(written) == 1 and sent_to_all(written[0]) == []
+
+
+def test_salted_keys_are_never_broadcast(spark):
+    rows = stored(spark.range(2000).selectExpr("id AS doc_id", "id DIV 2 AS fingerprint"), "rows")
+    pairs = stored(spark.range(1, 1000).selectExpr("id AS a", "id - id % 5 AS b"), "pairs")
+    out = grouped(rows, "fingerprint", pairs)
+    assert sent_to_all(out) == []
+    assert {tuple(r) for r in out.collect()} == {(d, d // 2, d // 2 - d // 2 % 5, d - d % 10) for d in range(2000)}
